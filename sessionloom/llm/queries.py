@@ -78,8 +78,8 @@ QUERIES = {f.__name__: f for f in (op1_simhash, op2_lm_score, op3_token_orc, op4
 _OP5_ORACLE = r"""
 WITH words AS (
   SELECT doc_id, source, coalesce(text, '') AS text,
-         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
   FROM documents),
 windows AS (
   SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM words)),
@@ -105,7 +105,7 @@ verdicts AS (SELECT host, bool_and((k + m * s) / (n + s) <= 0.5) AS host_kept FR
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repetitive AS base_failed,
        NOT (short OR repetitive OR symbols OR shouting OR copied_lines) AND host_kept AS kept, host_kept,
        array_to_string(list_filter([CASE WHEN short THEN 'short' END, CASE WHEN repetitive THEN 'repetitive' END, CASE WHEN symbols THEN 'symbols' END,
-                   CASE WHEN shouting THEN 'shouting' END, CASE WHEN copied_lines THEN 'copied_lines' END], x -> x IS NOT NULL), ',') AS failed_rules
+                   CASE WHEN shouting THEN 'shouting' END, CASE WHEN copied_lines THEN 'copied_lines' END], lambda x: x IS NOT NULL), ',') AS failed_rules
 FROM judged JOIN verdicts ON coalesce(source, '') = host
 """
 
