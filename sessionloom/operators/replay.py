@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import ids, text
+from ..functions.payload import load, strip
 from . import store
 
 #: Order in which the streams of a snapshot are replayed.
@@ -21,50 +25,69 @@ def union_streams(streams: dict[str, DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def _object(text_or_variant: Column) -> Column:
-    """An object, or the object that a text holds."""
-    is_object = lambda v: F.when(F.schema_of_variant(v).startswith("OBJECT"), v)
-    return F.coalesce(is_object(text_or_variant), is_object(F.try_parse_json(F.try_variant_get(text_or_variant, "$", "string"))))
+_FIELDS = ("event_type", "session_id", "thread_id", "event_id", "actor_id", "source", "reasoning", "ts", "payload_json")
 
 
-def _s(v: Column, path: str) -> Column:
-    """A text at a path, if it is one: numbers and objects aren't read as text."""
-    kind = F.schema_of_variant(F.try_variant_get(v, path, "variant"))
-    return F.when(kind == "STRING", text.text_or_null(F.try_variant_get(v, path, "string")))
+def unwrap(payload: str | None, activity: str | None, namespace: str) -> tuple | None:
+    """The _FIELDS that a record holds, as far as it says them; null if it holds no event of ours.
+
+    A record wraps an activity, an activity an envelope, an envelope an event; each may be an object or its JSON text.
+    """
+
+    def held(value):
+        value = load(value) if isinstance(value, str) else value
+        return value if isinstance(value, dict) else None
+
+    def said(holder: dict | None, key: str) -> str | None:
+        value = (holder or {}).get(key)
+        return (strip(value) or None) if isinstance(value, str) else None
+
+    def is_event(value: dict | None) -> bool:
+        return any(said(value, k) for k in ("eventType", "sessionId", "eventId", "threadId", "prompt"))
+
+    outer = held(payload)
+    act = held(activity) or held((outer or {}).get("activity")) or outer
+    if act is None:
+        return None
+    envelope = held(act.get("payload")) or (act if isinstance(act.get("event"), dict) else None)
+    if envelope is None:
+        return None
+    kinds = {f"{namespace}_event", f"{namespace}_prompt"}
+    if not ({said(act, "type"), said(envelope, "type")} & kinds or (said(envelope, "schema") or "").startswith(tuple(kinds))):
+        return None
+    deeper = held(envelope.get("payload"))
+    event = envelope["event"] if isinstance(envelope.get("event"), dict) else deeper if not is_event(envelope) and is_event(deeper) else envelope
+    body = event.get("payload") if isinstance(event.get("payload"), dict) else {}
+    return (
+        said(event, "eventType") or said(event, "type"), said(event, "sessionId") or said(act, "input_ref"), said(event, "threadId"), said(event, "eventId") or said(act, "output_ref"), said(event, "actorId"), said(event, "source"),
+        said(event, "reasoningAvailability"), said(event, "ts") or said(act, "ts"), json.dumps(body, ensure_ascii=False, separators=(",", ":")),
+    )
 
 
 def parse_records(records: DataFrame, repo_id: str, now: Column, namespace: str = "sessionloom", fallback_actor: str | None = None) -> DataFrame:
     """records (id, created_at, payload, activity as text) with the event that each holds, or event_id null."""
-    at = lambda v, p: F.try_variant_get(v, p, "variant")
-    rows = records.withColumns({"__pay": F.try_parse_json("payload"), "__act": F.try_parse_json("activity") if "activity" in records.columns else F.lit(None).cast("variant")})
-    rows = rows.withColumn("__pay", _object(F.col("__pay")))
-    rows = rows.withColumn("__a", F.coalesce(_object(F.col("__act")), _object(at("__pay", "$.activity")), F.col("__pay")))
-    held = F.when(_object(at("__a", "$.event")).isNotNull(), F.col("__a"))
-    rows = rows.withColumn("__e", F.coalesce(_object(at("__a", "$.payload")), held))
-    own = lambda v: F.coalesce(_s(v, "$.type").isin(f"{namespace}_event", f"{namespace}_prompt"), F.lit(False))
-    named = F.coalesce(_s(F.col("__e"), "$.schema").rlike(f"^{namespace}_(event|prompt)"), F.lit(False))
-    event = lambda v: F.coalesce(*(_s(v, f"$.{k}") for k in ("eventType", "sessionId", "eventId", "threadId", "prompt"))).isNotNull()
-    inner = F.when(F.schema_of_variant(at("__e", "$.event")).startswith("OBJECT"), at("__e", "$.event"))
-    deeper = _object(at("__e", "$.payload"))
-    rows = rows.withColumn("__ok", F.col("__e").isNotNull() & (own(F.col("__a")) | named | own(F.col("__e"))))
-    rows = rows.withColumn("__n", F.coalesce(inner, F.when(event(F.col("__e")), F.col("__e")), F.when(event(deeper), deeper), F.col("__e")))
-    n, a = F.col("__n"), F.col("__a")
+
+    @F.pandas_udf(T.StructType([T.StructField(n, T.StringType()) for n in _FIELDS]))
+    def unwrapped(payload: pd.Series, activity: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([unwrap(p, a, namespace) or (None,) * len(_FIELDS) for p, a in zip(payload, activity, strict=True)], columns=list(_FIELDS), dtype=object)
+
+    activity = F.col("activity") if "activity" in records.columns else F.lit(None).cast("string")
+    rows = records.withColumn("__e", unwrapped("payload", activity))
     rows = rows.withColumns({
-        "event_type": F.coalesce(_s(n, "$.eventType"), _s(n, "$.type"), F.lit("remote.activity")),
-        "session_id": F.coalesce(_s(n, "$.sessionId"), _s(a, "$.input_ref"), text.text_or_null(F.col("id")), F.lit("remote-session")),
-        "ts": text.iso_millis(F.coalesce(_s(n, "$.ts"), _s(a, "$.ts"), text.text_or_null(F.col("created_at"))), now),
+        "event_type": F.coalesce("__e.event_type", F.lit("remote.activity")),
+        "session_id": F.coalesce("__e.session_id", text.text_or_null(F.col("id")), F.lit("remote-session")),
+        "ts": text.iso_millis(F.coalesce("__e.ts", text.text_or_null(F.col("created_at"))), now),
     })
     seed = F.concat_ws("|", F.coalesce(text.text_or_null(F.col("id")), F.lit("timeline")), "ts", "event_type", "session_id")
-    rows = rows.withColumns({
-        "thread_id": F.coalesce(_s(n, "$.threadId"), F.col("session_id")),
-        "event_id": F.when(F.col("__ok"), F.coalesce(_s(n, "$.eventId"), _s(a, "$.output_ref"), ids.short_hash(seed, 24))),
-        "actor_id": F.coalesce(_s(n, "$.actorId"), F.lit(fallback_actor)),
-        "source": text.known_source(_s(n, "$.source")),
-        "reasoning_availability": text.known_reasoning(_s(n, "$.reasoningAvailability")),
-        "payload_json": F.coalesce(F.to_json(F.when(F.schema_of_variant(at("__n", "$.payload")).startswith("OBJECT"), at("__n", "$.payload"))), F.lit("{}")),
+    return rows.withColumns({
+        "thread_id": F.coalesce("__e.thread_id", "session_id"),
+        "event_id": F.when(F.col("__e.payload_json").isNotNull(), F.coalesce("__e.event_id", ids.short_hash(seed, 24))),
+        "actor_id": F.coalesce("__e.actor_id", F.lit(fallback_actor)),
+        "source": text.known_source(F.col("__e.source")),
+        "reasoning_availability": text.known_reasoning(F.col("__e.reasoning")),
+        "payload_json": F.coalesce("__e.payload_json", F.lit("{}")),
         "repo_id": F.lit(repo_id),
-    })
-    return rows.drop("__pay", "__act", "__a", "__e", "__n", "__ok")
+    }).drop("__e")
 
 
 def import_new(parsed: DataFrame, stored: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ def first_arrivals(events: DataFrame) -> DataFrame:
     """Of events with one id in a repository the first to arrive; the rest are dropped, whatever they say."""
     # min_by aggregates map-side, so repeats of one hot id never meet in one task
     others = [c for c in events.columns if c not in KEY]
-    kept = events.groupBy(*KEY).agg(F.min_by(F.struct(*others), "arrival_seq").alias("e"))
+    kept = events.groupBy(*KEY).agg(F.min_by(F.struct(*others), F.struct("arrival_seq")).alias("e"))
     return kept.select(*KEY, "e.*").select(*events.columns)
 
 

@@ -45,14 +45,14 @@ def _projection(project: Callable[[dict], tuple]):
 
 def read_lines(spark: SparkSession, root: str) -> DataFrame:
     """(file, size_bytes, modified_at, line_no, line) of all .jsonl files below root; blank lines don't count."""
-    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").option("wholetext", "true").text(root)
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(root, wholetext=True)
     cut = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size_bytes"), F.col("_metadata.file_modification_time").alias("modified_at"), F.posexplode(F.filter(F.split("value", "\n", -1), lambda x: F.trim(F.regexp_replace(x, "\\s+", " ")) != "")).alias("line_no", "line"))
     return cut.withColumn("line_no", F.col("line_no").cast("long"))
 
 
 def read_gemini(spark: SparkSession, root: str) -> DataFrame:
     """As read_lines(), of .json and .jsonl transcripts; a .json file may wrap its entries."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json*").option("wholetext", "true").text(root)
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json*").text(root, wholetext=True)
     split = F.udf(entries_of_file, "array<string>", useArrow=True)
     name = F.col("_metadata.file_path")
     kept = files.where(~name.endswith("/logs.json")).select(name.alias("file"), F.col("_metadata.file_size").alias("size_bytes"), F.col("_metadata.file_modification_time").alias("modified_at"), F.posexplode(split(name, F.col("value"))).alias("line_no", "line"))
