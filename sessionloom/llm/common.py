@@ -122,25 +122,34 @@ class PieceEncoder:
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_new(self) -> None:
-        """Pieces not met before. Closing punctuation after a letter is a pre-token of its own, so it is encoded apart."""
-        cut = []
-        for key in self._index.new:
-            text = key[1:] if key[:1] == "\r" else key if not self._lead or key[:1] == "\n" else " " + key
-            hit = self._tail.search(text)
-            cut.append((text[: hit.start(2)], hit[2]) if hit else (text, ""))
-        parts = self._parts
+    def encode_pieces(self, pieces: list[str]) -> tuple[array.array, list[int]]:
+        """(ids of pieces end to end, how many each has). Closing punctuation after a letter is a pre-token of its own, so it is encoded apart."""
+        search, parts = self._tail.search, self._parts
         if len(parts) > self.MAX_PIECES:
             parts.clear()
-        missing = list({p for pair in cut for p in pair if p and p not in parts})
+        cut = [(p[: h.start(2)], h[2]) if (h := search(p)) else (p, "") for p in pieces]
+        parts[""] = []
+        missing = list({p for pair in cut for p in pair}.difference(parts))
         for a in range(0, len(missing), 20_000):
             some = missing[a : a + 20_000]
             parts.update(zip(some, self._library(some), strict=True))
+        flat, counts = array.array("i"), []
         for core, tail in cut:
-            ids = (parts[core] if core else []) + (parts[tail] if tail else [])
-            self._starts.append(len(self._flat))
-            self._lens.append(len(ids))
-            self._flat.extend(ids)
+            ids = parts[core] + parts[tail] if tail else parts[core]
+            flat.extend(ids)
+            counts.append(len(ids))
+        return flat, counts
+
+    def _encode_new(self) -> None:
+        """Pieces not met before."""
+        keys = self._index.new
+        if self._lead:
+            keys = [k[1:] if k[:1] == "\r" else k if k[:1] == "\n" else " " + k for k in keys]
+        flat, counts = self.encode_pieces(keys)
+        first = len(self._flat)
+        self._starts.extend((first + np.cumsum(counts) - counts).tolist())
+        self._lens.extend(counts)
+        self._flat.extend(flat)
         self._index.new = []
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -241,34 +250,32 @@ def word_grams(words: list[bytes], sizes: tuple[int, ...], buckets: int) -> tupl
 
 
 class WordTable:
-    """Numbers words and keeps what `measure(words)` gives for each (rows of floats); forgets all beyond `limit` words."""
+    """Numbers words and keeps the rows that `measure(words)` gives: one table for each (width, dtype). Forgets all beyond `limit` words."""
 
-    def __init__(self, measure, width: int, limit: int = 300_000) -> None:
-        self._measure, self._limit, self._width = measure, limit, width
+    def __init__(self, measure, *kinds: tuple[int, type], limit: int = 300_000) -> None:
+        self._measure, self._kinds, self._limit = measure, kinds, limit
         self._reset()
 
     def _reset(self) -> None:
         self._index = _Index()
-        self._rows = np.zeros((1024, self._width))
+        self.tables = [np.zeros((1024, width), kind) for width, kind in self._kinds]
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        """The words' rows in .rows, valid until the next call."""
+        """The words' rows in .tables, valid until the next call."""
         if len(self._index) > self._limit:
             self._reset()
         out = np.fromiter(map(self._index.__getitem__, words), np.int64, len(words))
         if self._index.new:
             new, self._index.new = self._index.new, []
-            n = len(self._index)
-            if n > len(self._rows):
-                self._rows = np.concatenate([self._rows, np.zeros((max(n, 2 * len(self._rows)) - len(self._rows), self._width))])
+            n, first = len(self._index), len(self._index) - len(new)
+            for k, table in enumerate(self.tables):
+                if n > len(table):
+                    self.tables[k] = np.concatenate([table, np.zeros((max(n, 2 * len(table)) - len(table), table.shape[1]), table.dtype)])
             for a in range(0, len(new), 20_000):
-                self._rows[n - len(new) + a : n - len(new) + min(a + 20_000, len(new))] = self._measure(new[a : a + 20_000])
+                for table, rows in zip(self.tables, self._measure(new[a : a + 20_000]), strict=True):
+                    table[first + a : first + a + len(rows)] = rows
         return out
 
-    @property
-    def rows(self) -> np.ndarray:
-        return self._rows
-
 
 def segment_sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Sums of consecutive runs of rows; empty runs give 0."""

@@ -36,11 +36,11 @@ class LanguageModel:
     limit: float = 0.0
     sizes: tuple[int, ...] = (2, 3, 4)
 
-    def word_logits(self, words: list[bytes]) -> np.ndarray:
+    def word_logits(self, words: list[bytes]) -> tuple[np.ndarray]:
         """Rows of (sum of the word's n-gram logits, number of n-grams)."""
         buckets, counts = common.word_grams(words, self.sizes, len(self.embeddings))
         table = self.embeddings @ self.weights
-        return np.column_stack([common.segment_sums(table[buckets], counts), counts]).astype(np.float32)
+        return (np.column_stack([common.segment_sums(table[buckets], counts), counts]),)
 
     def probabilities(self, logits: np.ndarray) -> np.ndarray:
         z = logits / self.temperature
@@ -108,14 +108,14 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
 
     def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: LanguageModel = shared.value
-        table = common.WordTable(m.word_logits, len(m.bias) + 1)
+        table = common.WordTable(m.word_logits, (len(m.bias) + 1, np.float32))
         for batch in batch_iter:
             texts = batch.column(1).to_pylist()
             for a, b in common.batches(texts):
                 lists = [common.words_of(t) for t in texts[a:b]]
                 counts = np.array([len(x) for x in lists])
                 numbers = table.numbers([w for x in lists for w in x])
-                sums = common.segment_sums(table.rows[numbers], counts)
+                sums = common.segment_sums(table.tables[0][numbers], counts)
                 p = m.probabilities(sums[:, :-1] / np.maximum(sums[:, -1:], 1) + m.bias)
                 best = p.argmax(axis=1)
                 known = np.array([bool(m.languages) and any(map(str.isalpha, t or "")) for t in texts[a:b]])

@@ -322,7 +322,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, max_bits: int = 2,
     comps = common.materialise(components(near_links(distinct.select("fp"), max_bits)), "components")
     reached = comps.join(distinct, comps["node"] == distinct["fp"]).groupBy("root").agg(F.min("first").alias("component_id"))
     linked = comps.join(reached, "root").select(F.col("node").alias("fp"), "component_id")
-    named = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), "n_same")
+    # a stored table, so that the join below reads both sides from a shuffle and Spark can split a fingerprint of many copies
+    named = common.materialise(distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), "n_same"), "named")
     return rows.join(named, "fp").select("id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_same")
 
 

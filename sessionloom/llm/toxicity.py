@@ -38,10 +38,10 @@ class SpanModel:
     layer: np.ndarray = field(default_factory=lambda: np.zeros(4))
     sizes: tuple[int, ...] = (3, 4, 5)
 
-    def word_scores(self, words: list[bytes]) -> np.ndarray:
+    def word_scores(self, words: list[bytes]) -> tuple[np.ndarray]:
         """The unary log-odds of being offending of each word."""
         grams, counts = common.word_grams(words, self.sizes, len(self.weights))
-        return (common.segment_sums(self.weights[grams][:, None], counts) / counts[:, None] + self.bias).astype(np.float32)
+        return (common.segment_sums(self.weights[grams][:, None], counts) / counts[:, None] + self.bias,)
 
 
 def _pass(message: np.ndarray, moves: np.ndarray) -> np.ndarray:
@@ -159,9 +159,9 @@ def train(texts: list[str | None], toxic: list[int], buckets: int = 1 << 16, epo
         np.clip(model.weights, -60, 60, out=model.weights)
     counts_of = np.array([len(x) for x in lists])
     flat = [w for x in lists for w in x]
-    table = common.WordTable(model.word_scores, 1, 10**9)
+    table = common.WordTable(model.word_scores, (1, np.float64), limit=10**9)
     numbers = table.numbers(flat)
-    p = marginals(table.rows[numbers][:, 0].astype(float), counts_of, model.moves)
+    p = marginals(table.tables[0][numbers, 0], counts_of, model.moves)
     x = _summary(p, counts_of)
     weight = np.where(y == 1, 1.0, 1.0)
     for _ in range(60):  # Newton steps with a small ridge
@@ -190,7 +190,7 @@ def score(docs: DataFrame, model: SpanModel, id_col: str = "doc_id", text_col: s
 
     def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: SpanModel = shared.value
-        table = common.WordTable(m.word_scores, 1)
+        table = common.WordTable(m.word_scores, (1, np.float64))
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("probability", pa.float64())]))
         for batch in batch_iter:
             texts = batch.column(1).to_pylist()
@@ -198,7 +198,7 @@ def score(docs: DataFrame, model: SpanModel, id_col: str = "doc_id", text_col: s
                 lists = [words_of(t) for t in texts[a:b]]
                 counts = np.array([len(x) for x in lists])
                 numbers = table.numbers([w for x in lists for w in x])
-                p = marginals(table.rows[numbers][:, 0].astype(float), counts, m.moves)
+                p = marginals(table.tables[0][numbers, 0], counts, m.moves)
                 s = 1 / (1 + np.exp(-np.clip(_summary(p, counts) @ m.layer, -30, 30)))
                 spans: list[list[dict]] = [[] for _ in lists]
                 ends = np.cumsum(counts)
