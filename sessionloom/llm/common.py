@@ -52,6 +52,15 @@ def materialise(df: DataFrame, name: str, *, partition_by: Iterable[str] = ()) -
     return spark.read.schema(df.schema).parquet(path)
 
 
+def pin_splits(spark: SparkSession) -> None:
+    """From now on files are split for as many cores as there are now, unless the session says for how many.
+
+    Row numbers and partition ids of a stored table then agree between two reads, also after executors are lost.
+    """
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", spark.sparkContext.defaultParallelism)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words of the lower-cased (A-Z only) text as UTF-8."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

@@ -146,6 +146,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, min
     row is the document's monotonically_increasing_id(). reach is how far around a hit words are compared.
     """
     spark = docs.sparkSession
+    common.pin_splits(spark)
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
     short = items.where(F.size(F.split(F.trim("text"), "[\\s\\p{Punct}]+")) < max(map(len, MASKS)) + 2).limit(1).count() > 0
     masks = MASKS + (SHORT_MASK,) * short

@@ -73,6 +73,7 @@ def dedup_lines(docs: DataFrame, divisor: int = 2, long_words: int = 8, single_w
     """docs with repeated passages cut out of text_col, and the new columns n_lines and n_removed_lines (long)."""
     options = {"divisor": divisor, "long_words": long_words, "single_words": single_words}
     key, cuts = "__sessionloom_row", "__sessionloom_cuts"
+    common.pin_splits(docs.sparkSession)
     keyed = docs.withColumn(key, F.monotonically_increasing_id())
     found = common.materialise(_occurrences(keyed.select(F.col(key).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), options), "line-chunks")
     place = F.struct(F.col("id").isNull().alias("null"), "id", "row", "a")

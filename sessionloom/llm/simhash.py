@@ -334,6 +334,7 @@ def keep_one(docs: DataFrame, shingle_words: int = 5, max_bits: int = 6, id_col:
     their partition and order when it is read again.
     """
     key = "__sessionloom_row"
+    common.pin_splits(docs.sparkSession)
     keyed = docs.withColumn(key, F.monotonically_increasing_id())
     slim = keyed.select(F.struct(F.col(id_col).isNull().alias("null"), F.col(id_col).alias("id"), F.col(key).alias("row")).alias("who"), F.col(text_col).alias("text"))
     rows = common.materialise(with_fingerprints(slim, shingle_words, "who", "text"), "fingerprints")
