@@ -17,7 +17,7 @@ doc_id never names a component unless the component has no other id. Input must
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -119,31 +119,30 @@ def reorder(fps: np.ndarray, order: list[tuple[int, int]]) -> np.ndarray:
     return out
 
 
-def trie_pairs(a: np.ndarray, b: np.ndarray | None, max_bits: int, leaf: int = 16_384) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs with at most max_bits differing bits, of one sorted array (b is None) or across two.
+def _walk(a: np.ndarray, b: np.ndarray, own: bool, max_bits: int, leaf: int, skip: Callable[[int, int, int, int], bool]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs with at most max_bits differing bits across two sorted arrays (own: of one array with itself), in blocks.
 
     A range of a sorted array is a trie node. Node pairs are walked together from the root, with the bits in which
-    they differ so far; a pair of subtries with at most `leaf` combinations is compared outright.
+    they differ so far; a pair of subtries with at most `leaf` combinations is compared outright. Node pairs that
+    `skip` names are left out.
     """
-    own = b is None
-    b = a if own else b
-    left, right = [], []
+    step = max(1, leaf * 16)
     stack = [(0, len(a), 0, len(b), 63, 0)]
     while stack:
         a0, a1, b0, b1, bit, spent = stack.pop()
         if a0 >= a1 or b0 >= b1 or spent > max_bits:
             continue
         same = own and a0 == b0 and a1 == b1
-        if same and a1 - a0 == 1:
+        if (same and a1 - a0 == 1) or skip(a0, a1, b0, b1):
             continue
         if (a1 - a0) * (b1 - b0) <= leaf or bit < 0:
-            for lo in range(a0, a1, max(1, leaf * 16 // (b1 - b0))):
-                hi = min(a1, lo + max(1, leaf * 16 // (b1 - b0)))
+            rows = max(1, step // (b1 - b0))
+            for lo in range(a0, a1, rows):
+                hi = min(a1, lo + rows)
                 i, j = np.nonzero(np.bitwise_count(a[lo:hi, None] ^ b[None, b0:b1]) <= max_bits)
                 i, j = i + lo, j + b0
                 keep = i < j if same else slice(None)
-                left.append(i[keep])
-                right.append(j[keep])
+                yield i[keep], j[keep]
             continue
         mask = np.uint64(1 << bit)
         am = a0 + int(np.count_nonzero((a[a0:a1] & mask) == 0))
@@ -153,14 +152,18 @@ def trie_pairs(a: np.ndarray, b: np.ndarray | None, max_bits: int, leaf: int = 1
         stack.append((a0, am, bm, b1, bit - 1, spent + 1))
         if not same:
             stack.append((am, a1, b0, bm, bit - 1, spent + 1))
-    if not left:
+
+
+def trie_pairs(a: np.ndarray, b: np.ndarray | None, max_bits: int, leaf: int = 16_384) -> tuple[np.ndarray, np.ndarray]:
+    """All index pairs with at most max_bits differing bits, of one sorted array (b is None) or across two."""
+    found = list(_walk(a, a if b is None else b, b is None, max_bits, leaf, lambda *_: False))
+    if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(left), np.concatenate(right)
+    return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
 
 
-def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest index in each node's component."""
-    label = np.arange(n)
+def _forest(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest index in each node's component; label holds those of the links so far."""
     while True:
         low = np.minimum(label[i], label[j])
         new = label.copy()
@@ -174,22 +177,48 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
+def trie_labels(a: np.ndarray, b: np.ndarray | None, max_bits: int, leaf: int = 16_384, held_pairs: int = 200_000) -> np.ndarray:
+    """For each index of a, then of b, the smallest one that it is linked to, directly or not.
+
+    Holds held_pairs pairs and those of one leaf at once. Node pairs whose members all are in one component already
+    can add nothing and are skipped, so a dense group costs about as many comparisons as it has members.
+    """
+    own, n = b is None, len(a)
+    b, shift = (a, 0) if own else (b, n)
+    label = np.arange(n if own else n + len(b))
+    if own and n > 1:  # neighbours first: they join most of a dense group
+        near = np.flatnonzero(np.bitwise_count(a[1:] ^ a[:-1]) <= max_bits)
+        label = _forest(label, near, near + 1)
+
+    def joined(a0: int, a1: int, b0: int, b1: int) -> bool:
+        one = label[a0]
+        return label[b0 + shift] == one and bool((label[a0:a1] == one).all() and (label[b0 + shift : b1 + shift] == one).all())
+
+    left, right, held = [], [], 0
+    for i, j in _walk(a, b, own, max_bits, leaf, joined):
+        left.append(i)
+        right.append(j + shift)
+        held += len(i)
+        if held >= held_pairs:
+            label = _forest(label, np.concatenate(left), np.concatenate(right))
+            left, right, held = [], [], 0
+    if held:
+        label = _forest(label, np.concatenate(left), np.concatenate(right))
+    return label
+
+
 def _bucket_links(order: int, side: np.ndarray, fps: np.ndarray, orders: list, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of one bucket's links. side: 0 all with all; 1 and 2 only across."""
     if len(fps) < 2:
         return fps[:0], fps[:0]
     turned = reorder(fps, orders[order])
-    at = np.argsort(turned, kind="stable")
+    at = np.lexsort((turned, side))
     turned, fps, side = turned[at], fps[at], side[at]
     if side[0] == 0:
-        i, j = trie_pairs(turned, None, max_bits)
+        label = trie_labels(turned, None, max_bits)
     else:
-        one, two = np.flatnonzero(side == 1), np.flatnonzero(side == 2)
-        i, j = trie_pairs(turned[one], turned[two], max_bits)
-        i, j = one[i], two[j]
-    if not len(i):
-        return fps[:0], fps[:0]
-    label = _forest(len(fps), i, j)
+        ones = int(np.count_nonzero(side == 1))
+        label = trie_labels(turned[:ones], turned[ones:], max_bits)
     moved = np.flatnonzero(label != np.arange(len(fps)))
     return fps[label[moved]], fps[moved]
 

@@ -99,6 +99,31 @@ def test_trie_finds_every_pair(bits):
     assert all(sum(w for _, w in o) == 64 for o in orders)
 
 
+@pytest.mark.parametrize("held", [1, 50, 200_000])
+def test_dense_groups_are_linked_without_all_their_pairs(held):
+    rng = np.random.default_rng(held)
+    centres = rng.integers(0, 2**63, 3, dtype=np.uint64)
+    flips = np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (900, 4), dtype=np.uint64), axis=1)
+    fps = np.unique(np.concatenate([np.repeat(centres, 300) ^ flips, rng.integers(0, 2**63, 50, dtype=np.uint64)]))
+
+    def least(pairs, n):
+        label = np.arange(n)
+        while True:
+            new = label.copy()
+            for i, j in pairs:
+                new[i] = new[j] = min(new[i], new[j])
+            if np.array_equal(new, label):
+                return label
+            label = new
+
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 6
+    pairs = [(i, j) for i, j in zip(*np.nonzero(near), strict=True) if i < j]
+    assert np.array_equal(simhash.trie_labels(fps, None, 6, leaf=16, held_pairs=held), least(pairs, len(fps)))
+    one, two = fps[::2], fps[1::2]
+    across = [(i, j + len(one)) for i, j in zip(*np.nonzero(near[::2, 1::2]), strict=True)]
+    assert np.array_equal(simhash.trie_labels(one, two, 6, leaf=16, held_pairs=held), least(across, len(fps)))
+
+
 def test_split_buckets_give_the_same_components(spark):
     rng = np.random.default_rng(3)
     base = int(rng.integers(0, 2**62))
