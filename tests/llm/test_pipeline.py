@@ -3,11 +3,12 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sessionloom.llm import queries
+from sessionloom.llm import neardup, queries, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,6 +40,36 @@ def test_stages_take_odd_tables(spark, tmp_path):
             stage(spark, docs, SF).collect()
 
 
+def test_near_dedup_removes_pairs_at_the_stated_similarity(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 6))
+    rows, expected, other = [], set(), set()
+    for i in range(0, 400, 2):
+        words = [word() for _ in range(200)]
+        changed = list(words)
+        for k in range(10, 200, 60 if i % 4 else 20):  # 4 or 10 of 200 words: similarities of 176/216 and 146/246
+            changed[k] = word()
+        rows += [(i, " ".join(words), "en", "s", 1), (i + 1, " ".join(changed), "en", "s", 1)]
+        expected |= {i} if i % 4 else {i, i + 1}
+        a, b = ({tuple(x[k : k + 5]) for k in range(196)} for x in (words, changed))
+        assert (len(a & b) >= 0.8 * len(a | b)) == bool(i % 4)
+        other.add(simhash.fingerprints([" ".join(words)], 5)[0] ^ simhash.fingerprints([" ".join(changed)], 5)[0])
+    assert max(int(x).bit_count() for x in other) > 6
+    star = [word() for _ in range(300)]
+    for i in range(400, 480):  # a group whose members are all close to the first and mostly below the limit to each other
+        copy = list(star)
+        for k in rng.integers(0, 300, 0 if i == 400 else 6):
+            copy[k] = word()
+        rows.append((i, " ".join(copy), "en", "s", 1))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "d"))
+    kept = {r.doc_id: r.text for r in corpus_pipeline.near_dedup(spark, spark.read.parquet(str(tmp_path / "d")), SF).collect()}
+    assert {i for i in kept if i < 400} == expected
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (kept[i].split() for i in kept if i >= 400)]
+    small = neardup.keep_one(spark.read.parquet(str(tmp_path / "d")), block=7)
+    assert {r.doc_id for r in small.collect()} == set(kept)
+    assert 1 <= len(sets) < 80 and all(len(a & b) < 0.8 * len(a | b) for j, a in enumerate(sets) for b in sets[:j])
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
