@@ -1,8 +1,8 @@
 """Removal of line passages that repeat across the corpus, by content-defined chunks (operator 4).
 
 Each line has a hash. A segment of lines ends where a rolling hash over the last two line hashes says so (one value in
-`divisor`), or after a line of `long_words` words or more; either looks at no more than two lines, so an insertion
-moves no boundary beyond the next line. A chunk is two consecutive segments, a segment of several lines, or a single
+`divisor`), and before and after a line of `long_words` words or more; all look at no more than two lines, so an insertion
+moves no boundary beyond the next line and a long line always begins a segment, whatever stands before it. A chunk is two consecutive segments, a segment of several lines, or a single
 line of `single_words` words or more. Chunks are counted over all documents by a 64-bit hash; every occurrence of a
 repeated one but the first (by id, row and line) is compared with the first byte by byte, and its lines are removed.
 
@@ -39,7 +39,8 @@ def chunks(text: str | None, divisor: int = 2, long_words: int = 8, single_words
     h = np.array(hashes, np.uint64)
     rolling = h * _M1 + np.concatenate([[_U(0)], h[:-1]]) * _M2
     rolling ^= rolling >> _U(31)
-    ends = np.flatnonzero((rolling % _U(divisor) == 0) | (np.array(sizes) >= long_words)) + 1
+    long = np.array(sizes) >= long_words
+    ends = np.flatnonzero((rolling % _U(divisor) == 0) | long | np.append(long[1:], False)) + 1
     bounds = [0, *ends.tolist()]
     if bounds[-1] != len(lines):
         bounds.append(len(lines))

@@ -282,6 +282,16 @@ def test_repeated_passages_go_and_others_stay(spark, tmp_path):
     assert (found[3].n_lines, found[4].n_lines) == (0, 1)
 
 
+def test_passages_after_short_lines_go(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    line = lambda n: " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(n))
+    single, two = line(60), [line(20), line(25)]
+    rows = [(i, "\n".join([line(2), *([single] if i % 2 else two), line(3)])) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    found = {r.doc_id: r.n_removed_lines for r in linededup.dedup_lines(spark.read.parquet(str(tmp_path / "d"))).collect()}
+    assert found == {i: 0 if i < 2 else 1 if i % 2 else 2 for i in range(60)}
+
+
 def test_line_dedup_of_odd_texts(odd, empty):
     found = linededup.dedup_lines(odd)
     assert found.columns == [*odd.columns, "n_lines", "n_removed_lines"] and found.count() == odd.count() and linededup.dedup_lines(empty).count() == 0
