@@ -175,13 +175,18 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = 300
     """A model of the documents whose ids meet `usable`; about per_class labelled ones of each class are used."""
     known = labels.where(usable & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
     sizes = {row[0]: row[1] for row in known.groupBy("y").count().collect()}
-    total = sum(sizes.values())
-    # sampled before the join, so that only the sample's texts move; each class keeps its share of the labels in the layer's prior
-    rate = min(1.0, 2 * per_class / max(1, total))
+    # sampled before the join, so that only the sample's texts move; each class at its own rate, which the layer's prior makes up for
+    rates = {y: min(1.0, per_class / n) for y, n in sizes.items()}
+    rate = F.lit(1.0)
+    for y, r in rates.items():
+        rate = F.when(F.col("y") == y, F.lit(r)).otherwise(rate)
     spread = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
     chosen = known.where(spread < rate)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").toPandas().sort_values("id")
-    return train(rows["text"].tolist(), rows["y"].tolist(), **options)
+    model = train(rows["text"].tolist(), rows["y"].tolist(), **options)
+    if rows["y"].nunique() > 1:
+        model.layer[0] += np.log(rates[0] / rates[1])
+    return model
 
 
 def score(docs: DataFrame, model: SpanModel, id_col: str = "doc_id", text_col: str = "text", span_limit: float = 0.5) -> DataFrame:

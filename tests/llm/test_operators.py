@@ -430,3 +430,17 @@ def test_toxic_spans(spark, odd, empty):
     assert toxicity.score(empty, model).count() == 0 and all(0 <= r.score <= 1 for r in toxicity.score(odd, model).collect())
     flat = toxicity.fit(docs, table.where("toxic = 0"), F.lit(True))
     assert {round(r.score, 2) for r in toxicity.score(docs, flat).collect()} == {0.01}
+
+
+def test_rare_toxic_labels_are_all_used(spark):
+    rng = np.random.default_rng(9)
+    clean = ["".join(chr(97 + c) for c in rng.integers(0, 26, 5)) for _ in range(300)]
+    rows = []
+    for i in range(3000):
+        words = list(rng.choice(clean, 30))
+        if i % 100 == 0:
+            words[int(rng.integers(0, 30))] = "nastyword"
+        rows.append((i, " ".join(words), int(i % 100 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    found = {r.id: r.predicted for r in toxicity.score(docs, toxicity.fit(docs, docs, F.lit(True), per_class=60)).collect()}
+    assert np.mean([found[i] for i, _, y in rows if y]) > 0.9 and np.mean([found[i] for i, _, y in rows if not y]) < 0.01
