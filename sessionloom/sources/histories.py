@@ -91,7 +91,9 @@ def stage(lines: DataFrame, provider: str, repo_id: str, roots: list[str], now:
     held = lambda field: F.coalesce(F.last(f"p.{field}", ignorenulls=True).over(before), F.first(f"p.{field}", ignorenulls=True).over(whole))
     rows = rows.withColumns({"session_id": F.coalesce(held("session_id"), file_name), "cwd": held("cwd"), "file_cwd": F.first("p.cwd", ignorenulls=True).over(whole), "lines_now": F.max("line_no").over(by_file) + 1})
     if project_dirs is not None:
-        near = rows.select("file").distinct().join(F.broadcast(project_dirs.limit(10_000)), F.expr("startswith(file, concat(prefix, '/'))")).groupBy("file").agg(F.min_by("root", "prefix").alias("root"))
+        folders = F.transform(F.sequence(F.lit(1), F.size("parts") - 1), lambda n: F.array_join(F.slice("parts", F.lit(1), n), "/"))
+        above = rows.select("file").distinct().withColumn("parts", F.split("file", "/")).where(F.size("parts") > 1).select("file", F.explode(folders).alias("prefix"))
+        near = above.join(project_dirs, "prefix").groupBy("file").agg(F.min_by("root", "prefix").alias("root"))
         rows = rows.join(near, "file", "left").withColumns({"file_cwd": F.coalesce("root", "file_cwd"), "cwd": F.coalesce("cwd", "root")}).drop("root")
     rows = rows.where(owned(F.col("file_cwd"), roots))
     if cursors is not None:

@@ -88,6 +88,14 @@ def test_gemini_entries_and_dirs(spark, tmp_path):
     assert gemini.project_gemini({"role": "human", "text": "t", "toolCalls": [{"name": "edit", "args": {"path": "f"}}]})[4][0][0] == "prompt.submitted"
 
 
+def test_gemini_dirs_have_no_bound(spark, tmp_path):
+    write(tmp_path / "p1/chat.json", json.dumps({"sessionId": "g", "messages": [{"role": "user", "text": "q"}]}))
+    lines = histories.read_gemini(spark, str(tmp_path))
+    prefix = lines.first().file.rsplit("/", 1)[0]
+    dirs = spark.range(20_000).select(F.when(F.col("id") == 19_999, F.lit(prefix)).otherwise(F.concat(F.lit("/none/"), "id")).alias("prefix"), F.lit("/w/app").alias("root")).coalesce(1)
+    assert histories.stage(lines, "gemini", "r", ["/w"], now(), project_dirs=dirs).count() == 2
+
+
 def test_codex_exec_command_patch():
     call = {"type": "response_item", "payload": {"type": "function_call", "name": "exec_command", "arguments": json.dumps({"cmd": "*** Begin Patch\n*** Add File: n\n"})}}
     assert codex.project_codex(call)[4][1][1]["item"]["changes"] == [{"path": "n", "kind": "add"}]
