@@ -4,9 +4,11 @@ Texts are lower-cased (A-Z) and cut into words at white space and ASCII punctuat
 a window and ignores the others, so a substituted word in an ignored place doesn't change the window's hash. Windows of
 the benchmark and of the training texts that agree under a mask are joined by hash; before that join a Bloom filter of
 fixed size, built from the benchmark in Spark, drops training windows that can't match. Around every hit the two word
-sequences are compared on the hit's diagonal: the best-scoring stretch (one for an equal word, `mismatch` for a
-substituted one) counts if at least `min_words` of its words are equal (all of a shorter item's, `min_item_words` at
-least) and they are `min_share` of the stretch.
+sequences are compared on the hit's diagonal: the longest stretch of which `min_share` of the words are equal counts if
+at least `min_words` of its words are equal (of a shorter item, `min_share` of its words, `min_item_words` at least long).
+
+Seeds miss no overlap at the default limits: 13 equal words with at most a quarter as many substitutions hold four equal
+words in a row. Items of 5 to 12 words may hold none; three more masks with one ignored place then hit.
 
 Null and empty texts never match. Items shorter than min_item_words never do either. Rows that repeat are documents of
 their own. Documents must be a stored table, whose rows keep their partition and order when it is read again.
@@ -24,8 +26,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MASKS = ("1110100111", "1101011011", "1011100101011", "1111111")
-SHORT_MASK = "11111"
+MASKS = ("1111", "11011", "10111", "11101")
 _U = np.uint64
 _BLOOM_BITS = 23
 _PUNCTUATION = bytes(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
@@ -71,7 +72,7 @@ def _bloom_places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h & low, (h >> _U(64 - _BLOOM_BITS)) & low
 
 
-def _item_seeds(items: DataFrame, masks: tuple[str, ...], min_item_words: int) -> DataFrame:
+def _item_seeds(items: DataFrame, masks: tuple[str, ...], min_item_words: int, min_words: int) -> DataFrame:
     def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batch_iter:
@@ -80,7 +81,7 @@ def _item_seeds(items: DataFrame, masks: tuple[str, ...], min_item_words: int) -
                 if len(words) < min_item_words:
                     continue
                 h = np.fromiter((hashes[w] for w in words), np.uint64, len(words))
-                for number, mask in enumerate(masks):
+                for number, mask in enumerate(masks if len(words) < min_words else masks[:1]):
                     found = seeds(h, mask, number)
                     if len(found):
                         yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), batch.column(0).take(pa.array([i] * len(found), pa.int64())), pa.array(range(len(found)), pa.int32())], names=["h", "item", "at"])
@@ -131,16 +132,24 @@ def _regions(keyed: DataFrame, masks: tuple[str, ...], bloom, reach: int) -> Dat
     return keyed.mapInArrow(run, f"row long, id {keyed.schema['id'].dataType.simpleString()}, first int, words array<long>, h array<long>, at array<int>")
 
 
-def best_stretch(equal: np.ndarray, mismatch: float) -> tuple[int, int, int]:
-    """(start, end, equal words) of the best-scoring stretch."""
-    sums = np.concatenate([[0.0], np.cumsum(np.where(equal, 1.0, -mismatch))])
-    low = np.minimum.accumulate(sums)
-    end = int(np.argmax(sums - low))
-    start = int(np.flatnonzero(sums[: end + 1] == low[end])[-1])
-    return start, end, int(equal[start:end].sum())
+def best_stretch(equal: np.ndarray, min_share: float) -> tuple[int, int, int]:
+    """(start, end, equal words) of the longest stretch of which at least min_share of the words are equal.
 
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, min_share: float = 0.8, min_item_words: int = 5, mismatch: float = 2.0, reach: int = 256, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    It begins and ends with an equal word: words that differ at its ends are cut off, which only raises the share.
+    """
+    sums = np.concatenate([[0.0], np.cumsum(equal - min_share)]) + 1e-9 * np.arange(len(equal) + 1)
+    low, high = np.minimum.accumulate(sums), np.maximum.accumulate(sums[::-1])[::-1]
+    # for each start that is a new low, the last end that isn't below it
+    starts = np.flatnonzero(np.concatenate([[True], sums[1:] < low[:-1]]))
+    ends = np.searchsorted(-high, -sums[starts], side="right") - 1
+    k = int(np.argmax(ends - starts))
+    inside = np.flatnonzero(equal[starts[k] : ends[k]])
+    if not len(inside):
+        return 0, 0, 0
+    return int(starts[k] + inside[0]), int(starts[k] + inside[-1]) + 1, len(inside)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, min_share: float = 0.8, min_item_words: int = 5, reach: int = 256, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(row, id, item, first_word, n_words, n_equal): for each document and item that overlap, the best stretch.
 
     row is the document's monotonically_increasing_id(). reach is how far around a hit words are compared.
@@ -148,9 +157,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, min
     spark = docs.sparkSession
     common.pin_splits(spark)
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
-    short = items.where(F.size(F.split(F.trim("text"), "[\\s\\p{Punct}]+")) < max(map(len, MASKS)) + 2).limit(1).count() > 0
-    masks = MASKS + (SHORT_MASK,) * short
-    item_seeds = common.materialise(_item_seeds(items, masks, min_item_words), "item-seeds")
+    masks = MASKS
+    item_seeds = common.materialise(_item_seeds(items, masks, min_item_words, min_words), "item-seeds")
     words = F.col("p").bitwiseAND(F.lit(63))
     low = F.lit((1 << _BLOOM_BITS) - 1).cast("long")
     places = item_seeds.select(F.explode(F.array(F.col("h").bitwiseAND(low), F.shiftrightunsigned("h", 64 - _BLOOM_BITS).bitwiseAND(low))).alias("p"))
@@ -184,8 +192,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, min
                 lo, hi = max(0, shift), min(len(d), shift + len(t))
                 if hi <= lo:
                     continue
-                a, b, n = best_stretch(d[lo:hi] == t[lo - shift : hi - shift], mismatch)
-                if n >= min(min_words, len(t)) and n >= min_share * (b - a):
+                a, b, n = best_stretch(d[lo:hi] == t[lo - shift : hi - shift], min_share)
+                if n and n >= (min_words if len(t) >= min_words else min_share * len(t) - 1e-9):
                     at.append(i)
                     start.append(firsts[i] + lo + a)
                     size.append(b - a)

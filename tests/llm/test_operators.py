@@ -344,6 +344,28 @@ def test_decontamination_finds_plants_with_substitutions(spark, tmp_path):
     assert {r.doc_id for r in decontam.drop_contaminated(docs, bench).collect()} == {2, 3, 5, 6, 7}
 
 
+def test_decontamination_at_the_stated_limits(spark, tmp_path):
+    rng = np.random.default_rng(12)
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 6))
+    rows, items = [], []
+    for n, subs, hit in ((15, 1, True), (15, 2, True), (16, 3, True), (18, 3, True), (20, 4, True), (25, 5, True), (15, 3, False), (5, 1, True), (6, 2, False), (9, 1, True), (10, 2, True), (12, 2, True), (12, 3, False)):
+        for _ in range(12):
+            item = [word() for _ in range(n)]
+            copy = list(item)
+            for k in rng.choice(n, subs, replace=False):
+                copy[k] = word()
+            items.append((len(items), " ".join(item)))
+            rows.append((len(rows), " ".join([*(word() for _ in range(20)), *copy, *(word() for _ in range(20))]), hit))
+    spark.createDataFrame(rows, "doc_id long, text string, hit boolean").write.parquet(str(tmp_path / "d"))
+    found = decontam.contaminated(spark.read.parquet(str(tmp_path / "d")), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.id, r.item) for r in found} == {(i, i) for i, _, hit in rows if hit}
+    for n in range(1, 40):
+        equal = rng.random(n) < 0.75
+        longest = max((b - a for a in range(n) for b in range(a + 1, n + 1) if equal[a] and equal[b - 1] and equal[a:b].mean() >= 0.8), default=0)
+        a, b, count = decontam.best_stretch(equal, 0.8)
+        assert b - a <= longest and count >= 0.8 * (b - a) - 1e-6 and count == equal[a:b].sum()
+
+
 def test_decontamination_of_odd_tables(spark, odd, empty):
     bench = spark.createDataFrame([(1, "w " * 20)], "item_id long, text string")
     assert {r.id for r in decontam.contaminated(odd, bench).collect()} == {9}
