@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import array
 import atexit
 import os
 import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: ASCII white space, the separators of words in every contract here; bytes.split() splits on exactly these.
@@ -66,6 +68,16 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+def text_slices(texts: pa.Array, limit: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges [a, b) of texts with about `limit` bytes each, at least one text."""
+    sums = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(sums, (sums[a - 1] if a else 0) + limit, side="right")))
+        yield a, b
+        a = b
+
+
 def batches(texts: list, limit: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Ranges [a, b) of texts with about `limit` characters each, so that a task's memory doesn't follow Spark's batches."""
     a = size = 0
@@ -99,110 +111,189 @@ class _Index(dict):
         return number
 
 
+class _Store:
+    """Id lists by number, end to end in one growing array; number 0 is the empty list."""
+
+    def __init__(self) -> None:
+        self.ids, self._used = np.zeros(1 << 16, np.int32), 0
+        self.starts, self.lens, self._count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 1
+
+    @staticmethod
+    def _room(array: np.ndarray, n: int) -> np.ndarray:
+        return array if n <= len(array) else np.concatenate([array, np.zeros(max(n, 2 * len(array)) - len(array), array.dtype)])
+
+    def add(self, flat: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        """The numbers of new lists."""
+        first, last = self._count, self._count + len(lens)
+        self.ids = self._room(self.ids, self._used + len(flat))
+        self.starts, self.lens = self._room(self.starts, last), self._room(self.lens, last)
+        self.ids[self._used : self._used + len(flat)] = flat
+        self.starts[first:last], self.lens[first:last] = self._used + np.cumsum(lens) - lens, lens
+        self._used, self._count = self._used + len(flat), last
+        return np.arange(first, last)
+
+    def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the lists end to end, their lengths)."""
+        lens = self.lens[numbers]
+        return self.ids[concat_ranges(self.starts[numbers], lens)], lens
+
+
 class PieceEncoder:
     """Ids of whole texts by the tokenizers library, which sees each distinct piece once.
 
-    A text is cut at single spaces and line ends, where neither kind of public BPE file merges across: with
-    `lead_space` (byte-level files) a piece keeps the space before it, otherwise (files that drop white space)
-    it doesn't. A byte-level text with two white-space characters in a row, or one at either end, goes to the
-    library whole. The result equals encoding the whole text.
+    Texts are cut where neither kind of public BPE file merges across. For files that drop white space: at single spaces
+    and line ends. For byte-level files (`lead_space`): before the last white-space character of each run, which goes
+    with the piece after it; a text with white space other than spaces, tabs and line ends goes to the library whole,
+    and so does one that holds an added token. The result equals encoding the whole text with the file as it is loaded.
     """
 
     MAX_PIECES = 500_000
-    _odd = re.compile(r"\s\s|^\s|\s\Z|[\x1c-\x1f]")
-    _tail = re.compile(r"([A-Za-zÀ-ɏ])([.,;:!?]+)\Z")
+    _FOREIGN = r"\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+    _cut = re.compile(r"[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+(?=[ \t\n\r][^ \t\n\r])|[ \t\n\r]?[^ \t\n\r]+")
+    _letters = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 
     def __init__(self, path: str, lead_space: bool) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
         self._lead = lead_space
+        self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        normal = self._tokenizer.normalizer
+        self._lower = normal is not None and normal.normalize_str("AbZ") == "abz"
+        # ids with which a piece begins (its space) or a word ends: they tell joined pieces apart
+        vocabulary = self._tokenizer.get_vocab()
+        self._mark = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._mark[[i for t, i in vocabulary.items() if (t.startswith("\u0120") if lead_space else t.endswith("</w>"))]] = True
         self._reset()
 
     def _reset(self) -> None:
-        self._index = _Index()
-        self._flat = array.array("i")
-        self._starts = array.array("q")
-        self._lens = array.array("q")
-        self._parts: dict[str, list[int]] = {}
-
-    def _library(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode_pieces(self, pieces: list[str]) -> tuple[array.array, list[int]]:
-        """(ids of pieces end to end, how many each has). Closing punctuation after a letter is a pre-token of its own, so it is encoded apart."""
-        search, parts = self._tail.search, self._parts
-        if len(parts) > self.MAX_PIECES:
-            parts.clear()
-        cut = [(p[: h.start(2)], h[2]) if (h := search(p)) else (p, "") for p in pieces]
-        parts[""] = []
-        missing = list({p for pair in cut for p in pair}.difference(parts))
-        for a in range(0, len(missing), 20_000):
-            some = missing[a : a + 20_000]
-            parts.update(zip(some, self._library(some), strict=True))
-        flat, counts = array.array("i"), []
-        for core, tail in cut:
-            ids = parts[core] + parts[tail] if tail else parts[core]
-            flat.extend(ids)
-            counts.append(len(ids))
-        return flat, counts
-
-    def _encode_new(self) -> None:
-        """Pieces not met before."""
-        keys = self._index.new
-        if self._lead:
-            keys = [k[1:] if k[:1] == "\r" else k if k[:1] == "\n" else " " + k for k in keys]
-        flat, counts = self.encode_pieces(keys)
-        first = len(self._flat)
-        self._starts.extend((first + np.cumsum(counts) - counts).tolist())
-        self._lens.extend(counts)
-        self._flat.extend(flat)
-        self._index.new = []
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts end to end, the number of ids of each text)."""
-        if len(self._index) > self.MAX_PIECES:
-            self._reset()
-        index, whole = self._index, {}
-        rows, counts = [], np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if self._lead:
-                if self._odd.search(text):
-                    whole[i] = text
-                    continue
-                # "\r" marks the first piece, which has no space before it; a real one in a text of one piece goes whole
-                pieces = text.replace("\n", " \n").split(" ")
-                pieces[0] = "\r" + pieces[0]
+        self._numbers: dict[str, int] = {"": 0}
+        self._store = _Store()
+
+    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of texts end to end, how many each has)."""
+        found = [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), np.int32), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _joined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """_library() for pieces whose ids the mark tells apart, a thousand at once."""
+        blocks = [pieces[a : a + 1000] for a in range(0, len(pieces), 1000)]
+        whole = self._tokenizer.encode_batch_fast([("" if self._lead else " ").join(b) for b in blocks], add_special_tokens=False)
+        flat, lens = [], []
+        for block, found in zip(blocks, whole, strict=True):
+            ids = np.array(found.ids, np.int32)
+            at = np.flatnonzero(self._mark[ids])
+            edges = np.append(at, len(ids)) if self._lead else np.append(0, at + 1)
+            if len(at) == len(block) and edges[0] == 0 and edges[-1] == len(ids):
+                n = np.diff(edges)
             else:
-                pieces = text.replace("\n", " ").split(" ")
-            counts[i] = len(pieces)
-            rows.append(np.fromiter(map(index.__getitem__, pieces), np.int64, len(pieces)))
-        if index.new:
-            self._encode_new()
-        pieces = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-        starts, lens = np.array(self._starts, np.int64), np.array(self._lens, np.int64)
-        piece_lens = lens[pieces] if len(pieces) else pieces
-        flat = np.array(self._flat, np.int32)
-        ids = flat[concat_ranges(starts[pieces], piece_lens)] if len(pieces) else np.zeros(0, np.int32)
-        sums = np.concatenate([[0], np.cumsum(piece_lens)])
-        ends = np.cumsum(counts)
-        sizes = sums[ends] - sums[ends - counts]
-        if not whole:
-            return ids, sizes
-        own = dict(zip(whole, self._library(list(whole.values())), strict=True))
-        at, out = 0, []
-        for i in range(len(texts)):
-            if i in own:
-                out.append(np.array(own[i], np.int32))
-                sizes[i] = len(own[i])
+                ids, n = self._library(block)
+            flat.append(ids)
+            lens.append(n)
+        return np.concatenate(flat), np.concatenate(lens)
+
+    def _numbers_of(self, pieces: pa.Array) -> np.ndarray:
+        """Numbers in the store of pieces; new ones are encoded."""
+        coded = pieces.dictionary_encode()
+        kinds = coded.dictionary.to_numpy(zero_copy_only=False)
+        numbers = np.fromiter(map(self._numbers.get, kinds, repeat(-1)), np.int64, len(kinds))
+        missing = np.flatnonzero(numbers < 0)
+        if len(missing):
+            new = kinds[missing].tolist()
+            if self._lead:
+                plain = np.array([p[0] == " " and p[1:].split() == [p[1:]] for p in new])
             else:
-                out.append(ids[at : at + sizes[i]])
-                at += sizes[i]
-        return np.concatenate(out), sizes
+                plain = np.array([self._letters.fullmatch(p) is not None for p in new])
+            for some, encode in ((np.flatnonzero(plain), self._joined), (np.flatnonzero(~plain), self._library)):
+                if len(some):
+                    numbers[missing[some]] = self._store.add(*encode([new[i] for i in some]))
+            self._numbers.update(zip(new, numbers[missing].tolist(), strict=True))
+        return numbers[coded.indices.to_numpy()]
+
+    def _ids_of(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, lengths) of pieces. Closing punctuation after a letter is a pre-token of its own, so it is encoded apart."""
+        if self._lower:  # the file's own lower-casing, for pieces of ASCII alone
+            pieces = pc.if_else(pc.string_is_ascii(pieces), pc.ascii_lower(pieces), pieces)
+        core = pc.ascii_rtrim(pieces, characters=".,;:!?")
+        size, kept = (pc.binary_length(x).to_numpy(zero_copy_only=False) for x in (pieces, core))
+        data = np.frombuffer(core.buffers()[2] or b"", np.uint8) if kept.any() else np.zeros(1, np.uint8)
+        ends = np.frombuffer(core.buffers()[1], np.int64)[core.offset + 1 :][: len(core)]
+        last, before = (np.where(kept > k, data[np.maximum(ends - 1 - k, 0)], 0).astype(np.int32) for k in (0, 1))
+        letter = ((last | 32) >= 97) & ((last | 32) <= 122)
+        # two bytes of U+00C0 to U+024F, but for the signs of multiplication and division and the I whose lower case ends with a mark
+        code = (before & 31) << 6 | (last & 63)
+        letter |= (before >= 0xC3) & (before <= 0xC9) & (last >= 0x80) & (last <= 0xBF) & (code <= 0x24F) & (code != 0xD7) & (code != 0xF7) & (code != 0x130)
+        cut = np.flatnonzero((size > kept) & letter)
+        numbers = np.zeros((len(pieces), 2), np.int64)
+        whole = pieces
+        if len(cut):
+            apart = np.zeros(len(pieces), bool)
+            apart[cut] = True
+            whole = pc.if_else(pa.array(apart), core, pieces)
+            tails = [p[-n:] for p, n in zip(pieces.take(pa.array(cut)).to_numpy(zero_copy_only=False), (size - kept)[cut].tolist(), strict=True)]
+            numbers[cut, 1] = self._numbers_of(pa.array(tails, pa.large_string()))
+        numbers[:, 0] = self._numbers_of(whole)
+        ids, lens = self._store.take(numbers.reshape(-1))
+        return ids, lens.reshape(-1, 2).sum(axis=1)
+
+    def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of pieces end to end, how many each has). A piece holds neither white space nor an added token."""
+        if len(self._numbers) > self.MAX_PIECES:
+            self._reset()
+        return self._ids_of(pa.array(pieces, pa.large_string()))
+
+    def _split(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of texts in which no piece is longer than one white-space character and what follows it."""
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n" if self._lead else " "), " ")
+        counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = pc.list_flatten(lists).dictionary_encode()
+        codes, kinds = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        if self._lead:  # every piece but a text's first has the space before it, unless it begins with a line end
+            first = np.cumsum(counts) - counts
+            heads, codes[first] = np.unique(codes[first], return_inverse=True)
+            codes[first] += len(kinds)
+            spaced = pc.if_else(pc.starts_with(kinds, "\n"), kinds, pc.binary_join_element_wise(pa.scalar(" ", kinds.type), kinds, pa.scalar("", kinds.type)))
+            kinds = pa.concat_arrays([spaced, kinds.take(pa.array(heads))])
+        ids, lens = self._ids_of(kinds)
+        own = lens[codes]
+        return ids[concat_ranges((np.cumsum(lens) - lens)[codes], own)], segment_sums(own, counts)
+
+    def _cut_up(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of byte-level texts with runs of white space."""
+        pieces = [self._cut.findall(t) for t in texts.to_pylist()]
+        ids, lens = self._ids_of(pa.array(chain.from_iterable(pieces), pa.large_string()))
+        return ids, segment_sums(lens, np.fromiter(map(len, pieces), np.int64, len(pieces)))
+
+    def encode(self, texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts end to end, the number of ids of each text)."""
+        if len(self._numbers) > self.MAX_PIECES:
+            self._reset()
+        array = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())).cast(pa.large_string()).fill_null("")
+        masks = [pc.match_substring(array, t, ignore_case=True) for t in self._added]
+        if self._lead:
+            masks.append(pc.match_substring_regex(array, f"[{self._FOREIGN}]"))
+        whole = np.logical_or.reduce([m.to_numpy(zero_copy_only=False) for m in masks]) if masks else np.zeros(len(array), bool)
+        runs = np.zeros(len(array), bool)
+        if self._lead:
+            runs = pc.match_substring_regex(array, r"[ \n]{2}|^[ \n]|[ \n]$|[\t\r]").to_numpy(zero_copy_only=False) & ~whole
+        if not (whole.any() or runs.any()):
+            return self._split(array)
+        parts = [(np.flatnonzero(mask), encode) for mask, encode in ((~whole & ~runs, self._split), (runs, self._cut_up), (whole, lambda t: self._library(t.to_pylist())))]
+        found = [(at, *encode(array.take(pa.array(at)))) for at, encode in parts if len(at)]
+        order = np.argsort(np.concatenate([at for at, _, _ in found]))
+        flat, sizes = (np.concatenate([f[k] for f in found]) for k in (1, 2))
+        return flat[concat_ranges((np.cumsum(sizes) - sizes)[order], sizes[order])], sizes[order]
+
+
+def with_ends(ids: np.ndarray, sizes: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids with end_id after each of the lists that stand end to end, where each list ends)."""
+    ends = np.cumsum(sizes + 1)
+    out = np.full(int(ends[-1]) if len(ends) else 0, end_id, np.int32)
+    inner = np.ones(len(out), bool)
+    inner[ends - 1] = False
+    out[inner] = ids
+    return out, ends
 
 
 _ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}
@@ -287,7 +378,10 @@ class WordTable:
 
 
 def segment_sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Sums of consecutive runs of rows; empty runs give 0."""
-    sums = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)])
-    ends = np.cumsum(counts)
-    return sums[ends] - sums[ends - counts]
+    """Sums of consecutive runs of rows; empty runs give 0. A run's sum depends on its own rows alone."""
+    out = np.zeros((len(counts), *values.shape[1:]), np.result_type(values.dtype, np.int64) if values.dtype.kind in "iub" else np.float64)
+    some = np.flatnonzero(counts)
+    if len(some):
+        starts = (np.cumsum(counts) - counts)[some]
+        out[some] = np.add.reduceat(values, starts, axis=0, dtype=out.dtype)
+    return out

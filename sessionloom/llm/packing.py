@@ -145,7 +145,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int =
                 offset = 0
                 for doc, start, length in pieces:
                     part = ids[doc][start : start + length]
-                    for column, value in zip(out, (doc_ids[doc], start, length, zlib.crc32(part.tobytes()), len(ids[doc]), base + sequence, offset), strict=True):
+                    for column, value in zip(out, (doc_ids[doc], start, length, zlib.crc32(part), len(ids[doc]), base + sequence, offset), strict=True):
                         column.append(value)
                     if with_ids:
                         data.append(part)
@@ -161,6 +161,8 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int =
             for doc in done:
                 del doc_ids[doc], ids[doc], left[doc]
             done.clear()
+            for doc in ids:  # what waits in open windows doesn't keep its batch's ids in memory
+                ids[doc] = ids[doc].copy()
 
         done: list[int] = []
 
@@ -172,15 +174,16 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int =
 
         for batch in batch_iter:
             id_arrow = batch.column(0).type
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in common.batches(texts):
-                flat, sizes = encoder.encode(texts[a:b])
-                at = 0
-                for key, size in zip(keys[a:b], sizes.tolist(), strict=True):
-                    doc_ids[number], ids[number] = key, np.append(flat[at : at + size], np.int32(end_id)).astype("<u4")
-                    left[number] = size + 1
-                    group.append((number, size + 1))
-                    at, number, held = at + size, number + 1, held + size + 1
+            keys = batch.column(0).to_pylist()
+            for a, b in common.text_slices(batch.column(1)):
+                flat, sizes = encoder.encode(batch.column(1).slice(a, b - a))
+                flat, ends = common.with_ends(flat, sizes, end_id)
+                flat = flat.astype("<u4", copy=False)
+                for key, end, size in zip(keys[a:b], ends.tolist(), (sizes + 1).tolist(), strict=True):
+                    doc_ids[number], ids[number], left[number] = key, flat[end - size : end], size
+                    group.append((number, size))
+                    number += 1
+                held += len(flat)
                 if held >= group_tokens:
                     yield from rows(packer.place(group))
                     group, held = [], 0

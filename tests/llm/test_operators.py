@@ -42,7 +42,6 @@ def texts(df):
 
 def exact_ids(path, found):
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     return [np.array([*e.ids, 1], "<u4") for e in tokenizer.encode_batch([t or "" for t in found], add_special_tokens=False)]
 
 
@@ -220,17 +219,24 @@ def test_lm_of_odd_texts(odd, empty):
 
 @pytest.mark.parametrize(("path", "lead"), [(BYTE, True), (WORD, False)])
 def test_cached_encoding_equals_the_library(docs, path, lead):
-    cases = ODD + ["  a b", "a \n b", "tab\t tab", "z\x1c y", "\rfoo bar", "don 't 's x", "a.. b!? C", "中文 字。x", "é́ a ́b", "<|endoftext|> x", "A_b c", *texts(docs).values()]
-    ids, sizes = common.PieceEncoder(path, lead).encode(cases)
-    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [x[:-1].tolist() for x in exact_ids(path, cases)]
+    cases = ODD + ["  a b", "a \n b", "tab\t tab", "z\x1c y", "\rfoo bar", "don 't 's x", "a.. b!? C", "中文 字。x", "e\u0301\u0301 a \u0301b", "<|endoftext|> x", "A_b c", "a×, b÷!? c", "x <|ENDOFTEXT|>y <|startoftext|>z  <|endoftext|>", "İx İ. K", "É. ÿ; Ɏ! ɐ.", "\n\nHello\n\n\nWorld  .\n", "x\u0085y", "a \x0b b"]
+    rng = np.random.default_rng(1)
+    signs = ["a", "B", "é", "×", " ", "  ", "\n", "\t", "\r", ".", ",", "'", "s", "<|endoftext|>", "1", "\u0301", "İ", "中", "\x1d", "\u00a0", "!?"]
+    cases += ["".join(rng.choice(signs, rng.integers(1, 14))) for _ in range(5000)] + list(texts(docs).values())
+    encoder, want = common.PieceEncoder(path, lead), [x[:-1].tolist() for x in exact_ids(path, cases)]
+    for some in (cases, cases[::-1]):  # the second time from the cache
+        ids, sizes = encoder.encode(some)
+        found = [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+        assert found == (want if some is cases else want[::-1])
 
 
 def test_token_store_round_trip(spark, docs, odd, empty, tmp_path):
-    for name, df in (("docs", docs), ("odd", odd), ("empty", empty)):
+    repeats = spark.createDataFrame([(1, "b c d"), (2, "x"), (1, "a"), (None, "n"), (1, "a b"), (1, "a")], "doc_id long, text string").coalesce(1)
+    for name, df in (("docs", docs), ("odd", odd), ("empty", empty), ("repeats", repeats)):
         path = str(tmp_path / name)
         tokenstore.write_ids(df, path, WORD)
-        found = tokenstore.digest(tokenstore.read_ids(spark, path)).orderBy(F.col("id").asc_nulls_first(), "start").collect()
-        rows = sorted(df.select("doc_id", "text").collect(), key=lambda r: (-1 if r.doc_id is None else r.doc_id, r.text or ""))
+        found = tokenstore.digest(tokenstore.read_ids(spark, path)).orderBy("start").collect()
+        rows = sorted(df.select("doc_id", "text").collect(), key=lambda r: -1 if r.doc_id is None else r.doc_id)
         start = 0
         for f, r, ids in zip(found, rows, exact_ids(WORD, [r.text for r in rows]), strict=True):
             assert (f.id, f.start, f.n_tokens, f.ids_crc32) == (r.doc_id, start, len(ids), zlib.crc32(ids.tobytes()))
@@ -239,6 +245,32 @@ def test_token_store_round_trip(spark, docs, odd, empty, tmp_path):
     assert "EqualTo(id,7)" in one._jdf.queryExecution().toString() and one.count() == 1
 
 
+def test_token_store_splits_at_stripes_and_skips_them(spark, tmp_path):
+    path = str(tmp_path / "many")
+    docs = spark.range(0, 40_000, 1, 4).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *(F.md5(F.concat("id", F.lit(f"/{k}")).cast("binary")) for k in range(4))).alias("text"))
+    spark.conf.set("spark.sql.shuffle.partitions", 1)
+    try:
+        tokenstore.write_ids(docs, path, WORD, stripe_bytes=1 << 20)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+    from pyarrow import orc
+
+    (file,) = [str(p) for p in (tmp_path / "many").glob("*.orc")]
+    assert orc.ORCFile(file).nstripes > 3
+    stored = tokenstore.read_ids(spark, path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 1 << 20)
+    try:
+        per_task = [r["count"] for r in stored.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(per_task) > 3 and sum(per_task) == 40_000  # stripes of one file go to several tasks
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert stored.where("id = 39999").count() == 1
+    plan = stored.where("id = 39999")._jdf.queryExecution()
+    plan.toRdd().count()
+    scan = plan.executedPlan().collectLeaves().head()
+    assert scan.metrics().apply("numOutputRows").value() <= 1000  # one row group of one stripe
+
+
 @pytest.mark.parametrize("group", [500, 4_000_000])
 def test_packing_covers_every_id_once(docs, odd, group):
     for df in (docs, odd):
