@@ -445,21 +445,89 @@ def test_write_shards(spark, docs, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).count() == docs.count()
 
 
-def test_marginals_equal_enumeration():
-    rng = np.random.default_rng(4)
-    moves = rng.normal(0, 1, (2, 2))
-    counts = np.array([3, 0, 1, 5])
-    unary = rng.normal(0, 2, counts.sum())
-    expected, at = [], 0
+def enumerated(unary, counts, moves):
+    """(log partition, log score of the clean chain, all (states, probability)) of each chain, one after another."""
+    at = 0
     for n in counts:
-        total, ones = 0.0, np.zeros(n)
-        for state in np.ndindex(*(2,) * n) if n else []:
-            s = moves[0, state[0]] + sum(unary[at + i] * x for i, x in enumerate(state)) + sum(moves[a, b] for a, b in zip(state, state[1:], strict=False))
-            total += np.exp(s)
-            ones += np.exp(s) * np.array(state)
-        expected.extend(ones / total if n else [])
+        states = list(np.ndindex(*(2,) * n)) if n else [()]
+        scores = []
+        for state in states:
+            path = (0, *state)
+            scores.append(sum(unary[at + i] * x for i, x in enumerate(state)) + sum(moves[a, b] for a, b in zip(path, path[1:], strict=False)))
+        total = np.logaddexp.reduce(scores)
+        yield total, scores[0] - total, list(zip(states, np.exp(np.array(scores) - total), strict=True))
         at += n
-    assert np.allclose(toxicity.marginals(unary, counts, moves), expected, atol=1e-4)
+
+
+def chain_case():
+    rng = np.random.default_rng(4)
+    counts = np.array([3, 0, 1, 5, 2])
+    return rng.normal(0, 2, counts.sum()), counts, rng.normal(0, 1, (2, 2))
+
+
+def test_marginals_equal_enumeration():
+    unary, counts, moves = chain_case()
+    expected, clean = [], []
+    for (_, log_clean, states), n in zip(enumerated(unary, counts, moves), counts, strict=True):
+        expected.extend(sum(p * np.array(s) for s, p in states) if n else [])
+        clean.append(log_clean)
+    chains = toxicity.Chains(unary, counts, moves)
+    assert np.allclose(chains.p, expected, atol=1e-12) and np.allclose(chains.log_clean(), clean, atol=1e-12)
+
+
+def test_crf_gradients_are_those_of_differences():
+    unary, counts, moves = chain_case()
+    log_z = lambda u, m: sum(z for z, _, _ in enumerated(u, counts, m))
+    chains = toxicity.Chains(unary, counts, moves)
+    expected = toxicity.transitions(chains.p[chains.first], chains.pairs())
+    for a, b in np.ndindex(2, 2):  # the partition's derivatives are the expected uses
+        step = np.zeros((2, 2))
+        step[a, b] = 1e-5
+        assert expected[a, b] == pytest.approx((log_z(unary, moves + step) - log_z(unary, moves - step)) / 2e-5, abs=1e-6)
+    step = np.full(len(unary), 1e-5)  # the bias
+    assert chains.p.sum() == pytest.approx((log_z(unary + step, moves) - log_z(unary - step, moves)) / 2e-5, abs=1e-6)
+
+
+def test_tags_given_noisy_labels_equal_enumeration():
+    unary, counts, moves = chain_case()
+    toxic, noise = np.array([1, 0, 0, 1, 1]), 0.1
+    tags, uses = [], np.zeros((2, 2))
+    for (_, _, states), n, y in zip(enumerated(unary, counts, moves), counts, toxic, strict=True):
+        if not n:
+            continue
+        weight = np.array([p * ((1 - noise) if (any(s) == (y == 1)) else noise) for s, p in states])
+        weight /= weight.sum()
+        tags.extend(sum(w * np.array(s) for w, (s, _) in zip(weight, states, strict=True)))
+        for w, (s, _) in zip(weight, states, strict=True):
+            for a, b in zip((0, *s), s, strict=False):
+                uses[a, b] += w
+    q, seen = toxicity.offending_given_label(toxicity.Chains(unary, counts, moves), toxic, noise)
+    assert np.allclose(q, tags, atol=1e-9) and np.allclose(seen, uses, atol=1e-9)
+
+
+def test_relabelling_finds_words_that_are_too_rare_for_labelled_tokens():
+    rng = np.random.default_rng(8)
+    clean = ["".join(chr(97 + c) for c in rng.integers(0, 26, 5)) for _ in range(200)]
+    docs, labels = [], []
+    for i in range(600):
+        words = [str(w) for w in rng.choice(clean, 25)]
+        if i % 3 == 0:
+            words[int(rng.integers(0, 25))] = f"grubbing{chr(97 + i // 6 % 26)}{chr(97 + i // 156)}" if i % 2 else "nastyword"
+        docs.append(" ".join(words))
+        labels.append(int(i % 3 == 0))
+    p = []
+    for rounds in (0, 3):
+        model = toxicity.train(docs, labels, rounds=rounds)
+        p.append(toxicity.marginals(model.word_scores([b"grubbingaa", b"nastyword", clean[0].encode()])[0][:, 0], np.ones(3, int), model.moves))
+    assert p[0][0] < 0.2 and p[1][0] > 0.5 and p[1][1] > 0.9 and p[1][2] < 0.1
+
+
+def test_equal_texts_score_alike_wherever_they_stand(spark, docs):
+    text = docs.where("length(text) > 2000").first().text
+    rows = [(i, ("pad word " * i if i % 2 else text)) for i in range(24)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model = toxicity.SpanModel(np.random.default_rng(0).normal(0, 3, 1 << 16), layer=np.ones(5))
+    assert len({r.score for r in toxicity.score(df, model).collect() if r.id % 2 == 0}) == 1
 
 
 def test_toxic_spans(spark, odd, empty):
