@@ -163,7 +163,8 @@ class PieceEncoder:
         self._lower = normal is not None and normal.normalize_str("AbZ") == "abz"
         # ids with which a piece begins (its space) or a word ends: they tell joined pieces apart
         vocabulary = self._tokenizer.get_vocab()
-        self._mark = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.vocabulary_size = max(vocabulary.values()) + 1
+        self._mark = np.zeros(self.vocabulary_size, bool)
         self._mark[[i for t, i in vocabulary.items() if (t.startswith("\u0120") if lead_space else t.endswith("</w>"))]] = True
         self._reset()
 
@@ -237,11 +238,11 @@ class PieceEncoder:
         ids, lens = self._store.take(numbers.reshape(-1))
         return ids, lens.reshape(-1, 2).sum(axis=1)
 
-    def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode_pieces(self, pieces: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of pieces end to end, how many each has). A piece holds neither white space nor an added token."""
         if len(self._numbers) > self.MAX_PIECES:
             self._reset()
-        return self._ids_of(pa.array(pieces, pa.large_string()))
+        return self._ids_of(pieces if isinstance(pieces, pa.Array) else pa.array(pieces, pa.large_string()))
 
     def _split(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, sizes) of texts in which no piece is longer than one white-space character and what follows it."""

@@ -149,10 +149,12 @@ def test_keep_one_of_each_group(odd, empty):
     assert (10, "same text here") in rows
 
 
-def test_lm_base_is_exact_and_scores_beat_it(spark):
+def test_lm_base_is_exact_and_scores_beat_subword_counts(spark):
+    import pyarrow as pa
+
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 1
-    found = {r.id: r for r in lm.fit_and_score(docs, ~held, WORD).collect()}
+    found = {r.id: r for r in lm.fit_and_score(docs, ~held, WORD, block_docs=150).collect()}
     tokens = {i: [*t.encode().lower().split(), b"\n"] for i, t in texts(docs).items()}
     out = {i for i in tokens if zlib.crc32(str(i).encode()) % 5 == 1}
     c = collections.Counter(w for i, x in tokens.items() if i not in out for w in x)
@@ -162,59 +164,92 @@ def test_lm_base_is_exact_and_scores_beat_it(spark):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(x), sum(c[w] > 0 for w in x), n)
         assert r.base_score == pytest.approx(sum(np.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in x), rel=1e-9)
         assert np.isfinite(r.score) and r.score < 0
-    total = lambda ids, name: sum(getattr(found[i], name) for i in ids)
+    # the same ids and ends of words with probabilities from their counts alone
+    words = lm.Words(WORD)
+    learnt, _ = words.texts(pa.array([t for i, t in texts(docs).items() if i not in out], pa.large_string()))
+    counts = np.bincount(learnt, minlength=words.rows) + 0.5
     for ids in (out, set(tokens) - out):
-        assert total(ids, "score") > total(ids, "base_score")
-
-
-def test_lm_windows_score_each_token_once_and_paths_agree():
-    counts = np.array([1, 24, 25, 70])
-    positions, usable, scored = lm.windows(counts, 32, 24)
-    assert sorted(positions[:, -24:][scored].tolist()) == list(range(counts.sum()))
-    rng = np.random.default_rng(0)
-    parts = {"embed": (5, 8), "position": (32, 8), "wq": (8, 8), "wk": (8, 8), "wv": (8, 8), "wo": (8, 8), "head": (8, 6), "bias": (6,)}
-    m = lm.AttentionModel(np.arange(3), 6, **{k: rng.normal(0, 0.5, s).astype(np.float32) for k, s in parts.items()})
-    x, target = rng.normal(0, 1, (len(positions), 32, 8)).astype(np.float32), rng.integers(0, 6, (len(positions), 24))
-    slow = np.take_along_axis(lm.forward(m, x, usable, 24)[0], target[:, :, None], 2)[:, :, 0]
-    assert np.allclose(slow[scored], lm.class_log_probabilities(m, x, usable, target, 24)[scored], atol=1e-4)
-    later = x.copy()
-    later[:, -1] += 5  # no token sees a later one
-    assert np.allclose(slow[:, :-1], np.take_along_axis(lm.forward(m, later, usable, 24)[0], target[:, :, None], 2)[:, :-1, 0], atol=1e-5)
+        rows, _ = words.texts(pa.array([texts_ for i, texts_ in texts(docs).items() if i in ids], pa.large_string()))
+        assert sum(found[i].score for i in ids) > np.log10(counts / counts.sum())[rows].sum()
+
+
+def small_lm(seed=0, scale=0.5, **options):
+    rng = np.random.default_rng(seed)
+    tokens = np.array([20, 3, 90, 70, 50, 30, 9, 7, 5, 3, 2, 1, 0, 0], float)
+    layout = lm.Layout.of(tokens, np.floor(tokens / 3), singles=3, middle=4, tails=2, embeds=8)
+    m = lm.AttentionModel.new(layout, block=4, dims=5, keys=3, hidden=6)
+    for p in m.PARTS:
+        setattr(m, p, rng.normal(0, scale, getattr(m, p).shape))
+    counts = np.array([1, 4, 5, 13, 0, 8])
+    return m, rng.integers(0, len(tokens), counts.sum()), counts
+
+
+def test_lm_probabilities_of_the_vocabulary_sum_to_one():
+    m, _, _ = small_lm()
+    size = len(m.layout.head_of)
+    hidden = np.random.default_rng(1).normal(0, 2, (7, 6))
+    total = np.exp(lm.log_probabilities(m, np.repeat(hidden[:, None], size, 1), np.tile(np.arange(size), (7, 1)))).sum(axis=1)
+    assert np.allclose(total, 1) and np.allclose(np.exp(m.layout.log_last) + np.exp(m.layout.log_more), 1)
+    for tokens in (np.zeros(5), np.array([1.0, 0, 0])):  # nothing learnt
+        layout = lm.Layout.of(tokens, np.zeros(len(tokens)))
+        m = lm.AttentionModel.new(layout)
+        assert np.exp(lm.log_probabilities(m, np.zeros((len(tokens), 16)), np.arange(len(tokens)))).sum() == pytest.approx(1)
+
+
+@pytest.mark.parametrize("scale", [0.5, 6])
+def test_lm_scores_each_token_once_from_what_comes_before(scale):
+    m, rows, counts = small_lm(scale=scale)
+    inputs, usable, target, scored = lm.windows_of(m, rows, counts)
+    assert scored.sum() == len(rows) and target[scored].tolist() == rows.tolist()
+    hidden, _ = lm.hidden_states(m, inputs, usable)
+    slow = lm.log_probabilities(m, hidden, target)
+    fast = lm.FastScorer(m)
+    assert fast._shift == (scale == 6)
+    found = fast(rows, counts, batch=3)
+    assert np.allclose(found, slow[scored], atol=1e-3, rtol=1e-4)
+    ends = np.cumsum(counts)
+    for k, n in enumerate(counts):  # each text by itself, and each token without the later ones
+        own = rows[ends[k] - n : ends[k]]
+        assert np.allclose(fast(own, np.array([n])), found[ends[k] - n : ends[k]], atol=1e-3, rtol=1e-4)
+        for j in range(1, n + 1):
+            assert np.allclose(fast(own[:j], np.array([j])), found[ends[k] - n : ends[k] - n + j], atol=1e-3, rtol=1e-4)
+    # by hand: the third token of the second text
+    text, table = rows[1:5], m.layout.embed_of
+    x = m.embed[table[[lm.END, text[0], text[1]]]]
+    a = x[2] @ m.wq @ (x @ m.wk).T / np.sqrt(3) + m.distance[[2, 1, 0]]
+    a = np.exp(a - a.max())
+    state = x[2] @ m.we + a / a.sum() @ (x @ m.wv)
+    assert lm.log_probabilities(m, state, text[2]) == pytest.approx(found[3], abs=1e-3, rel=1e-4)
 
 
 def test_lm_gradients_are_those_of_differences():
-    rng = np.random.default_rng(1)
-    parts = {"embed": (5, 4), "position": (6, 4), "wq": (4, 4), "wk": (4, 4), "wv": (4, 4), "wo": (4, 4), "head": (4, 3), "bias": (3,)}
-    m = lm.AttentionModel(np.arange(3), 3, **{k: rng.normal(0, 0.5, s) for k, s in parts.items()})
-    x, usable, target, scored = rng.normal(0, 1, (2, 6, 4)), np.ones((2, 6), bool), rng.integers(0, 3, (2, 4)), np.ones((2, 4), bool)
+    m, rows, counts = small_lm()
+    case = lm.windows_of(m, rows, counts)
+    inputs, usable, target, scored = case
 
     def loss():
-        return -np.take_along_axis(lm.forward(m, x, usable, 4)[0], target[:, :, None], 2).mean()
-
-    logits, kept = lm.forward(m, x, usable, 4)
-    g = lm.gradients(m, kept, logits, target, scored)
-    for name in ("wq", "wk", "wv", "wo", "head", "bias", "position"):
-        part, at = getattr(m, name), (0,) * getattr(m, name).ndim
-        part[at] += 1e-5
-        up = loss()
-        part[at] -= 2e-5
-        down = loss()
-        part[at] += 1e-5
-        assert g[name][at] == pytest.approx((up - down) / 2e-5, abs=2e-4)
-
-
-def test_packed_rows_round_trip():
-    sizes = np.array([1, 8, 3, 9])
-    rows = np.arange(sizes.sum()) * 37 % 4098
-    p, q = lm.pack_rows(rows, np.cumsum(sizes) - sizes, sizes)
-    matrix, found = lm.unpack_rows(p, q)
-    assert found.tolist() == [1, 8, 3, 0] and matrix[1].tolist() == rows[1:9].tolist()
-
-
-def test_lm_of_odd_texts(odd, empty):
-    assert lm.fit_and_score(empty, F.lit(True), WORD, steps=2).count() == 0
-    rows = lm.fit_and_score(odd, F.col("doc_id") > 4, WORD, steps=2).collect()
+        return -lm.log_probabilities(m, lm.hidden_states(m, inputs, usable)[0], target)[scored].mean()
+
+    g = lm.gradients(m, *case)
+    for name in m.PARTS:
+        part = getattr(m, name)
+        for at in {(0,) * part.ndim, tuple(n - 1 for n in part.shape), tuple(n // 2 for n in part.shape)}:
+            part[at] += 1e-5
+            up = loss()
+            part[at] -= 2e-5
+            down = loss()
+            part[at] += 1e-5
+            assert g[name][at] == pytest.approx((up - down) / 2e-5, abs=1e-6)
+
+
+def test_lm_of_odd_texts(spark, odd, empty):
+    assert lm.fit_and_score(empty, F.lit(True), WORD, start_steps=2).count() == 0
+    rows = lm.fit_and_score(odd, F.col("doc_id") > 4, WORD, start_steps=2, train_share=1.0, block_docs=3).collect()
     assert len(rows) == odd.count() and all(r.score < 0 for r in rows)
+    same = [r for r in rows if r.id in (10, 11)]
+    assert len({r.base_score for r in same}) == 1 and same[0].score == pytest.approx(same[1].score, rel=1e-5)
+    none = lm.fit_and_score(odd, F.lit(False), WORD, start_steps=2).collect()
+    assert len(none) == odd.count() and all(r.n_known == 0 and r.train_tokens == 0 and r.score < 0 for r in none)
 
 
 @pytest.mark.parametrize(("path", "lead"), [(BYTE, True), (WORD, False)])
@@ -228,6 +263,11 @@ def test_cached_encoding_equals_the_library(docs, path, lead):
         ids, sizes = encoder.encode(some)
         found = [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
         assert found == (want if some is cases else want[::-1])
+    import pyarrow as pa
+
+    for a, b in common.text_slices(pa.array(cases, pa.string()), 3000):  # slices of one array
+        ids, sizes = encoder.encode(pa.array(cases, pa.string()).slice(a, b - a))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want[a:b]
 
 
 def test_token_store_round_trip(spark, docs, odd, empty, tmp_path):
