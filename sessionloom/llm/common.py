@@ -8,6 +8,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from itertools import chain, repeat
 
 import numpy as np
@@ -22,23 +23,42 @@ _OWN_DIRS: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of this session: spark.checkpoint.dir, or one of our own where that is unset (local runs)."""
+    """The shared folder of this session: spark.checkpoint.dir, or where that is unset and all runs on this machine, one of our own."""
     set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if set_dir:
         return set_dir.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIRS:
         _OWN_DIRS[app] = tempfile.mkdtemp(prefix="sessionloom-")
     return _OWN_DIRS[app]
 
 
+_OPEN: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; it is deleted when the driver program ends."""
+    """A new path in the shared folder; it is deleted at the end of the scratch() around it, or when the driver program ends."""
     path = f"{scratch_root(spark)}/sessionloom/{name}-{uuid.uuid4().hex[:12]}"
-    atexit.register(_drop, spark, path)
+    if _OPEN:
+        _OPEN[-1].append(path)
+    else:
+        atexit.register(_drop, spark, path)
     return path
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the intermediate tables of operators called inside; their results must be written before it ends."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            _drop(spark, path)
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     if spark.sparkContext._jsc is None:
         return
@@ -54,6 +74,14 @@ def materialise(df: DataFrame, name: str, *, partition_by: Iterable[str] = ()) -
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """name, or with as many underscores as it takes to be none of the taken ones (in any case)."""
+    taken = {t.lower() for t in taken}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def pin_splits(spark: SparkSession) -> None:
     """From now on files are split for as many cores as there are now, unless the session says for how many.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from . import common, decontam, langid, linededup, lm, packing, quality, sharding, simhash, tokenstore, toxicity
 
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 256 << 10
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,7 +7,8 @@ another bit. The directory has one entry for each cell, and documents find their
 Cells that are still too large get more bits, alone. What no bit can split (rows that repeat an id) is dealt to
 overflow pages by running bytes, counted first within each input partition. A document above the limit is a page of its own.
 
-Null texts have no bytes; null ids hash as the empty text.
+Null texts have no bytes; null ids hash as the empty text. An empty table has no shards. Documents must be a stored
+table, whose rows keep their partition and order when it is read again.
 """
 
 from __future__ import annotations
@@ -59,8 +60,17 @@ def assign_shards(docs: DataFrame, limit: int = 32 << 20, id_col: str = "doc_id"
 
     page is 0 but for overflow pages. All rows of one (shard, page) have at most `limit` bytes, or are one document.
     """
+    return _assigned(docs, limit, id_col, text_col).drop("row")
+
+
+def _assigned(docs: DataFrame, limit: int, id_col: str, text_col: str) -> DataFrame:
+    """assign_shards() with each document's row number."""
+    common.pin_splits(docs.sparkSession)
     rows = common.materialise(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), hash_of(F.col(id_col)).alias("hash"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("bytes")), "shard-rows")
-    total = rows.agg(F.sum("bytes")).first()[0] or 0
+    size = rows.agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n")).first()
+    total = size["bytes"] or 0
+    if total <= limit or size["n"] == 1:  # the directory has one entry
+        return rows.select("row", "id", F.lit("*").alias("shard"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("page"), "bytes")
     depth = min(HASH_BITS, max(0, math.ceil(math.log2(max(1, total / limit)))) + 6)
     above, todo, done = 0, rows, []
     while True:
@@ -69,19 +79,25 @@ def assign_shards(docs: DataFrame, limit: int = 32 << 20, id_col: str = "doc_id"
         entries = common.materialise(directory(cells, depth, limit, above), "shard-directory")
         found = todo.withColumn("cell", cell).join(entries, "cell")
         bits = F.when(F.col("shard_depth") == 0, "*").otherwise(F.expr(f"substr(lpad(bin(cell), {depth}, '0'), 1, shard_depth)"))
-        done.append(found.where("shard_depth is not null").select("id", bits.alias("shard"), F.col("shard_depth").alias("depth"), F.lit(0).cast("long").alias("page"), "bytes"))
+        done.append(found.where("shard_depth is not null").select("row", "id", bits.alias("shard"), F.col("shard_depth").alias("depth"), F.lit(0).cast("long").alias("page"), "bytes"))
         if entries.where("shard_depth is null").isEmpty():
             break
         todo = common.materialise(found.where("shard_depth is null").select(*rows.columns), "shard-oversized")
         if depth == HASH_BITS:
             full = F.lpad(F.bin("hash"), HASH_BITS, "0")
-            done.append(_pages(todo, limit).select("id", full.alias("shard"), F.lit(HASH_BITS).alias("depth"), "page", "bytes"))
+            done.append(_pages(todo, limit).select("row", "id", full.alias("shard"), F.lit(HASH_BITS).alias("depth"), "page", "bytes"))
             break
         above, depth = depth + 1, min(HASH_BITS, depth + 18)
     return reduce(DataFrame.unionByName, done)
 
 
-def write_shards(docs: DataFrame, path: str, limit: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write docs (ids unique) as Parquet with one folder for each shard, each by one task."""
-    found = assign_shards(docs, limit, id_col, text_col).select(F.col("id").alias(id_col), F.concat_ws("-", "shard", "page").alias("shard"))
-    docs.join(found, id_col).repartition("shard").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, limit: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> str:
+    """Write all rows of docs as Parquet with one folder for each shard and page, each by one task; returns the folders' column.
+
+    Rows meet their shard by row number, so null and repeated ids are written once each. The column is `shard`, with
+    underscores after it where docs has one of that name. docs must be a stored table.
+    """
+    key, column = "__sessionloom_row", common.free_name("shard", docs.columns)
+    found = common.materialise(_assigned(docs, limit, id_col, text_col).select(F.col("row").alias(key), F.concat_ws("-", F.regexp_replace("shard", r"\*", "all"), "page").alias(column)), "shard-places")
+    docs.withColumn(key, F.monotonically_increasing_id()).join(found, key).drop(key).repartition(column).write.partitionBy(column).parquet(path)
+    return column

@@ -480,9 +480,27 @@ def test_repeated_ids_go_to_overflow_pages(spark, odd, empty):
     assert sharding.assign_shards(empty, 1000).count() == 0 and sharding.assign_shards(odd, 1000).count() == odd.count()
 
 
-def test_write_shards(spark, docs, tmp_path):
+def test_write_shards(spark, docs, odd, tmp_path):
     sharding.write_shards(docs, str(tmp_path / "s"), 100_000)
     assert spark.read.parquet(str(tmp_path / "s")).count() == docs.count()
+    path = str(tmp_path / "t")
+    rows = [(None, "a" * 30, "own"), (1, "b" * 30, "own"), (1, "c" * 30, None), (2, "d" * 30, "x")]
+    spark.createDataFrame(rows, "doc_id long, text string, shard string").write.parquet(path)
+    column = sharding.write_shards(spark.read.parquet(path), str(tmp_path / "u"), 60)
+    found = spark.read.parquet(str(tmp_path / "u"))
+    assert column == "shard_" and sorted(map(str, found.select("doc_id", "text", "shard").collect())) == sorted(map(str, spark.read.parquet(path).collect()))
+    assert all(r["n"] <= 60 for r in found.groupBy(column).agg(F.sum(F.length("text")).alias("n")).collect())
+    sharding.write_shards(odd, str(tmp_path / "v"), 1000)
+    assert spark.read.parquet(str(tmp_path / "v")).count() == odd.count()
+
+
+def test_scratch_tables_are_deleted(spark, docs, tmp_path):
+    import os
+
+    with common.scratch(spark):
+        sharding.assign_shards(docs, 50_000).write.parquet(str(tmp_path / "s"))
+        kept = [p for p in common._OPEN[-1] if os.path.exists(p)]
+    assert kept and not any(map(os.path.exists, kept))
 
 
 def enumerated(unary, counts, moves):
