@@ -1,14 +1,21 @@
 """Removal of line passages that repeat across the corpus, by content-defined chunks (operator 4).
 
-Each line has a hash. A segment of lines ends where a rolling hash over the last two line hashes says so (one value in
-`divisor`), and before and after a line of `long_words` words or more; all look at no more than two lines, so an insertion
-moves no boundary beyond the next line and a long line always begins a segment, whatever stands before it. A chunk is two consecutive segments, a segment of several lines, or a single
-line of `single_words` words or more. Chunks are counted over all documents by a 64-bit hash; every occurrence of a
-repeated one but the first (by id, row and line) is compared with the first byte by byte, and its lines are removed.
+Each line has a hash. A segment of lines ends where a rolling hash over the last `width` line hashes says so (one value
+in `divisor`) or after `max_lines` lines; it also ends before and after a line of `long_words` words or more. All look
+at no more than `width` lines back or one ahead, so an insertion moves no boundary beyond the next ones that the hash
+sets, and a passage that begins with a long line begins a segment whatever stands before it: without that rule a passage
+of two or three lines seldom has a chunk of its own (README). A chunk is two consecutive segments, a segment of several
+lines, or a single line of `single_words` words or more. Chunks are counted over all documents by a 64-bit hash; every
+occurrence of a repeated one but the first (by id, row and line) is compared with the first byte by byte, and its lines
+are removed.
+
+A chunk with more than one in `hot_share` of all occurrences is joined by broadcast: there are at most hot_share of
+them. The others meet their occurrences by a shuffle on the hash.
 
 Null texts stay null and empty ones empty; neither has chunks. Rows that repeat count as documents of their own: the
-first keeps its lines. A document may end up empty. Blank lines never make a chunk by themselves. Input must be a
-stored table, whose rows keep their partition and order when it is read again.
+first keeps its lines. A document may end up empty. Blank lines never make a chunk by themselves. Where docs has a
+column n_lines or n_removed_lines, it stays as it is and the new one gets an underscore. Input must be a stored table,
+whose rows keep their partition and order when it is read again.
 """
 
 from __future__ import annotations
@@ -28,7 +35,7 @@ from . import common
 _M1, _M2, _U = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64
 
 
-def chunks(text: str | None, divisor: int = 2, long_words: int = 8, single_words: int = 50) -> list[tuple[int, int, int]]:
+def chunks(text: str | None, divisor: int = 2, width: int = 2, max_lines: int = 64, long_words: int = 8, single_words: int = 50) -> list[tuple[int, int, int]]:
     """(first line, line after the last, hash) of the chunks of a text."""
     if not text:
         return []
@@ -37,13 +44,18 @@ def chunks(text: str | None, divisor: int = 2, long_words: int = 8, single_words
     sizes = [len(r.split()) for r in raw]
     hashes = [xxhash.xxh64_intdigest(r) for r in raw]
     h = np.array(hashes, np.uint64)
-    rolling = h * _M1 + np.concatenate([[_U(0)], h[:-1]]) * _M2
+    rolling, factor = np.zeros(len(h), np.uint64), _M1
+    for back in range(width):
+        rolling[back:] += h[: len(h) - back] * factor
+        factor *= _M2
     rolling ^= rolling >> _U(31)
     long = np.array(sizes) >= long_words
     ends = np.flatnonzero((rolling % _U(divisor) == 0) | long | np.append(long[1:], False)) + 1
-    bounds = [0, *ends.tolist()]
-    if bounds[-1] != len(lines):
-        bounds.append(len(lines))
+    bounds = [0]
+    for end in (*ends.tolist(), len(lines)):
+        bounds.extend(range(bounds[-1] + max_lines, end, max_lines))
+        if end > bounds[-1]:
+            bounds.append(end)
     found = []
     for k in range(len(bounds) - 1):
         for a, b in ((bounds[k], bounds[k + 1]), (bounds[k], bounds[k + 2]) if k + 2 < len(bounds) else (0, 0)):
@@ -70,16 +82,20 @@ def _occurrences(keyed: DataFrame, options: dict) -> DataFrame:
     return keyed.mapInArrow(run, f"row long, id {keyed.schema['id'].dataType.simpleString()}, a int, b int, h long")
 
 
-def dedup_lines(docs: DataFrame, divisor: int = 2, long_words: int = 8, single_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, divisor: int = 2, width: int = 2, max_lines: int = 64, long_words: int = 8, single_words: int = 50, hot_share: int = 10_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with repeated passages cut out of text_col, and the new columns n_lines and n_removed_lines (long)."""
-    options = {"divisor": divisor, "long_words": long_words, "single_words": single_words}
+    options = {"divisor": divisor, "width": width, "max_lines": max_lines, "long_words": long_words, "single_words": single_words}
+    n_lines, n_removed = (common.free_name(c, docs.columns) for c in ("n_lines", "n_removed_lines"))
     key, cuts = "__sessionloom_row", "__sessionloom_cuts"
     common.pin_splits(docs.sparkSession)
     keyed = docs.withColumn(key, F.monotonically_increasing_id())
     found = common.materialise(_occurrences(keyed.select(F.col(key).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), options), "line-chunks")
     place = F.struct(F.col("id").isNull().alias("null"), "id", "row", "a")
-    repeated = found.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
-    cut = found.join(repeated, "h").select("row", F.struct("h", "a", "b", ((F.col("first.row") == F.col("row")) & (F.col("first.a") == F.col("a"))).alias("first")).alias("c")).groupBy("row").agg(F.collect_list("c").alias(cuts))
+    repeated = common.materialise(found.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1"), "line-repeated")
+    limit = found.count() / hot_share
+    hot, cold = repeated.where(F.col("n") > limit), repeated.where(F.col("n") <= limit)
+    met = found.join(F.broadcast(hot), "h").unionByName(found.join(F.broadcast(hot.select("h")), "h", "left_anti").join(cold, "h"))
+    cut = met.select("row", F.struct("h", "a", "b", ((F.col("first.row") == F.col("row")) & (F.col("first.a") == F.col("a"))).alias("first")).alias("c")).groupBy("row").agg(F.collect_list("c").alias(cuts))
     joined = common.materialise(keyed.join(cut.withColumnRenamed("row", key), key, "left"), "line-cuts")
 
     differ = _differences(joined.where(F.col(cuts).isNotNull()).select(F.col(key).alias("row"), F.col(text_col).alias("text"), F.col(cuts).alias("cuts")))
@@ -91,8 +107,8 @@ def dedup_lines(docs: DataFrame, divisor: int = 2, long_words: int = 8, single_w
     lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.length(text_col) - F.length(F.translate(text_col, "\n", "")) + 1)
     measured = joined.withColumns({"__sessionloom_lines": lines.cast("long"), "__sessionloom_gone": gone})
     kept = F.when(F.size("__sessionloom_gone") == 0, F.col(text_col)).otherwise(_without_lines(text_col, "__sessionloom_gone"))
-    columns = [kept.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed_lines")]
-    return measured.select(*columns, F.col("__sessionloom_lines").alias("n_lines"), F.size("__sessionloom_gone").cast("long").alias("n_removed_lines"))
+    columns = [kept.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    return measured.select(*columns, F.col("__sessionloom_lines").alias(n_lines), F.size("__sessionloom_gone").cast("long").alias(n_removed))
 
 
 @F.pandas_udf(T.StringType())

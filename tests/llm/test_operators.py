@@ -364,11 +364,49 @@ def test_passages_after_short_lines_go(spark, tmp_path):
     assert found == {i: 0 if i < 2 else 1 if i % 2 else 2 for i in range(60)}
 
 
-def test_line_dedup_of_odd_texts(odd, empty):
+def lines_left(rows, **options):
+    """dedup_lines() on (id, text) rows in order, with one dictionary."""
+    first, gone = {}, [set() for _ in rows]
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, i))
+    for i in order:
+        for a, b, _ in linededup.chunks(rows[i][1], **options):
+            passage = tuple(rows[i][1].split("\n")[a:b])
+            if first.setdefault(passage, (i, a)) != (i, a):
+                gone[i] |= set(range(a, b))
+    return [t if not g else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in g) for (_, t), g in zip(rows, gone, strict=True)]
+
+
+@pytest.mark.parametrize("hot_share", [1, 10_000])
+def test_line_dedup_equals_brute_force(spark, docs, tmp_path, hot_share):
+    rng = np.random.default_rng(3)
+    pool = [" ".join(f"w{x}" for x in rng.integers(0, 50, n)) for n in (1, 2, 3, 9, 12, 60, 4, 8)] + [""]
+    rows = [(int(i) if i % 11 else None, "\n".join(pool[k] for k in rng.integers(0, len(pool), rng.integers(1, 12)))) for i in range(150)]
+    rows += [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    stored = spark.read.parquet(str(tmp_path / "d"))
+    rows = [(r.doc_id, r.text) for r in stored.collect()]
+    found = linededup.dedup_lines(stored, hot_share=hot_share)
+    assert collections.Counter((r.doc_id, r.text) for r in found.collect()) == collections.Counter((i, t) for (i, _), t in zip(rows, lines_left(rows), strict=True))
+
+
+def test_boundaries_are_local():
+    rng = np.random.default_rng(11)
+    lines = [f"w{x}" for x in rng.integers(0, 10**9, 400)]
+    for extra in (1, 3):
+        before, after = linededup.chunks("\n".join(lines)), linededup.chunks("\n".join(lines[:200] + ["new"] * extra + lines[200:]))
+        hashes = {h for _, _, h in before}
+        moved = [a for a, _, h in after if h not in hashes]
+        assert moved and min(moved) > 180 and max(moved) < 220
+    assert max(b - a for a, b, _ in linededup.chunks("x\n" * 500, divisor=10**9, max_lines=10)) == 20  # two segments
+
+
+def test_line_dedup_of_odd_texts(spark, odd, empty):
     found = linededup.dedup_lines(odd)
     assert found.columns == [*odd.columns, "n_lines", "n_removed_lines"] and found.count() == odd.count() and linededup.dedup_lines(empty).count() == 0
     removed = {r.n_removed_lines for r in found.collect() if (r.text or "") == "" and r.doc_id == 9}
     assert removed == {1}  # of the two equal rows one keeps its 3,000 words
+    named = spark.createDataFrame([(1, "a", 99, "own")], "doc_id long, text string, n_lines int, n_removed_lines string")
+    assert linededup.dedup_lines(named).first().asDict() == {"doc_id": 1, "text": "a", "n_lines": 99, "n_removed_lines": "own", "n_lines_": 1, "n_removed_lines_": 0}
 
 
 def test_quality_signals_and_verdicts(spark, docs, odd, empty):
