@@ -4,10 +4,12 @@
    word shingles. Equal texts meet in one row of the distinct fingerprints, so copies are never paired.
 2. The self-join runs on a binary trie whose bits are read in several orders. If two fingerprints differ in at most
    k bits, some `matched` of `blocks` bit blocks are free of differences (blocks - matched = k); an order starts with
-   those blocks. The top of the trie is then spent without a differing bit, so it is the shuffle key; below it a task
-   walks node pairs together, adds up differing bits and leaves a pair of subtries once the budget is exceeded.
-   Buckets beyond `bucket_rows` are split by the next trie levels into node pairs of their own, with what is left of
-   the budget, until every task is small: no bucket is capped.
+   those blocks. The top of the trie is then spent without a differing bit, so some of its bits are the shuffle key, no
+   more than it takes for buckets of a few thousand fingerprints. In a bucket a task walks node pairs together, from the
+   node down bit by bit, adds up differing bits (none are allowed in the leading blocks) and leaves a pair of subtries
+   once the budget is exceeded. Buckets beyond `bucket_rows` are keyed by all of their leading blocks, and if that isn't
+   enough split by the next trie levels into node pairs of their own, with what is left of the budget, until every task
+   is small: no bucket is capped.
 3. Each bucket returns a spanning forest of its links, never all its pairs; connected components come from
    alternating large-star and small-star steps on Spark tables.
 
@@ -17,13 +19,14 @@ doc_id never names a component unless the component has no other id. Input must
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -119,44 +122,58 @@ def reorder(fps: np.ndarray, order: list[tuple[int, int]]) -> np.ndarray:
     return out
 
 
-def _walk(a: np.ndarray, b: np.ndarray, own: bool, max_bits: int, leaf: int, skip: Callable[[int, int, int, int], bool]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _halves(values: np.ndarray, first: np.ndarray, last: np.ndarray, bit: int) -> np.ndarray:
+    """Where the 1-branch of each trie node values[first:last] begins; all its values agree above `bit`."""
+    above = values[first] >> np.uint64(bit) | np.uint64(1)
+    return np.clip(np.searchsorted(values, above << np.uint64(bit)), first, last)
+
+
+def _walk(a: np.ndarray, b: np.ndarray, own: bool, max_bits: int, free_bits: int, wave: int, skip: Callable) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs with at most max_bits differing bits across two sorted arrays (own: of one array with itself), in blocks.
 
-    A range of a sorted array is a trie node. Node pairs are walked together from the root, with the bits in which
-    they differ so far; a pair of subtries with at most `leaf` combinations is compared outright. Node pairs that
-    `skip` names are left out.
+    A range of a sorted array is a trie node. Node pairs go down together from the root, all of a wave by one bit at a
+    time, with the bits in which they differ so far; a pair whose budget is exceeded is left. In the first free_bits
+    bits no difference is allowed. At most about `wave` node pairs are walked at once, the others wait. `skip` marks
+    node pairs to leave out.
     """
-    step = max(1, leaf * 16)
-    stack = [(0, len(a), 0, len(b), 63, 0)]
-    while stack:
-        a0, a1, b0, b1, bit, spent = stack.pop()
-        if a0 >= a1 or b0 >= b1 or spent > max_bits:
-            continue
-        same = own and a0 == b0 and a1 == b1
-        if (same and a1 - a0 == 1) or skip(a0, a1, b0, b1):
+    if not len(a) or not len(b):
+        return
+    top = int(a[0] ^ a[-1] | b[0] ^ b[-1] | a[0] ^ b[0]).bit_length() - 1  # all agree above
+    waiting = [(top, np.array([[0, len(a), 0, len(b), 0]], np.int64))]
+    while waiting:
+        bit, nodes = waiting.pop()
+        if len(nodes) > wave:
+            waiting.append((bit, nodes[wave:]))
+            nodes = nodes[:wave]
+        single = (nodes[:, 1] - nodes[:, 0] == 1) & (nodes[:, 3] - nodes[:, 2] == 1)
+        if single.any() or bit < 0:
+            # one fingerprint on each side (or equal ones): what is left of the bits at once
+            ends = nodes[single] if bit >= 0 else nodes
+            i, j = ends[:, 0], ends[:, 2]
+            near = (np.bitwise_count(a[i] ^ b[j]) <= max_bits) & ~(own & (i == j))
+            if near.any():
+                yield i[near], j[near]
+            nodes = nodes[~single] if bit >= 0 else nodes[:0]
+        if not len(nodes):
             continue
-        if (a1 - a0) * (b1 - b0) <= leaf or bit < 0:
-            rows = max(1, step // (b1 - b0))
-            for lo in range(a0, a1, rows):
-                hi = min(a1, lo + rows)
-                i, j = np.nonzero(np.bitwise_count(a[lo:hi, None] ^ b[None, b0:b1]) <= max_bits)
-                i, j = i + lo, j + b0
-                keep = i < j if same else slice(None)
-                yield i[keep], j[keep]
-            continue
-        mask = np.uint64(1 << bit)
-        am = a0 + int(np.count_nonzero((a[a0:a1] & mask) == 0))
-        bm = b0 + int(np.count_nonzero((b[b0:b1] & mask) == 0))
-        stack.append((a0, am, b0, bm, bit - 1, spent))
-        stack.append((am, a1, bm, b1, bit - 1, spent))
-        stack.append((a0, am, bm, b1, bit - 1, spent + 1))
-        if not same:
-            stack.append((am, a1, b0, bm, bit - 1, spent + 1))
-
-
-def trie_pairs(a: np.ndarray, b: np.ndarray | None, max_bits: int, leaf: int = 16_384) -> tuple[np.ndarray, np.ndarray]:
-    """All index pairs with at most max_bits differing bits, of one sorted array (b is None) or across two."""
-    found = list(_walk(a, a if b is None else b, b is None, max_bits, leaf, lambda *_: False))
+        nodes = nodes[~skip(nodes)]
+        a0, a1, b0, b1, spent = nodes.T
+        am, bm = _halves(a, a0, a1, bit), _halves(b, b0, b1, bit)
+        same = own & (a0 == b0)
+        down = [np.stack(x, 1) for x in ((a0, am, b0, bm, spent), (am, a1, bm, b1, spent))]
+        if bit < 64 - free_bits:
+            down.append(np.stack((a0, am, bm, b1, spent + 1), 1))
+            down.append(np.stack((am, a1, b0, bm, spent + 1), 1)[~same])
+        nodes = np.concatenate(down)
+        nodes = nodes[(nodes[:, 0] < nodes[:, 1]) & (nodes[:, 2] < nodes[:, 3]) & (nodes[:, 4] <= max_bits)]
+        lone = own & (nodes[:, 0] == nodes[:, 2]) & (nodes[:, 1] - nodes[:, 0] == 1)
+        if len(nodes := nodes[~lone]):
+            waiting.append((bit - 1, nodes))
+
+
+def trie_pairs(a: np.ndarray, b: np.ndarray | None, max_bits: int, wave: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """All index pairs with at most max_bits differing bits, of one sorted array of distinct values (b is None) or across two."""
+    found = list(_walk(a, a if b is None else b, b is None, max_bits, 0, wave, lambda nodes: np.zeros(len(nodes), bool)))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
@@ -177,11 +194,11 @@ def _forest(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
-def trie_labels(a: np.ndarray, b: np.ndarray | None, max_bits: int, leaf: int = 16_384, held_pairs: int = 200_000) -> np.ndarray:
+def trie_labels(a: np.ndarray, b: np.ndarray | None, max_bits: int, free_bits: int = 0, wave: int = 200_000, held_pairs: int = 200_000) -> np.ndarray:
     """For each index of a, then of b, the smallest one that it is linked to, directly or not.
 
-    Holds held_pairs pairs and those of one leaf at once. Node pairs whose members all are in one component already
-    can add nothing and are skipped, so a dense group costs about as many comparisons as it has members.
+    Holds held_pairs pairs and those of one wave at once. Node pairs whose members all are in one component already can
+    add nothing and are skipped, so a dense group costs about as many comparisons as it has members.
     """
     own, n = b is None, len(a)
     b, shift = (a, 0) if own else (b, n)
@@ -189,25 +206,29 @@ def trie_labels(a: np.ndarray, b: np.ndarray | None, max_bits: int, leaf: int =
     if own and n > 1:  # neighbours first: they join most of a dense group
         near = np.flatnonzero(np.bitwise_count(a[1:] ^ a[:-1]) <= max_bits)
         label = _forest(label, near, near + 1)
+    changes = None
 
-    def joined(a0: int, a1: int, b0: int, b1: int) -> bool:
-        one = label[a0]
-        return label[b0 + shift] == one and bool((label[a0:a1] == one).all() and (label[b0 + shift : b1 + shift] == one).all())
+    def joined(nodes: np.ndarray) -> np.ndarray:
+        nonlocal changes
+        if changes is None:  # how often the label changes before each index
+            changes = np.concatenate([[0], np.cumsum(label[1:] != label[:-1])])
+        a0, a1, b0, b1 = nodes[:, 0], nodes[:, 1] - 1, nodes[:, 2] + shift, nodes[:, 3] + shift - 1
+        return (label[a0] == label[b0]) & (changes[a0] == changes[a1]) & (changes[b0] == changes[b1])
 
     left, right, held = [], [], 0
-    for i, j in _walk(a, b, own, max_bits, leaf, joined):
+    for i, j in _walk(a, b, own, max_bits, free_bits, wave, joined):
         left.append(i)
         right.append(j + shift)
         held += len(i)
         if held >= held_pairs:
-            label = _forest(label, np.concatenate(left), np.concatenate(right))
+            label, changes = _forest(label, np.concatenate(left), np.concatenate(right)), None
             left, right, held = [], [], 0
     if held:
         label = _forest(label, np.concatenate(left), np.concatenate(right))
     return label
 
 
-def _bucket_links(order: int, side: np.ndarray, fps: np.ndarray, orders: list, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _bucket_links(order: int, side: np.ndarray, fps: np.ndarray, orders: list, keys: list, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of one bucket's links. side: 0 all with all; 1 and 2 only across."""
     if len(fps) < 2:
         return fps[:0], fps[:0]
@@ -215,36 +236,45 @@ def _bucket_links(order: int, side: np.ndarray, fps: np.ndarray, orders: list, m
     at = np.lexsort((turned, side))
     turned, fps, side = turned[at], fps[at], side[at]
     if side[0] == 0:
-        label = trie_labels(turned, None, max_bits)
+        label = trie_labels(turned, None, max_bits, keys[order])
     else:
         ones = int(np.count_nonzero(side == 1))
-        label = trie_labels(turned[:ones], turned[ones:], max_bits)
+        label = trie_labels(turned[:ones], turned[ones:], max_bits, keys[order])
     moved = np.flatnonzero(label != np.arange(len(fps)))
     return fps[label[moved]], fps[moved]
 
 
-def _buckets(distinct: DataFrame, max_bits: int) -> DataFrame:
-    """(order, key, side, budget, level, fp): the fingerprints under each first node of each order."""
+def _buckets(distinct: DataFrame, max_bits: int, depth: int) -> DataFrame:
+    """(order, key, side, budget, level, fp): the fingerprints under each node of each order that is `depth` bits down, all in the leading blocks."""
     orders, keys = trie_orders(max_bits)
     blocks, matched = block_plan(max_bits)
-    entries = []
-    for t, order in enumerate(orders):
-        key = F.lit(0).cast("long")
-        for shift, width in order[:matched]:
-            key = F.shiftleft(key, width).bitwiseOR(F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1).cast("long")))
-        entries.append(F.struct(F.lit(t).alias("order"), key.alias("key")))
+    entries = [F.struct(F.lit(t).alias("order"), F.shiftrightunsigned(_leading(order[:matched]), max(0, keys[t] - depth)).alias("key")) for t, order in enumerate(orders)]
     return distinct.select("fp", F.explode(F.array(*entries)).alias("e")).select("e.order", "e.key", F.lit(0).alias("side"), F.lit(max_bits).alias("budget"), F.lit(0).alias("level"), "fp")
 
 
+def _leading(blocks: list[tuple[int, int]]) -> Column:
+    """The bits of fp in some blocks of an order."""
+    bits = F.lit(0).cast("long")
+    for shift, width in blocks:
+        bits = F.shiftleft(bits, width).bitwiseOR(F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1).cast("long")))
+    return bits
+
+
+def _deepen(hot: DataFrame, max_bits: int) -> DataFrame:
+    """The same rows under the nodes at the end of the leading blocks."""
+    orders, _ = trie_orders(max_bits)
+    key = F.lit(None).cast("long")
+    for t, order in enumerate(orders):
+        key = F.when(F.col("order") == t, _leading(order[: block_plan(max_bits)[1]])).otherwise(key)
+    return hot.withColumn("key", F.xxhash64(key, F.lit(-1)))
+
+
 def _split(hot: DataFrame, max_bits: int, step: int = 4) -> DataFrame:
     """Node pairs `step` levels further down for buckets that are too large, with what is left of their budget."""
     orders, keys = trie_orders(max_bits)
     turned = None
     for t, order in enumerate(orders):
-        bits = F.lit(0).cast("long")
-        for shift, width in order:
-            bits = F.shiftleft(bits, width).bitwiseOR(F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1).cast("long")))
-        turned = F.when(F.col("order") == t, bits) if turned is None else turned.when(F.col("order") == t, bits)
+        turned = F.when(F.col("order") == t, _leading(order)) if turned is None else turned.when(F.col("order") == t, _leading(order))
     key_bits = F.element_at(F.array(*map(F.lit, keys)), F.col("order") + 1)
     shift = F.greatest(F.lit(0), F.lit(64 - step) - key_bits - step * F.col("level"))
     own = F.expr("shiftrightunsigned(turned, shift)").bitwiseAND(F.lit((1 << step) - 1).cast("long"))
@@ -268,16 +298,18 @@ def near_links(distinct: DataFrame, max_bits: int = 2, bucket_rows: int = 20_000
     """(a, b): links that connect exactly the distinct fingerprints that are at most max_bits apart."""
     orders, keys = trie_orders(max_bits)
     spark = distinct.sparkSession
-    ready, todo = [], _buckets(distinct, max_bits)
-    # a leading key of b bits has few rows until there are bucket_rows * 2**b fingerprints; hot ones are split
-    for _ in range(-(-64 // 4)):
+    # nodes so deep that an even spread gives each an eighth of bucket_rows; larger ones go down, then are split in pairs
+    depth = max(0, math.ceil(math.log2(max(1, distinct.count() * 8 / bucket_rows))))
+    ready, todo = [], _buckets(distinct, max_bits, depth)
+    for turn in range(1 + -(-64 // 4)):
         hot = todo.groupBy("order", "key").count().where(F.col("count") > bucket_rows).select("order", "key")
         hot = common.materialise(hot, "simhash-hot")
         if hot.isEmpty():
             ready.append(todo)
             break
         ready.append(todo.join(hot, ["order", "key"], "left_anti"))
-        todo = common.materialise(_split(todo.join(hot, ["order", "key"], "left_semi"), max_bits), "simhash-split")
+        large = todo.join(hot, ["order", "key"], "left_semi")
+        todo = common.materialise(_split(large, max_bits) if turn else _deepen(large, max_bits), "simhash-split")
     else:
         ready.append(todo)
     rows = ready[0]
@@ -294,7 +326,7 @@ def near_links(distinct: DataFrame, max_bits: int = 2, bucket_rows: int = 20_000
             a, b = [], []
             for k in many:
                 s, e = starts[k], ends[k]
-                x, y = _bucket_links(int(order[s]), side[s:e], fp[s:e], orders, max_bits)
+                x, y = _bucket_links(int(order[s]), side[s:e], fp[s:e], orders, keys, max_bits)
                 if len(x):
                     a.append(x)
                     b.append(y)
@@ -319,17 +351,15 @@ def near_links(distinct: DataFrame, max_bits: int = 2, bucket_rows: int = 20_000
     return rows.select("order", "key", "side", "fp").repartition(parts, "order", "key").sortWithinPartitions("order", "key").mapInArrow(run, "a long, b long").distinct()
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
-    """(node, root): for every node of the links, the smallest node that it reaches. Alternating star contraction."""
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, root): for every node of the links, the smallest node that it reaches. Alternating star contraction, until nothing changes."""
     edges = common.materialise(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links")
 
     def sign(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
     before = sign(edges)
-    for _ in range(rounds):
-        if not before[0]:
-            break
+    while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

@@ -91,7 +91,7 @@ def test_trie_finds_every_pair(bits):
     base = rng.integers(0, 2**63, 60, dtype=np.uint64)
     flips = np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (60, 3), dtype=np.uint64), axis=1)
     fps = np.unique(np.concatenate([base, base ^ flips, base ^ np.uint64(1)]))
-    i, j = simhash.trie_pairs(fps, None, bits, leaf=4)
+    i, j = simhash.trie_pairs(fps, None, bits, wave=7)
     expected = {(a, b) for a in range(len(fps)) for b in range(a + 1, len(fps)) if int(fps[a] ^ fps[b]).bit_count() <= bits}
     assert {(min(p), max(p)) for p in zip(i.tolist(), j.tolist(), strict=True)} == expected
     orders, _ = simhash.trie_orders(bits)
@@ -117,10 +117,10 @@ def test_dense_groups_are_linked_without_all_their_pairs(held):
 
     near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 6
     pairs = [(i, j) for i, j in zip(*np.nonzero(near), strict=True) if i < j]
-    assert np.array_equal(simhash.trie_labels(fps, None, 6, leaf=16, held_pairs=held), least(pairs, len(fps)))
+    assert np.array_equal(simhash.trie_labels(fps, None, 6, wave=500, held_pairs=held), least(pairs, len(fps)))
     one, two = fps[::2], fps[1::2]
     across = [(i, j + len(one)) for i, j in zip(*np.nonzero(near[::2, 1::2]), strict=True)]
-    assert np.array_equal(simhash.trie_labels(one, two, 6, leaf=16, held_pairs=held), least(across, len(fps)))
+    assert np.array_equal(simhash.trie_labels(one, two, 6, wave=500, held_pairs=held), least(across, len(fps)))
 
 
 def test_split_buckets_give_the_same_components(spark):
@@ -134,13 +134,38 @@ def test_split_buckets_give_the_same_components(spark):
     for f, s in zip(fps, signed, strict=True):
         groups[comp[f]].add(s)
     expected = sorted(tuple(sorted(g)) for g in groups.values() if len(g) > 1)
-    for rows in (4, 20_000):
+    for rows in (4, 60, 20_000):
         found = collections.defaultdict(set)
         for r in simhash.components(simhash.near_links(df, 2, bucket_rows=rows)).collect():
             found[r.root].add(r.node)
         assert sorted(tuple(sorted(g)) for g in found.values()) == expected
 
 
+def test_the_walk_leaves_exceeded_budgets():
+    rng = np.random.default_rng(5)
+    fps = np.unique(rng.integers(0, 2**63, 4000, dtype=np.uint64))
+    looked = []
+
+    def note(nodes):
+        looked.append(len(nodes))
+        return np.zeros(len(nodes), bool)
+
+    for free in (0, 21):
+        looked.clear()
+        pairs = list(simhash._walk(fps, fps, True, 2, free, 10**6, note))
+        assert not pairs and sum(looked) < len(fps) ** 2 / 8  # random fingerprints: few of the 8 million pairs are reached
+
+
+def test_long_chains_are_one_component(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(3000)], "a long, b long").repartition(4)
+    found = simhash.components(chain)
+    assert found.count() == 3001 and {r.root for r in found.select("root").distinct().collect()} == {0}
+
+
+def test_simhash_of_an_empty_table(empty):
+    assert simhash.near_duplicates(empty).count() == 0
+
+
 def test_keep_one_of_each_group(odd, empty):
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns and simhash.keep_one(empty).count() == 0
