@@ -89,6 +89,18 @@ def _item_seeds(items: DataFrame, masks: tuple[str, ...], min_item_words: int, m
     return items.mapInArrow(run, f"h long, item {items.schema['item'].dataType.simpleString()}, at int")
 
 
+def _item_words(items: DataFrame) -> DataFrame:
+    """(item, item_words): the hashes of each item's words."""
+
+    def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batch_iter:
+            lists = [[hashes[w] for w in words_of(t)] for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.array(x, np.uint64).view(np.int64) for x in lists], pa.list_(pa.int64()))], names=["item", "item_words"])
+
+    return items.mapInArrow(run, f"item {items.schema['item'].dataType.simpleString()}, item_words array<long>")
+
+
 def _regions(keyed: DataFrame, masks: tuple[str, ...], bloom, reach: int) -> DataFrame:
     """(row, id, first, words, hits): stretches of a document's word hashes around windows that may match."""
 
@@ -149,15 +161,17 @@ def best_stretch(equal: np.ndarray, min_share: float) -> tuple[int, int, int]:
     return int(starts[k] + inside[0]), int(starts[k] + inside[-1]) + 1, len(inside)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, min_share: float = 0.8, min_item_words: int = 5, reach: int = 256, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, min_share: float = 0.8, min_item_words: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(row, id, item, first_word, n_words, n_equal): for each document and item that overlap, the best stretch.
 
-    row is the document's monotonically_increasing_id(). reach is how far around a hit words are compared.
+    row is the document's monotonically_increasing_id(). Around a hit the item's whole diagonal is compared.
     """
     spark = docs.sparkSession
     common.pin_splits(spark)
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
     masks = MASKS
+    worded = common.materialise(_item_words(items), "item-words")
+    reach = worded.agg(F.max(F.size("item_words"))).first()[0] or 0  # no diagonal is longer
     item_seeds = common.materialise(_item_seeds(items, masks, min_item_words, min_words), "item-seeds")
     words = F.col("p").bitwiseAND(F.lit(63))
     low = F.lit((1 << _BLOOM_BITS) - 1).cast("long")
@@ -173,13 +187,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, min
     hits = regions.select("row", "first", F.explode(F.arrays_zip("h", "at")).alias("x")).select("row", "first", F.col("x.h").alias("h"), F.col("x.at").alias("doc_at"))
     diagonals = hits.join(item_seeds, "h").select("row", "first", "item", (F.col("doc_at") - F.col("at")).alias("diagonal")).distinct()
 
-    def item_words(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batch_iter:
-            lists = [[hashes[w] for w in words_of(t)] for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.array(x, np.uint64).view(np.int64) for x in lists], pa.list_(pa.int64()))], names=["item", "item_words"])
-
-    worded = items.mapInArrow(item_words, f"item {items.schema['item'].dataType.simpleString()}, item_words array<long>")
     pairs = diagonals.join(worded, "item").join(regions.select("row", "id", "first", "words"), ["row", "first"]).select("row", "id", "item", "first", "diagonal", "words", "item_words")
 
     def verify(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
