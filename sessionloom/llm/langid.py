@@ -2,8 +2,9 @@
 
 A text's vector is the mean of the embeddings of its words' hashed byte n-grams (and of the words themselves); a linear
 softmax gives the languages. Embeddings and softmax are trained together by stochastic gradient descent in numpy, on
-snippets of a bounded sample: about `per_language` labelled documents of each language. A temperature is then fitted on
-snippets kept out of training, and so is the rejection limit: the confidence that all but `reject_share` of them reach.
+snippets of a bounded sample: about `per_language` labelled documents of each language, and of these at most
+`language_snippets` snippets, drawn evenly over its documents. A temperature is then fitted on snippets kept out of
+training, and so is the rejection limit: the confidence that all but `reject_share` of them reach.
 
 As the softmax is linear, a word's share of the logits is one row; tasks keep those rows in a bounded table.
 
@@ -48,21 +49,22 @@ class LanguageModel:
         return z / z.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[str], labels: list[str], dims: int = 16, buckets: int = 1 << 15, snippet_words: int = 25, max_snippets: int = 12_000, epochs: int = 4, rate: float = 0.5, reject_share: float = 0.01, seed: int = 1) -> LanguageModel:
+def train(texts: list[str], labels: list[str], dims: int = 16, buckets: int = 1 << 15, snippet_words: int = 25, language_snippets: int = 3_000, epochs: int = 4, rate: float = 0.5, reject_share: float = 0.01, seed: int = 1) -> LanguageModel:
     rng = np.random.default_rng(seed)
     languages = sorted(set(labels))
     model = LanguageModel(languages, rng.normal(0, 0.1, (buckets, dims)).astype(np.float32), np.zeros((dims, max(1, len(languages))), np.float32), np.zeros(max(1, len(languages)), np.float32))
     model.weights[:] = rng.normal(0, 0.1, model.weights.shape)
-    snippets, y = [], []
+    found: dict[str, list[tuple]] = {language: [] for language in languages}
     for text, label in zip(texts, labels, strict=True):
         words = common.words_of(text)
-        for a in range(0, len(words), snippet_words):
-            snippets.append(words[a : a + snippet_words])
-            y.append(languages.index(label))
-    if not snippets:
+        own = [words[a : a + snippet_words] for a in range(0, len(words), snippet_words)]
+        # a document's second snippet is drawn after the first one of every other document
+        found[label].extend((turn, rng.random(), own[k]) for turn, k in enumerate(rng.permutation(len(own))))
+    drawn = [(words, k) for k, language in enumerate(languages) for _, _, words in sorted(found[language], key=lambda x: x[:2])[:language_snippets]]
+    if not drawn:
         return model
-    order = rng.permutation(len(snippets))[:max_snippets]
-    snippets, y = [snippets[i] for i in order], np.array(y)[order]
+    order = rng.permutation(len(drawn))
+    snippets, y = [drawn[i][0] for i in order], np.array([drawn[i][1] for i in order])
     grams, counts = common.word_grams([w for s in snippets for w in s], model.sizes, buckets)
     sizes = common.segment_sums(counts[:, None], np.array([len(s) for s in snippets]))[:, 0].astype(np.int64)
     ends = np.cumsum(sizes)
