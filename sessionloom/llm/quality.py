@@ -86,33 +86,39 @@ def host_verdicts(measured: DataFrame, host: Column, prefix: str = "", host_limi
     return rated.withColumn("host_kept", F.greatest(*rates) <= host_limit)
 
 
-def join_hosts(docs: DataFrame, hosts: DataFrame, host: Column, broadcast_hosts: int = 10_000, salts: int = 32) -> DataFrame:
-    """docs with the columns of hosts; every host of docs is in hosts."""
+def join_hosts(docs: DataFrame, hosts: DataFrame, host: Column, row: Column, broadcast_hosts: int = 10_000, salts: int = 32) -> DataFrame:
+    """docs with the columns of hosts; every host of docs is in hosts. row numbers the rows: it deals a host's over the salts."""
     key, salt = "__sessionloom_host", "__sessionloom_salt"
     named = hosts.withColumnRenamed("host", key)
     keyed = docs.withColumn(key, F.coalesce(host, F.lit("")))
     if hosts.limit(broadcast_hosts + 1).count() <= broadcast_hosts:
         return keyed.join(F.broadcast(named), key).drop(key)
-    keyed = keyed.withColumn(salt, F.pmod(F.xxhash64(*docs.columns[:2]), F.lit(salts)).cast("int"))
+    keyed = keyed.withColumn(salt, F.pmod(row, F.lit(salts)).cast("int"))
     named = named.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return keyed.join(named, [key, salt]).drop(key, salt)
 
 
 def judge(docs: DataFrame, host_col: str = "source", id_col: str = "doc_id", text_col: str = "text", host_limit: float = 0.5, limits: dict = LIMITS) -> DataFrame:
     """One row per document: id, host, the signals, base_failed, failed (names of failed rules), host_kept, kept."""
-    measured = common.materialise(with_signals(docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.col(text_col).alias("text"))).drop("text"), "quality-signals")
+    row = "__sessionloom_row"
+    slim = docs.select(F.monotonically_increasing_id().alias(row), F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.col(text_col).alias("text"))
+    measured = common.materialise(with_signals(slim).drop("text"), "quality-signals")
     hosts = common.materialise(host_verdicts(measured, F.col("host"), "", host_limit, limits).select("host", "host_kept"), "quality-hosts")
     failed = F.filter(F.array(*(F.when(rule, F.lit(name)) for name, rule in rules("", limits).items())), lambda x: x.isNotNull())
-    joined = join_hosts(measured, hosts, F.col("host"))
+    joined = join_hosts(measured, hosts, F.col("host"), F.col(row)).drop(row)
     return joined.withColumns({"failed": failed, "base_failed": rules("", limits)["short"] | rules("", limits)["repetitive"]}).withColumn("kept", (F.size("failed") == 0) & F.col("host_kept"))
 
 
 def keep_good(docs: DataFrame, host_col: str = "source", text_col: str = "text", host_limit: float = 0.5, limits: dict = LIMITS) -> DataFrame:
-    """The documents that judge() keeps, with the columns of docs unchanged."""
-    prefix = "__sessionloom_q_"
-    hosts = common.materialise(host_verdicts(with_signals(docs, text_col, prefix), F.col(host_col), prefix, host_limit, limits).select("host", F.col("host_kept").alias(f"{prefix}host_kept")), "quality-hosts")
+    """The documents that judge() keeps, with the columns of docs unchanged. docs must be a stored table, read again by row."""
+    row = "__sessionloom_row"
+    common.pin_splits(docs.sparkSession)
+    keyed = docs.withColumn(row, F.monotonically_increasing_id())
+    slim = keyed.select(row, F.col(host_col).alias("host"), F.col(text_col).alias("text"))
+    measured = common.materialise(with_signals(slim).drop("text"), "quality-signals")
+    hosts = common.materialise(host_verdicts(measured, F.col("host"), "", host_limit, limits).select("host", "host_kept"), "quality-hosts")
     passed = F.lit(True)
-    for rule in rules(prefix, limits).values():
+    for rule in rules("", limits).values():
         passed = passed & ~rule
-    good = with_signals(docs, text_col, prefix).where(passed)
-    return join_hosts(good, hosts, F.col(host_col)).where(f"{prefix}host_kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    good = join_hosts(measured.where(passed).select(row, "host"), hosts, F.col("host"), F.col(row)).where("host_kept").select(row)
+    return keyed.join(common.materialise(good, "quality-good"), row, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -457,7 +457,7 @@ def test_bad_hosts_go_and_the_salted_join_agrees(spark):
     kept = {r.id for r in quality.judge(df).collect() if r.kept}
     assert kept == {*range(100, 140), 200}
     hosts = spark.createDataFrame([("bad", False), ("good", True), ("", True), ("once", True)], "host string, host_kept boolean")
-    a, b = (sorted(map(str, quality.join_hosts(df, hosts, F.col("source"), broadcast_hosts=n).collect())) for n in (10, 0))
+    a, b = (sorted(map(str, quality.join_hosts(df, hosts, F.col("source"), F.col("doc_id"), broadcast_hosts=n).collect())) for n in (10, 0))
     assert a == b and len(a) == df.count()
 
 
@@ -501,6 +501,45 @@ def test_decontamination_at_the_stated_limits(spark, tmp_path):
         assert b - a <= longest and count >= 0.8 * (b - a) - 1e-6 and count == equal[a:b].sum()
 
 
+def overlaps(text, item, min_words=13, share=0.8):
+    """Whether any stretch of any diagonal has enough equal words: all stretches, one after another."""
+    d, t = decontam.words_of(text), decontam.words_of(item)
+    if len(t) < 5:
+        return False
+    need = min_words if len(t) >= min_words else share * len(t) - 1e-9
+    for shift in range(-len(t) + 1, len(d)):
+        lo, hi = max(0, shift), min(len(d), shift + len(t))
+        sums = np.cumsum([0, *(d[k] == t[k - shift] for k in range(lo, hi))])
+        for a in range(hi - lo):
+            n = np.arange(a + 1, hi - lo + 1)
+            equal = sums[n] - sums[a]
+            if ((equal >= need) & (equal >= share * (n - a) - 1e-9)).any():
+                return True
+    return False
+
+
+def test_decontamination_equals_brute_force_over_all_diagonals(spark, tmp_path):
+    rng = np.random.default_rng(21)
+    word = lambda: f"w{rng.integers(0, 400)}"
+    items = [[word() for _ in range(n)] for n in (14, 20, 33, 6, 11, 60, 400, 4)]
+    rows = []
+    for i in range(160):
+        item = items[i % len(items)]
+        a = int(rng.integers(0, max(1, len(item) - 20))) if len(item) > 30 else 0
+        part = [word() if rng.random() < (0.05, 0.15, 0.22, 0.3)[i // len(items) % 4] else w for w in item[a : a + int(rng.integers(10, 60))]]
+        rows.append((i, " ".join([*(word() for _ in range(20)), *part, *(word() for _ in range(15))])))
+    # sparse hits far from each other: equal words only at the ends of a long item
+    long = items[6]
+    rows.append((900, " ".join(long[:14] + [word() for _ in range(372)] + long[386:])))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    bench = [(i, " ".join(x)) for i, x in enumerate(items)]
+    want = {(i, k) for i, text in rows for k, item in bench if overlaps(text, item)}
+    for extra in ([], [(99, "only three words"), (98, "one two three four five six")]):  # other items change nothing
+        found = decontam.contaminated(spark.read.parquet(str(tmp_path / "d")), spark.createDataFrame(bench + extra, "item_id long, text string"))
+        assert {(r.id, r.item) for r in found.collect()} == want
+    assert 40 < len(want) < 160
+
+
 def test_decontamination_of_odd_tables(spark, odd, empty):
     bench = spark.createDataFrame([(1, "w " * 20)], "item_id long, text string")
     assert {r.id for r in decontam.contaminated(odd, bench).collect()} == {9}
@@ -518,6 +557,29 @@ def test_language_id(docs, odd, empty):
     assert {r.lang_pred for r in langid.predict(odd, langid.fit(empty, F.lit(True))).collect()} == {"und"} and langid.predict(empty, model).count() == 0
 
 
+def test_language_predictions_equal_plain_means(docs):
+    model = langid.fit(docs, F.lit(True), per_language=20)
+    table = model.embeddings @ model.weights
+    for r in langid.predict(docs, model).join(docs.select(F.col("doc_id").alias("id"), "text"), "id").limit(60).collect():
+        words = common.words_of(r.text)
+        if r.lang_pred == "und":
+            assert not any(map(str.isalpha, r.text or "")) and r.score == 0
+            continue
+        grams, _ = common.word_grams(words, model.sizes, len(model.embeddings))
+        logits = (table[grams].astype(float).mean(axis=0) + model.bias) / model.temperature
+        p = np.exp(logits - logits.max()) / np.exp(logits - logits.max()).sum()
+        assert r.lang_pred == model.languages[int(p.argmax())] and r.score == pytest.approx(p.max(), abs=1e-4)
+
+
+def test_snippets_are_drawn_evenly():
+    texts_ = ["aa bb " * 2000] + ["cc dd ee ff"] * 30 + ["xx yy zz"] * 10
+    model = langid.train(texts_, ["a"] * 31 + ["b"] * 10, snippet_words=4, language_snippets=31, epochs=8)
+    words = [b"cc", b"xx"]
+    grams, counts = common.word_grams(words, model.sizes, len(model.embeddings))
+    means = common.segment_sums((model.embeddings @ model.weights)[grams], counts) / counts[:, None] + model.bias
+    assert model.probabilities(means).argmax(axis=1).tolist() == [0, 1]  # the long document leaves room for the others
+
+
 @pytest.mark.parametrize("limit", [32 << 20, 50_000, 2_000])
 def test_shards_fit_and_are_as_short_as_can_be(docs, limit):
     rows = sharding.assign_shards(docs, limit).collect()
