@@ -12,8 +12,10 @@ from .operators import query, store
 class Engine:
     """Queries over one store. Texts that leave through timeline() are redacted again."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, events: DataFrame | None = None) -> None:
+    def __init__(self, spark: SparkSession, path: str | None = None, events: DataFrame | None = None, session_index: DataFrame | None = None, thread_index: DataFrame | None = None) -> None:
+        """With stored indexes a session's or a thread's timeline reads its days alone."""
         self._events = events if events is not None else store.read(spark, path)
+        self._indexes = {"session_id": session_index, "thread_id": thread_index}
 
     def events(self, repo_id: str | None = None) -> DataFrame:
         return self._events.where(F.col("repo_id") == repo_id) if repo_id else self._events
@@ -25,15 +27,32 @@ class Engine:
         return query.page(query.contributors(self.events(repo_id), session_id), 0, limit, 5000)
 
     def timeline(self, repo_id: str | None = None, offset: int = 0, limit: int = 200, include_payload: bool = True, **filters) -> DataFrame:
-        rows = query.page(query.timeline(self.events(repo_id), **filters), offset, limit)
+        return self._shown(query.page(self._timeline(repo_id, filters), offset, limit), include_payload)
+
+    def timeline_page(self, repo_id: str | None = None, offset: int = 0, limit: int = 200, include_payload: bool = True, **filters) -> tuple[DataFrame, int, bool]:
+        """(the page, how many events meet the filters, whether some come after it)."""
+        rows, total, more = query.page_with_total(self.events(repo_id), offset, limit, **self._pruned(filters))
+        return self._shown(rows, include_payload), total, more
+
+    def _pruned(self, filters: dict) -> dict:
+        """filters with the days that the indexes name for a session or thread."""
+        for key, index in self._indexes.items():
+            if index is not None and filters.get(key) and "days" not in filters:
+                return filters | {"days": store.days_of(index, **{key: filters[key]})}
+        return filters
+
+    def _timeline(self, repo_id: str | None, filters: dict) -> DataFrame:
+        return query.timeline(self.events(repo_id), **self._pruned(filters))
+
+    def _shown(self, rows: DataFrame, include_payload: bool = True) -> DataFrame:
         return rows.withColumn("payload_json", redact.redact_payload("payload_json") if include_payload else F.lit("{}"))
 
     def timeline_count(self, repo_id: str | None = None, **filters) -> int:
         return self.events(repo_id).where(query.timeline_filter(**filters)).count()
 
     def timeline_stream(self, repo_id: str | None = None, **filters):
-        """Rows one by one, a partition at a time."""
-        return query.timeline(self.events(repo_id), **filters).toLocalIterator()
+        """Rows one by one, a partition at a time, redacted as in timeline()."""
+        return self._shown(self._timeline(repo_id, filters)).toLocalIterator()
 
     def diff_summary(self, session_id: str, repo_id: str | None = None, path: str | None = None) -> DataFrame:
         rows = self.events(repo_id).where(F.col("session_id") == session_id)

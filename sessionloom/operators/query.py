@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from datetime import date, timedelta
 from functools import reduce
 from operator import and_
 
@@ -11,12 +13,24 @@ from pyspark.sql import functions as F
 from ..functions import payload
 
 
-def timeline_filter(session_id: str | None = None, thread_id: str | None = None, actor_id: str | None = None, from_ts: str | None = None, to_ts: str | None = None, item_type: str | None = None, item: Column | None = None) -> Column:
+def timeline_filter(session_id: str | None = None, thread_id: str | None = None, actor_id: str | None = None, from_ts: str | None = None, to_ts: str | None = None, item_type: str | None = None, item: Column | None = None, days: list[str] | None = None, by_day: bool = False) -> Column:
     """The conjunction of what is given; an empty text filters nothing. Bounds are inclusive and compare as text.
 
-    Days follow from the bounds where they start with a date, so that partitions of event_date can be left out.
+    With by_day (events that have event_date) the bounds also leave out partitions: where they start with a date, days
+    before the one before and after the one after it, as a ts may be in any time zone. days (see store.days_of) are the
+    only ones that may hold events.
     """
     tests = []
+    day = F.col("event_date")
+    for value, beyond in ((from_ts, -1), (to_ts, 1)):
+        if by_day and value and re.match(r"\d{4}-\d{2}-\d{2}", value):
+            try:
+                edge = F.lit(date.fromisoformat(value[:10]) + timedelta(days=beyond))
+            except (ValueError, OverflowError):
+                continue
+            tests.append(day.isNull() | (day >= edge if beyond < 0 else day <= edge))
+    if days is not None and by_day:
+        tests.append(day.isin([date.fromisoformat(d) for d in days]))
     for name, value in (("session_id", session_id), ("thread_id", thread_id), ("actor_id", actor_id)):
         if value:
             tests.append(F.col(name) == value)
@@ -31,7 +45,7 @@ def timeline_filter(session_id: str | None = None, thread_id: str | None = None,
 
 def timeline(events: DataFrame, **filters) -> DataFrame:
     """Events that meet the filters, by ts and then by arrival."""
-    return events.where(timeline_filter(**filters)).orderBy("ts", "arrival_seq")
+    return events.where(timeline_filter(**filters, by_day="event_date" in events.columns)).orderBy("ts", "arrival_seq")
 
 
 def page(ordered: DataFrame, offset: int = 0, limit: int = 200, most: int = 1000) -> DataFrame:
@@ -39,6 +53,13 @@ def page(ordered: DataFrame, offset: int = 0, limit: int = 200, most: int = 1000
     return ordered.offset(max(0, offset)).limit(min(max(1, limit), most))
 
 
+def page_with_total(events: DataFrame, offset: int = 0, limit: int = 200, most: int = 1000, **filters) -> tuple[DataFrame, int, bool]:
+    """(a timeline's page, how many events meet the filters, whether some come after the page)."""
+    found = timeline(events, **filters)
+    total = found.count()
+    return page(found, offset, limit, most), total, max(0, offset) + min(max(1, limit), most) < total
+
+
 def sessions(events: DataFrame) -> DataFrame:
     """(repo_id, session_id, from_ts, to_ts, event_count, thread_count), the latest activity first."""
     per = events.groupBy("repo_id", "session_id", "thread_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count("*").alias("n"))
@@ -75,6 +96,11 @@ def by_path(df: DataFrame, *first: str) -> DataFrame:
     return df.orderBy(*first, F.collate("path", "UNICODE"))
 
 
+def by_weight(df: DataFrame, *first: str) -> DataFrame:
+    """File stats with the most changed first, then as people read paths."""
+    return df.orderBy(*first, F.desc(F.col("plus") + F.col("minus")), F.collate("path", "UNICODE"))
+
+
 def file_stats(changed: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, path, plus, minus): an addition counts once up, a deletion once down, any other change both."""
     kind = F.col("kind")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,28 +51,60 @@ def append(events: DataFrame, path: str) -> None:
     dated(events).write.mode("append").partitionBy("repo_id", "event_date").parquet(path)
 
 
+def append_raw(lines: DataFrame, path: str) -> None:
+    """Keep captured lines (provider, session_id, line) as they came but for secrets: text files by provider and session."""
+    kept = lines.select("provider", "session_id", redact.redact_payload("line").alias("value"))
+    kept.write.mode("append").partitionBy("provider", "session_id").text(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a store was begun at path."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
 def read_segments(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """JSON-lines segments as envelopes, without lines that don't parse; a missing actorId is null."""
+    """JSON-lines segments as envelopes, without lines that don't parse; a missing actorId is null.
+
+    Events arrive in the order of the paths as given, and within a file in that of its lines: arrival_seq is the path's
+    place and the line's offset, summed within each split of a file, so that files are read in parallel.
+    """
     names = {"eventId": "event_id", "source": "source", "repoId": "repo_id", "actorId": "actor_id", "sessionId": "session_id", "threadId": "thread_id", "ts": "ts", "eventType": "event_type", "reasoningAvailability": "reasoning_availability"}
-    lines = spark.read.option("ignoreMissingFiles", "true").text(paths).select("value", F.monotonically_increasing_id().alias("arrival_seq"))
+    lines = spark.read.option("ignoreMissingFiles", "true").option("lineSep", "\n").text(paths)
+    split = F.col("_metadata.file_block_start")
+    lines = lines.select("value", F.col("_metadata.file_path").alias("file"), split.alias("split"), F.monotonically_increasing_id().alias("pos"))
+    # Spark names files by URI: a given path is the end of one
+    place = F.lit(None).cast("long")
+    for n, path in reversed(list(enumerate(paths))):
+        place = F.when(F.col("file").endswith(re.sub(r"^file:/*", "/", path)), F.lit(n)).otherwise(place)
+    before = F.coalesce(F.sum(F.octet_length("value") + 1).over(Window.partitionBy("file", "split").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # a line that begins at a split's start belongs to the split before it
+    offset = F.col("split") + before + F.when(F.col("split") > 0, 1).otherwise(0)
+    lines = lines.withColumn("arrival_seq", F.shiftleft(F.coalesce(place, F.lit(len(paths))), 44) + offset)
     parsed = lines.withColumn("v", F.try_parse_json("value")).where(F.schema_of_variant("v").startswith("OBJECT"))
     fields = [F.try_variant_get("v", f"$.{old}", "string").alias(new) for old, new in names.items()]
     return parsed.select(*fields, F.get_json_object("value", "$.payload").alias("payload_json"), "arrival_seq").select(*schema.ENVELOPE.names)
 
 
-def _in_order(value: Column, order: Column) -> Column:
-    """Distinct non-null values in the order of their first arrival, from one (first arrival, value) for each."""
-    return F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x["v"])
+def _index(events: DataFrame, keys: list[str], lists: dict[str, str]) -> DataFrame:
+    """(keys, from_ts, to_ts, event_count, a list for each of `lists`): distinct non-null values in order of arrival.
 
+    Events are first reduced to the combinations of the listed values, so that a hot key collects those alone.
+    """
+    rows = dated(events).withColumn("segment", F.date_format("event_date", "yyyyMMdd"))
+    listed = list(lists.values())
+    per = rows.groupBy(*keys, *listed).agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count("*").alias("n"), F.min("arrival_seq").alias("o"))
+    seen = F.array_sort(F.collect_list(F.struct("o", *listed)))
+    out = per.groupBy(*keys).agg(F.min("a").alias("from_ts"), F.max("b").alias("to_ts"), F.sum("n").alias("event_count"), seen.alias("__seen"))
+
+    def distinct(column: str) -> Column:
+        return F.array_distinct(F.filter(F.transform("__seen", lambda x: x[column]), lambda v: v.isNotNull()))
 
-def _first_seen(events: DataFrame, keys: list[str], column: str, name: str) -> DataFrame:
-    """Each key's distinct values of a column as a list; repeats are aggregated before values are collected."""
-    once = events.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("v")).agg(F.min("arrival_seq").alias("o"))
-    return once.groupBy(*keys).agg(_in_order(F.col("v"), F.col("o")).alias(name))
+    return out.withColumns({name: distinct(column) for name, column in lists.items()}).drop("__seen")
 
 
 def segment_manifest(events: DataFrame) -> DataFrame:
@@ -81,22 +115,28 @@ def segment_manifest(events: DataFrame) -> DataFrame:
 def session_index(events: DataFrame) -> DataFrame:
     """(repo_id, session_id, from_ts, to_ts, event_count, segments, threads, actors); lists in order of arrival."""
     keys = ["repo_id", "session_id"]
-    rows = dated(events).withColumn("segment", F.date_format("event_date", "yyyyMMdd"))
-    out = rows.groupBy(*keys).agg(F.min("ts").alias("from_ts"), F.max("ts").alias("to_ts"), F.count("*").alias("event_count"))
-    for column, name in (("segment", "segments"), ("thread_id", "threads"), ("actor_id", "actors")):
-        out = out.join(_first_seen(rows, keys, column, name), keys, "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
-    return out
+    return _index(events, keys, {"segments": "segment", "threads": "thread_id", "actors": "actor_id"})
+
+
+def days_of(index: DataFrame, **ids_: str) -> list[str]:
+    """The days under which a session's (or a thread's, an actor's) events are stored, from its index: the partitions to read."""
+    found = index
+    for column, value in ids_.items():
+        found = found.where(F.col(column) == value)
+    days = found.select(F.explode("segments").alias("d")).distinct().collect()  # the days of one session
+    return sorted(f"{r.d[:4]}-{r.d[4:6]}-{r.d[6:]}" for r in days)
 
 
 def thread_index(events: DataFrame) -> DataFrame:
-    """(repo_id, thread_id, from_ts, to_ts, event_count, session_id): the session is the thread's first."""
-    return events.where("thread_id is not null").groupBy("repo_id", "thread_id").agg(F.min("ts").alias("from_ts"), F.max("ts").alias("to_ts"), F.count("*").alias("event_count"), F.min_by("session_id", "arrival_seq").alias("session_id"))
+    """(repo_id, thread_id, from_ts, to_ts, event_count, segments, session_id): the session is the thread's first."""
+    out = _index(events.where("thread_id is not null"), ["repo_id", "thread_id"], {"segments": "segment", "sessions": "session_id"})
+    return out.withColumn("session_id", F.get("sessions", F.lit(0))).drop("sessions")
 
 
 def actor_index(events: DataFrame) -> DataFrame:
-    """(repo_id, actor_id, from_ts, to_ts, event_count, session_count)."""
-    per = events.where("actor_id is not null").groupBy("repo_id", "actor_id", "session_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count("*").alias("n"))
-    return per.groupBy("repo_id", "actor_id").agg(F.min("a").alias("from_ts"), F.max("b").alias("to_ts"), F.sum("n").alias("event_count"), F.count("session_id").alias("session_count"))
+    """(repo_id, actor_id, from_ts, to_ts, event_count, segments, sessions, session_count)."""
+    out = _index(events.where("actor_id is not null"), ["repo_id", "actor_id"], {"segments": "segment", "sessions": "session_id"})
+    return out.withColumn("session_count", F.size("sessions").cast("long"))
 
 
 def event_id_index(events: DataFrame) -> DataFrame:
