@@ -25,8 +25,11 @@ def utf16_length(c: Column) -> Column:
 
 
 def clip(c: Column, limit: int) -> Column:
-    """At most `limit` characters; a longer text keeps limit - 1 and three dots (two more than the limit)."""
-    return F.when(F.length(c) <= limit, c).otherwise(F.concat(F.substring(c, 1, limit - 1), F.lit("...")))
+    """At most `limit` UTF-16 units; a longer text keeps limit - 1 (no half of a pair) and three dots (two more than the limit)."""
+    units = F.substring(F.encode(c, "UTF-16BE"), 1, 2 * (limit - 1))
+    half = F.hex(F.substring(units, -2, 1)).between("D8", "DB")
+    whole = F.when(half, F.substring(units, F.lit(1), F.octet_length(units) - 2)).otherwise(units)
+    return F.when(utf16_length(c) <= limit, c).otherwise(F.concat(F.decode(whole, "UTF-16BE"), F.lit("...")))
 
 
 def compact_line(c: Column) -> Column:

@@ -13,14 +13,20 @@ from ..functions import ids
 from ..functions.payload import TEXT_KEYS, deep_text, load, strip
 from ..functions.text import clip
 
-#: Characters or entries that each field of a compact item keeps.
+#: UTF-16 units or entries that each field of a compact item keeps.
 TEXT, ARGUMENTS, OUTPUT, PROMPT, EVENT_TEXT = 1800, 1200, 2000, 2000, 2000
 CHANGES, LINES, LINE, SUMMARY_FILES, DIFF_FILES = 240, 220, 500, 300, 120
 
 
+def clipped(text: str, limit: int) -> str:
+    """text.clip() of one text."""
+    units = text.encode("utf-16-be", "surrogatepass")
+    return text if len(units) <= 2 * limit else units[: 2 * (limit - 1)].decode("utf-16-be", "ignore") + "..."
+
+
 def _short(value, limit: int) -> str | None:
     found = deep_text(value, TEXT_KEYS["memory"])
-    return found if found is None or len(found) <= limit else found[: limit - 1] + "..."
+    return found and clipped(found, limit)
 
 
 def _name(value) -> str | None:
@@ -50,7 +56,7 @@ def compact_item(item: dict, namespace: str) -> dict:
         out = _pick(item, ("type", "snapshot_id", "prompt_event_id"), ("prompt_id", "part_index", "part_count"))
         if isinstance(item.get("truncated"), bool):
             out["truncated"] = item["truncated"]
-        lines = [x if len(x) <= LINE else x[: LINE - 1] + "..." for x in item.get("lines") or [] if isinstance(x, str) and x]
+        lines = [clipped(x, LINE) for x in item.get("lines") or [] if isinstance(x, str) and x]
         return out | ({"lines": lines[:LINES]} if lines else {}) | _files(item, DIFF_FILES)
     out = _pick(item, ("type", "role", "name", "call_id"))
     text = next((t for t in (_short(item.get(k), TEXT) for k in ("text", "content", "message", "summary")) if t), None)
@@ -93,8 +99,11 @@ def payload_text(payload_json: pd.Series) -> pd.Series:
     return payload_json.map(one, na_action="ignore")
 
 
-def activities(events: DataFrame, namespace: str = "sessionloom", minimal: bool = False) -> DataFrame:
-    """(run_id, event_id, schema, activity): the compact envelope of each event, or one with an empty payload."""
+def activities(events: DataFrame, namespace: str = "sessionloom", minimal: bool = False, run_id: Column | None = None) -> DataFrame:
+    """(run_id, event_id, schema, activity): the compact envelope of each event, or one with an empty payload.
+
+    The run follows from the event (see ids.run_id) unless one is given.
+    """
 
     @F.pandas_udf(T.StringType())
     def compacted(payload_json: pd.Series) -> pd.Series:
@@ -104,13 +113,14 @@ def activities(events: DataFrame, namespace: str = "sessionloom", minimal: bool
     body = F.lit("{}") if minimal else compacted("payload_json")
     head = F.to_json(F.struct(*(F.col(old).alias(new) for old, new in (("event_id", "eventId"), ("source", "source"), ("repo_id", "repoId"), ("actor_id", "actorId"), ("session_id", "sessionId"), ("thread_id", "threadId"), ("ts", "ts"), ("event_type", "eventType"), ("reasoning_availability", "reasoningAvailability")))), {"ignoreNullFields": "false"})
     event = F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"payload":'), body, F.lit("}"))
-    return events.select(ids.run_id(F.col("event_type"), F.col("repo_id"), F.col("session_id"), namespace).alias("run_id"), "event_id", F.lit(name).alias("schema"), F.concat(F.lit(f'{{"schema":"{name}","event":'), event, F.lit("}")).alias("activity"))
+    run = ids.run_id(F.col("event_type"), F.col("repo_id"), F.col("session_id"), namespace) if run_id is None else run_id
+    return events.select(run.alias("run_id"), "event_id", F.lit(name).alias("schema"), F.concat(F.lit(f'{{"schema":"{name}","event":'), event, F.lit("}")).alias("activity"))
 
 
 def prompt_activities(events: DataFrame, namespace: str = "sessionloom") -> DataFrame:
     """Prompts again, for the prompts' own run."""
     prompts = events.where("event_type = 'prompt.submitted'")
-    return activities(prompts, namespace).withColumn("schema", F.lit(f"{namespace}_prompt.v1")).join(prompts.select("event_id", "repo_id"), "event_id").withColumn("run_id", ids.prompt_run_id(F.col("repo_id"), namespace)).drop("repo_id")
+    return activities(prompts, namespace, run_id=ids.prompt_run_id(F.col("repo_id"), namespace)).withColumn("schema", F.lit(f"{namespace}_prompt.v1"))
 
 
 def memory_items(events: DataFrame, namespace: str = "sessionloom", project: str | None = None, default_actor: str | None = None, scope: str = "session") -> DataFrame:

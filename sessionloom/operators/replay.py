@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -113,11 +116,38 @@ def replay_counters(outcomes: DataFrame, now: Column) -> DataFrame:
 def fingerprint(records: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, fingerprint, n): a hash over the records (id, created_at, payload text) of each snapshot, in their order.
 
-    A snapshot is what one pull returned, at most the requested number of records, so its lines fit one row.
+    A snapshot's lines are sorted in one partition and hashed as they stream by, so no row holds them all.
     """
     line = F.concat_ws("|", F.coalesce(text.text_or_null(F.col("id")), F.concat(F.lit("idx:"), F.col("pos").cast("string"))), F.coalesce(text.text_or_null(F.col("created_at")), F.lit("")), ids.short_hash(F.coalesce("payload", F.lit(""))))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.concat(line, F.lit("\n")).alias("line")))), lambda x: x["line"])
-    return records.groupBy(*keys).agg(ids.short_hash(F.array_join(lines, ""), 24).alias("fingerprint"), F.count("*").alias("n"))
+    rows = records.select(*keys, "pos", F.concat(line, F.lit("\n")).alias("line")).repartition(*keys).sortWithinPartitions(*keys, "pos")
+    fields = [rows.schema[k] for k in keys]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, digest, n, out = None, None, 0, []
+
+        def done() -> pa.RecordBatch:
+            columns = [pa.array([r[0][k] for r in out], kind) for k, kind in enumerate(kinds)]
+            batch = pa.RecordBatch.from_arrays([*columns, pa.array([r[1] for r in out], pa.string()), pa.array([r[2] for r in out], pa.int64())], names=[*keys, "fingerprint", "n"])
+            out.clear()
+            return batch
+
+        kinds: list = []
+        for batch in batches:
+            kinds = [batch.schema.field(k).type for k in keys]
+            for own, text_ in zip(zip(*(batch.column(k).to_pylist() for k in keys), strict=True), batch.column("line").to_pylist(), strict=True):
+                if own != key:
+                    if digest is not None:
+                        out.append((key, digest.hexdigest()[:24], n))
+                    key, digest, n = own, hashlib.sha256(), 0
+                digest.update(text_.encode())
+                n += 1
+            if len(out) > 10_000:
+                yield done()
+        if digest is not None:
+            out.append((key, digest.hexdigest()[:24], n))
+            yield done()
+
+    return rows.mapInArrow(run, T.StructType([*fields, T.StructField("fingerprint", T.StringType()), T.StructField("n", T.LongType())]))
 
 
 def combined_fingerprint(main: Column, prompts: Column, sessions: Column, diffs: Column) -> Column:

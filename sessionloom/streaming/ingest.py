@@ -1,11 +1,12 @@
-"""Incremental ingest by Structured Streaming, and sinks that outlive a failing service."""
+"""Incremental ingest by Structured Streaming, and writing a store's events to a sink."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -17,107 +18,100 @@ class Sink(Protocol):
     def write(self, rows: Sequence[dict]) -> None: ...
 
 
-class MemorySink:
-    """Keeps what it is given; for tests and local runs."""
-
-    def __init__(self, fails: Callable[[Sequence[dict]], bool] = lambda rows: False) -> None:
-        self.rows: list[dict] = []
-        self._fails = fails
+def _written(sink: Sink, rows: Sequence[dict]) -> int:
+    """How many of the rows a sink takes; a batch that fails is halved until single rows fail."""
+    try:
+        sink.write(rows)
+        return len(rows)
+    except Exception:
+        half = len(rows) // 2
+        return _written(sink, rows[:half]) + _written(sink, rows[half:]) if half else 0
 
-    def write(self, rows: Sequence[dict]) -> None:
-        if self._fails(rows):
-            raise RuntimeError("refused")
-        self.rows.extend(rows)
 
+def backfill(events: DataFrame, make_sink: Callable[[], Sink], batch: int = 32, give_up_after: int = 3) -> DataFrame:
+    """(attempted, accepted, deduplicated, failed, sessions): write first arrivals to a sink, each partition from where it lies.
 
-class Breaker:
-    """Stops writing after `threshold` failures in a row, for as long as it lives; a success sets the count back."""
+    Batches are halved on failure; after give_up_after batches in a row of which nothing was taken, a partition writes no more.
+    """
+    kept = store.first_arrivals(events)
 
-    def __init__(self, threshold: int = 3) -> None:
-        self.threshold, self.failures, self.dropped = threshold, 0, 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sink, lost, attempted, accepted = make_sink(), 0, 0, 0
+        for rows in batches:
+            for i in range(0, rows.num_rows, batch):
+                some = rows.slice(i, batch).to_pylist()
+                attempted += len(some)
+                taken = _written(sink, some) if lost < give_up_after else 0
+                accepted, lost = accepted + taken, 0 if taken else lost + 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()) for n in (attempted, accepted)], names=["attempted", "accepted"])
 
-    @property
-    def is_open(self) -> bool:
-        return self.failures >= self.threshold
+    done = kept.mapInArrow(run, "attempted long, accepted long").agg(F.coalesce(F.sum("attempted"), F.lit(0)).alias("attempted"), F.coalesce(F.sum("accepted"), F.lit(0)).alias("accepted"))
+    size = events.agg(F.count("*").alias("n"), F.count_distinct("repo_id", "session_id").alias("sessions"))
+    return done.crossJoin(size).select("attempted", "accepted", (F.col("n") - F.col("attempted")).alias("deduplicated"), (F.col("attempted") - F.col("accepted")).alias("failed"), "sessions")  # one row each
 
-    def write(self, sink: Sink, rows: Sequence[dict]) -> bool:
-        if self.is_open:
-            self.dropped += len(rows)
-            return False
-        try:
-            sink.write(rows)
-        except Exception:
-            self.failures += 1
-            return False
-        self.failures = 0
-        return True
 
+#: Names that a landed line may give each field of an envelope.
+_NAMES = {"event_id": ("event_id", "eventId"), "source": ("source",), "repo_id": ("repo_id", "repoId"), "actor_id": ("actor_id", "actorId"), "session_id": ("session_id", "sessionId"), "thread_id": ("thread_id", "threadId"), "ts": ("ts",), "event_type": ("event_type", "eventType"), "reasoning_availability": ("reasoning_availability", "reasoningAvailability")}
 
-def timeout_factor(batch: int) -> int:
-    """By how much a batch's timeout exceeds a single write's."""
-    return min(6, max(1, -(-batch // 8)))
 
+_PLACE = 20  # bits of arrival_seq for a line's place in its split
 
-def write_halving(sink: Sink, rows: Sequence[dict]) -> tuple[int, list[dict]]:
-    """Write rows; a batch that fails is halved until single rows fail: (accepted, failed rows)."""
-    try:
-        sink.write(rows)
-        return len(rows), []
-    except Exception:
-        if len(rows) <= 1:
-            return 0, list(rows)
-    half = len(rows) // 2
-    a, failed = write_halving(sink, rows[:half])
-    b, more = write_halving(sink, rows[half:])
-    return a + b, failed + more
 
-
-def backfill(events: DataFrame, make_sink: Callable[[], Sink], batch: int = 32) -> DataFrame:
-    """(attempted, accepted, failed): write rows to a sink from where they lie, in batches that are halved on failure."""
-
-    def run(frames):
-        sink = make_sink()
-        import pandas as pd
-
-        for frame in frames:
-            rows = frame.to_dict("records")
-            done = [write_halving(sink, rows[i : i + batch]) for i in range(0, len(rows), batch)]
-            yield pd.DataFrame({"attempted": [len(rows)], "accepted": [sum(n for n, _ in done)], "failed": [sum(len(x) for _, x in done)]})
-
-    return events.mapInPandas(run, "attempted long, accepted long, failed long").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("attempted", "accepted", "failed")))
+def _placed(batch: DataFrame) -> DataFrame:
+    """A batch with the places of lines in arrival_seq, and with numbers in the ids of equal bad lines."""
+    rows = batch.withColumn("arrival_seq", F.coalesce("arrival_seq", F.lit(0)) + F.pmod(F.monotonically_increasing_id(), F.lit(1 << _PLACE)))
+    bad = (F.col("event_type") == "error") & (F.col("repo_id") == "unknown")
+    nth = F.row_number().over(Window.partitionBy("event_id", F.coalesce(bad, F.lit(False))).orderBy("arrival_seq"))
+    again = F.substring(F.sha2(F.concat_ws("|", "event_id", nth.cast("string")), 256), 1, 24)
+    return rows.where(~F.coalesce(bad, F.lit(False))).unionByName(rows.where(bad).withColumn("event_id", F.when(nth > 1, again).otherwise(F.col("event_id"))))
 
 
 def read_landed(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """A stream of envelopes from JSON-lines files that land in a folder; a line that doesn't parse is an error event."""
-    reader = spark.readStream
+    """A stream of envelopes from JSON-lines files that land in a folder, with the names of segments or of columns.
+
+    A line that doesn't parse, or has no event id, is an error event: its id follows from its file and text, its ts is the
+    file's. arrival_seq is the file's time; run_ingest() adds each line's place and tells a file's equal bad lines apart.
+    """
+    reader = spark.readStream.option("lineSep", "\n")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    fields = [f for f in schema.ENVELOPE.fields if f.name != "payload_json"]
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
-    parsed = reader.text(path).withColumn("e", F.from_json("value", kinds))
-    good = F.col("e.event_id").isNotNull()
-    values = {f.name: F.col(f"e.{f.name}") for f in fields} | {"payload_json": F.get_json_object("value", "$.payload")}
-    error = {"event_id": F.substring(F.sha2("value", 256), 1, 24), "source": F.lit("codex_exec"), "repo_id": F.lit("unknown"), "session_id": F.lit("unknown"), "event_type": F.lit("error"), "ts": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), "payload_json": F.to_json(F.struct(F.col("value").alias("raw"))), "reasoning_availability": F.lit("unavailable")}
+    kinds = ", ".join(f"{name} string" for names in _NAMES.values() for name in names)
+    landed = reader.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("landed"))
+    parsed = landed.where(F.trim("value") != "").withColumn("e", F.from_json("value", kinds))
+    values = {field: F.coalesce(*(F.col(f"e.{n}") for n in names)) for field, names in _NAMES.items()}
+    good = values["event_id"].isNotNull()
+    place = F.shiftleft(F.unix_millis("landed"), _PLACE)
+    values |= {"payload_json": F.get_json_object("value", "$.payload"), "arrival_seq": place}
+    error = {"event_id": F.substring(F.sha2(F.concat_ws("|", "file", "value"), 256), 1, 24), "source": F.lit("codex_exec"), "repo_id": F.lit("unknown"), "session_id": F.lit("unknown"), "event_type": F.lit("error"), "ts": F.date_format("landed", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), "payload_json": F.to_json(F.struct(F.col("value").alias("raw"))), "reasoning_availability": F.lit("unavailable"), "arrival_seq": place}
     return parsed.select(*(F.when(good, values[f.name]).otherwise(error[f.name] if f.name in error else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.ENVELOPE.fields))
 
 
 def deduplicated(events: DataFrame) -> DataFrame:
-    """Each event id of a repository once, exactly and for ever: state grows with the ids, so use the RocksDB state store."""
+    """Each event id of a repository once, exactly and for ever: state grows with the ids, so use the RocksDB state store.
+
+    Which of several lines of one micro-batch stays is open; run_ingest() alone keeps the first.
+    """
     return events.dropDuplicates(store.KEY)
 
 
 def run_ingest(events: DataFrame, table: str, checkpoint: str, on_batch: Callable[[DataFrame, int], None] | None = None, available_now: bool = True) -> StreamingQuery:
-    """Append new events to the store; a batch that is run again adds nothing, as it is held against the store."""
+    """Append new events to the store; a batch that is run again adds nothing, as it is held against the store.
+
+    Of the store only the repositories of the batch are read: they are its first partition.
+    """
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.persist()
+        batch = _placed(batch).persist()
         try:
-            try:
+            new = store.first_arrivals(batch)
+            if store.exists(spark, table):
                 known = store.read(spark, table)
-            except Exception:  # the table's first batch
-                known = spark.createDataFrame([], schema.ENVELOPE)
-            store.append(store.new_events(batch, known), table)
+                repos = [r.repo_id for r in batch.select("repo_id").distinct().limit(1001).collect()]
+                if len(repos) <= 1000:  # otherwise the whole store
+                    known = known.where(F.col("repo_id").isin(repos))
+                new = store.new_events(batch, known)
+            store.append(new, table)
             if on_batch:
                 on_batch(batch, number)
         finally:
