@@ -63,6 +63,7 @@ def unified_lines(text: Column, limit: int = OUTPUT_LINES) -> Column:
     return F.slice(F.filter(_rtrimmed(text), lambda x: x.rlike(header) | _body(x)), 1, limit)
 
 
+# The prefixes and patterns of the lines that name a file, of lines that only sum a file up, and of code.
 def file_label(line: Column) -> Column:
     """The file that a diff line names, if it does."""
     g = lambda pattern, group=1: F.nullif(trim(F.regexp_extract(line, pattern, group)), F.lit(""))
@@ -94,3 +95,31 @@ def diff_by_file(lines_df, group: list[str], position: str = "pos", line: str =
 
     w = Window.partitionBy(*group).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
     return lines_df.withColumn("file", F.last(file_label(F.col(line)), ignorenulls=True).over(w))
+
+
+#: Shown where a diff, or a file's part of it, has no lines.
+NO_DIFF, NO_CODE = "(No diff captured)", "  (No code-level diff captured)"
+
+
+def formatted(lines: Column) -> Column:
+    """Diff lines with a header before each file's: an array of lines to show."""
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("out"), F.lit(None).cast("string").alias("file"), F.lit(True).alias("filled"))
+
+    def labelled(x: Column) -> Column:
+        line = F.regexp_replace(x, f"{SPACE}+$", "")
+        return F.struct(line.alias("line"), file_label(line).alias("label"), (~line.startswith("FILE ") & ~line.startswith("diff --git ") & (line != "")).alias("shown"))
+
+    def step(a: Column, x: Column) -> Column:
+        new = x["label"].isNotNull() & ~x["label"].eqNullSafe(a["file"])
+        empty = F.when(a["filled"], none).otherwise(F.array(F.lit(NO_CODE)))
+        gap = F.when(F.size(a["out"]) + F.size(empty) > 0, F.array(F.lit(""))).otherwise(none)
+        head = F.when(new, F.concat(empty, gap, F.array(F.concat(F.lit("=== "), x["label"], F.lit(" ==="))))).otherwise(none)
+        body = F.when(x["shown"], F.array(x["line"])).otherwise(none)
+        return F.struct(F.concat(a["out"], head, body).alias("out"), F.when(new, x["label"]).otherwise(a["file"]).alias("file"), (x["shown"] | (~new & a["filled"])).alias("filled"))
+
+    def done(a: Column) -> Column:
+        out = F.concat(a["out"], F.when(a["filled"], none).otherwise(F.array(F.lit(NO_CODE))))
+        return F.when(F.size(out) == 0, F.array(F.lit(NO_DIFF))).otherwise(out)
+
+    return F.aggregate(F.transform(lines, labelled), start, step, done)

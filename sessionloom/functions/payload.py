@@ -80,8 +80,8 @@ def file_changes(payload: Column) -> Column:
 NO_THOUGHT, PART_THOUGHT = "(Reasoning event without exposed text)", "(Partial reasoning available)"
 
 
-def texts_of(event_type: str | None, payload: str | None, availability: str | None) -> tuple[str | None, str | None, str | None]:
-    """(prompt, thought, answer) of one event."""
+def texts_of(event_type: str | None, payload: str | None, availability: str | None) -> tuple[str | None, ...]:
+    """(prompt, thought, answer, patch, output) of one event: patch is what a call of apply_patch was given, output a tool's result."""
     value = load(payload)
     value = value if isinstance(value, dict) else {}
     item = value.get("item") if isinstance(value.get("item"), dict) else {}
@@ -98,13 +98,22 @@ def texts_of(event_type: str | None, payload: str | None, availability: str | No
         thought = view(item.get("text")) or PART_THOUGHT
     if kind == "agent_message":
         answer = view(item.get("text")) or view(item.get("content"))
-    return prompt, thought, answer
+    patch = output = None
+    if kind == "tool_call" and item.get("name") == "apply_patch":
+        given = item.get("arguments")
+        patch = view(given) or (json.dumps(given, ensure_ascii=False, separators=(",", ":")) if isinstance(given, dict) else None)
+    if kind == "tool_result":
+        output = view(item.get("output"))
+    return prompt, thought, answer, patch, output
 
 
-@F.pandas_udf(T.StructType([T.StructField(n, T.StringType()) for n in ("prompt", "thought", "answer")]))
+TEXTS = ("prompt", "thought", "answer", "patch", "output")
+
+
+@F.pandas_udf(T.StructType([T.StructField(n, T.StringType()) for n in TEXTS]))
 def event_texts(event_type: pd.Series, payload_json: pd.Series, availability: pd.Series) -> pd.DataFrame:
-    """Prompt, thought and answer in one pass over the payloads."""
-    return pd.DataFrame([texts_of(*row) for row in zip(event_type, payload_json, availability, strict=True)], columns=["prompt", "thought", "answer"], dtype=object)
+    """Prompt, thought, answer, patch and output in one pass over the payloads."""
+    return pd.DataFrame([texts_of(*row) for row in zip(event_type, payload_json, availability, strict=True)], columns=list(TEXTS), dtype=object)
 
 
 def reasoning_availability(payload: Column) -> Column:

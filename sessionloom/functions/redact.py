@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 REDACTED = "[REDACTED]"
 
 # The patterns and what replaces them, in the order in which they apply.
+# The label of memory keys is this project's own: the service that they belong to goes unnamed here.
 # $1, $2 and so on stand for groups. No pattern looks around, so Java, Python and RE2 read them alike.
 _PEM = r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z0-9 ]*PRIVATE KEY-----"
 _PEM_NAMED = r"-----BEGIN (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----[\s\S]*?-----END (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----"

@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import diffs, text
-from ..schema import NO_PROMPT
+from ..functions import diffs, payload, text
+from ..schema import NO_PROMPT, NO_REASONING
+from . import artifacts, query
 
 #: How many diff lines a thought, a prompt and a stored snapshot keep.
 THOUGHT_LINES, PROMPT_LINES, SNAPSHOT_LINES = 220, 280, 2200
@@ -46,16 +47,21 @@ def attribute_diffs(sliced: DataFrame, is_thought: Column, lines: Column, keys:
     first thought to that one; a slice without thoughts gets one. The first `limit` lines stay."""
     running = Window.partitionBy(*keys, "prompt_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     numbered = sliced.withColumn("thought_no", F.greatest(F.lit(1).cast("long"), F.sum(F.coalesce(is_thought, F.lit(False)).cast("long")).over(running)))
-    found = numbered.withColumn("__l", lines).where(F.size("__l") > 0)
-    joined = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col("__l").alias("l")))), lambda x: x["l"]))
-    return found.groupBy(*keys, "prompt_id", "thought_no").agg(F.slice(joined, 1, limit).alias("diff_lines"))
+    return _first_lines(numbered, lines, [*keys, "prompt_id", "thought_no"], order, limit)
 
 
 def prompt_diffs(sliced: DataFrame, lines: Column, keys: list[str], order: list[str], limit: int = PROMPT_LINES) -> DataFrame:
     """(keys, prompt_id, diff_lines) of whole slices."""
-    found = sliced.withColumn("__l", lines).where(F.size("__l") > 0)
+    return _first_lines(sliced, lines, [*keys, "prompt_id"], order, limit)
+
+
+def _first_lines(rows: DataFrame, lines: Column, keys: list[str], order: list[str], limit: int) -> DataFrame:
+    """(keys, diff_lines): the first `limit` lines of each group; those beyond are cut before lines are collected."""
+    found = rows.withColumn("__l", F.slice(lines, 1, limit)).where(F.size("__l") > 0)
+    before = F.coalesce(F.sum(F.size("__l")).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    kept = found.withColumn("__before", before).where(F.col("__before") < limit)
     joined = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col("__l").alias("l")))), lambda x: x["l"]))
-    return found.groupBy(*keys, "prompt_id").agg(F.slice(joined, 1, limit).alias("diff_lines"))
+    return kept.groupBy(*keys).agg(F.slice(joined, 1, limit).alias("diff_lines"))
 
 
 def session_counters(events: DataFrame, prompt: Column, thought: Column, answer: Column, keys: list[str]) -> DataFrame:
@@ -95,10 +101,12 @@ def latest_summary(summaries: DataFrame, keys: list[str]) -> DataFrame:
 
 def assemble_parts(parts: DataFrame, keys: list[str], limit: int = SNAPSHOT_LINES) -> DataFrame:
     """(keys, snapshot_id, ts, line_count, lines, has_code) of multi-part snapshots: the last write of each part, in part order."""
-    latest = parts.groupBy(*keys, "snapshot_id", "part_index").agg(F.max_by(F.struct("lines", "ts"), F.struct("ts", "arrival_seq")).alias("p"), F.max(F.struct("ts", "arrival_seq")).alias("o"))
+    at = F.struct("ts", "arrival_seq")
+    files = [F.max_by("files", F.when(F.size("files") > 0, at)).alias("files"), F.max(F.when(F.size("files") > 0, at)).alias("fo")] if "files" in parts.columns else []
+    latest = parts.groupBy(*keys, "snapshot_id", "part_index").agg(F.max_by(F.struct("lines", "ts"), at).alias("p"), F.max(at).alias("o"), *files)
     lines = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part_index", "p.lines"))), lambda x: x["lines"]))
-    whole = latest.groupBy(*keys, "snapshot_id").agg(lines.alias("all_lines"), F.max("o").alias("o"))
-    return whole.select(*keys, "snapshot_id", F.col("o.ts").alias("ts"), F.col("o.arrival_seq").alias("arrival_seq"), F.size("all_lines").cast("long").alias("line_count"), F.slice("all_lines", 1, limit).alias("lines"), diffs.has_code(F.slice("all_lines", 1, 400)).alias("has_code"))
+    whole = latest.groupBy(*keys, "snapshot_id").agg(lines.alias("all_lines"), F.max("o").alias("o"), *([F.max_by("files", "fo").alias("files")] if files else []))
+    return whole.select(*keys, "snapshot_id", *(["files"] if files else []), F.col("o.ts").alias("ts"), F.col("o.arrival_seq").alias("arrival_seq"), F.size("all_lines").cast("long").alias("line_count"), F.slice("all_lines", 1, limit).alias("lines"), diffs.has_code(F.slice("all_lines", 1, 400)).alias("has_code"))
 
 
 def best_snapshot(snapshots: DataFrame, keys: list[str]) -> DataFrame:
@@ -108,12 +116,21 @@ def best_snapshot(snapshots: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def apply_snapshots(prompts_: DataFrame, snapshots: DataFrame, keys: list[str]) -> DataFrame:
-    """prompts (with event_id and diff_lines) with the lines of their snapshot, matched by event id, else by number."""
-    by_event = snapshots.where("prompt_event_id is not null").select(*keys, F.col("prompt_event_id").alias("event_id"), F.col("lines").alias("__e"))
-    by_number = snapshots.where("prompt_event_id is null").select(*keys, "prompt_id", F.col("lines").alias("__n"))
+    """prompts (with event_id, diff_lines and perhaps files) with the lines and files of their best snapshot.
+
+    A snapshot belongs to a prompt by event id, or by number where it names no event; where it has no lines, or no
+    files, the prompt keeps its own.
+    """
+    best = best_snapshot(snapshots.withColumn("__number", F.when(F.col("prompt_event_id").isNull(), F.col("prompt_id"))), [*keys, "prompt_event_id", "__number"])
+    parts = [c for c in ("files", "lines") if c in snapshots.columns]
+    by_event = best.where("prompt_event_id is not null").select(*keys, F.col("prompt_event_id").alias("event_id"), F.struct(*parts).alias("__e"))
+    by_number = best.where("prompt_event_id is null").select(*keys, F.col("__number").alias("prompt_id"), F.struct(*parts).alias("__n"))
     rows = prompts_.join(by_event, [*keys, "event_id"], "left").join(by_number, [*keys, "prompt_id"], "left")
-    pick = lambda c: F.when(F.size(c) > 0, F.col(c))
-    return rows.withColumn("diff_lines", F.coalesce(pick("__n"), pick("__e"), F.col("diff_lines"))).drop("__e", "__n")
+    for part, own in (("lines", "diff_lines"), ("files", "files")):
+        if part in parts and own in prompts_.columns:
+            some = [F.when(F.size(f"{s}.{part}") > 0, F.col(f"{s}.{part}")) for s in ("__n", "__e")]
+            rows = rows.withColumn(own, F.coalesce(*some, F.col(own)))
+    return rows.drop("__e", "__n")
 
 
 def browse_rows(sessions: DataFrame, analysed: DataFrame, summaries: DataFrame | None, keys: list[str]) -> DataFrame:
@@ -132,6 +149,70 @@ def day_rollup(rows: DataFrame) -> DataFrame:
     return rows.groupBy(day.alias("day")).agg(F.min("from_ts").alias("from_ts"), F.max("to_ts").alias("to_ts"), F.count("*").alias("session_count"), *sums, F.when(F.max(F.col("status") == "synced"), "synced").otherwise("no_files").alias("status")).orderBy(F.desc("to_ts"))
 
 
-def day_events(events: DataFrame, member_sessions: list[str]) -> DataFrame:
-    """The events of a day's sessions as one stream, by ts and event id."""
-    return events.where(F.col("session_id").isin(member_sessions)).orderBy("ts", "event_id")
+def day_events(events: DataFrame, rows: DataFrame, day: str, keys: list[str] = ["session_id"]) -> DataFrame:  # noqa: B006
+    """The events of the sessions (browse rows) whose last activity was on a day, as one stream by ts and event id."""
+    members = rows.where(F.to_date(F.to_timestamp("to_ts")) == F.lit(day).cast("date")).select(*keys)
+    return events.join(members, keys, "left_semi").orderBy("ts", "event_id")
+
+
+def _file_rows(stats: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, files): file stats as one list, the most changed first."""
+    ranked = F.struct((-(F.col("plus") + F.col("minus"))).alias("w"), F.collate("path", "UNICODE").alias("c"), F.struct("path", "plus", "minus").alias("f"))
+    return stats.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(ranked)), lambda x: x["f"]).alias("files"))
+
+
+def analyse(events: DataFrame, namespace: str = "sessionloom", keys: list[str] = ["repo_id", "session_id"]) -> dict[str, DataFrame]:  # noqa: B006
+    """Stored events of any number of sessions as tables: sessions, prompts, thoughts, answers, contributors.
+
+    * prompts: keys, prompt_id, event_id, prompt, ts, actor_id, event_count, files (path, plus, minus), diff_lines; a
+      stored snapshot's lines and files come first.
+    * thoughts: keys, prompt_id, thought_no, ts, actor_id, text, diff_lines; lines before the first thought go to it, and
+      a slice with lines and no thought gets one.
+    * answers: keys, prompt_id, ts, arrival_seq, actor_id, text.
+    * contributors: see session_contributors().
+    * sessions: keys, from_ts, to_ts, event_count, prompt_count, file_count, token_estimate, providers, files, status; a
+      stored summary's counts and files come first.
+    """
+    order = ["ts", "arrival_seq"]
+    made = payload.item_type(payload.parsed(F.col("payload_json"))).isin(f"{namespace}_session_summary", f"{namespace}_prompt_diff_part")
+    plain = events.where(~F.coalesce(made, F.lit(False)))
+    said = plain.withColumn("t", payload.event_texts("event_type", "payload_json", "reasoning_availability")).withColumn("changes", payload.file_changes(payload.parsed(F.col("payload_json"))))
+    is_prompt = F.col("t.prompt").isNotNull()
+    # what opens a slice is a prompt and nothing else
+    only = lambda c, other: F.when(is_prompt, other).otherwise(c)
+    none = F.array().cast("array<string>")
+    said = said.withColumns({
+        "prompt": F.col("t.prompt"), "thought": only(F.col("t.thought"), F.lit(None)), "answer": only(F.col("t.answer"), F.lit(None)), "changes": only(F.col("changes"), F.array().cast(payload.CHANGES)),
+        "lines": only(F.concat(F.transform("changes", lambda c: F.concat(F.when(c["kind"] == "delete", "FILE - ").otherwise("FILE + "), c["path"])), F.coalesce(diffs.patch_lines(F.col("t.patch")), none), F.coalesce(diffs.unified_lines(F.col("t.output")), none)), none),
+    }).drop("t", "payload_json")
+    sliced = prompt_slices(said, F.col("prompt").isNotNull(), keys, order)
+
+    per = [*keys, "prompt_id"]
+    shown = prompts(sliced, F.col("prompt"), keys, order)
+    opened = sliced.where("prompt is not null").select(*per, "event_id")
+    shown = shown.join(opened, per, "left").withColumn("actor_id", F.when(F.col("event_id").isNotNull(), F.col("actor_id")))
+    changed = sliced.select(*per, "ts", "arrival_seq", F.posexplode("changes").alias("position", "c")).select(*per, "ts", "arrival_seq", "position", "c.path", "c.kind")
+    no_files = F.array().cast("array<struct<path: string, plus: bigint, minus: bigint>>")
+    shown = shown.join(_file_rows(query.file_stats(changed, per), per), per, "left").join(prompt_diffs(sliced, F.col("lines"), keys, order), per, "left")
+    shown = shown.withColumns({"files": F.coalesce("files", no_files), "diff_lines": F.coalesce("diff_lines", none)})
+    parts = artifacts.read_diff_parts(events, namespace)
+    snapshots = assemble_parts(parts, [*keys, "prompt_event_id", "prompt_id"])
+    shown = apply_snapshots(shown, snapshots, keys)
+
+    is_thought = F.col("thought").isNotNull()
+    thoughts = thought_ordinals(sliced, is_thought, keys, order).select(*per, "thought_no", "ts", "actor_id", F.col("thought").alias("text"))
+    lines = attribute_diffs(sliced, is_thought, F.col("lines"), keys, order)
+    thoughts = thoughts.join(lines, [*per, "thought_no"], "full").join(shown.select(*per, F.col("ts").alias("__ts"), F.col("actor_id").alias("__actor")), per)
+    thoughts = thoughts.select(*per, "thought_no", F.coalesce("ts", "__ts").alias("ts"), F.when(F.col("text").isNull(), F.col("__actor")).otherwise(F.col("actor_id")).alias("actor_id"), F.coalesce("text", F.lit(NO_REASONING)).alias("text"), F.coalesce("diff_lines", none).alias("diff_lines"))
+    answers = sliced.where("answer is not null").select(*per, "ts", "arrival_seq", "actor_id", F.col("answer").alias("text"))
+
+    files = shown.select(*per, F.explode("files").alias("f")).select(*per, "f.path")
+    rows = events.groupBy(*keys).agg(F.min("ts").alias("from_ts"), F.max("ts").alias("to_ts"), F.count("*").alias("event_count"))
+    counted = session_counters(sliced, F.col("prompt"), F.col("thought"), F.col("answer"), keys).drop("prompt_count")
+    counted = counted.join(shown.groupBy(*keys).agg(F.count("*").alias("prompt_count")), keys)
+    counted = counted.join(_file_rows(query.file_stats(changed, keys), keys), keys, "left").withColumn("files", F.coalesce("files", no_files))
+    counted = counted.withColumn("file_count", F.size("files").cast("long"))
+    summaries = latest_summary(artifacts.read_summaries(events, namespace), keys)
+    sessions = browse_rows(rows, counted, summaries, keys).join(summaries.select(*keys, F.col("files").alias("__files")), keys, "left")
+    sessions = sessions.withColumn("files", F.when(F.size("__files") > 0, F.col("__files")).otherwise(F.coalesce("files", no_files))).drop("__files")
+    return {"sessions": sessions, "prompts": shown, "thoughts": thoughts, "answers": answers, "contributors": session_contributors(shown, thoughts, files, keys)}

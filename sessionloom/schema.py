@@ -10,6 +10,7 @@ SOURCES = ("codex_sdk", "codex_exec", "codex_history", "claude_code_history", "g
 REASONING = ("full", "partial", "unavailable")
 #: Texts shown where nothing was captured, and a synthetic prompt's id.
 NO_PROMPT = "(No prompt captured)"
+NO_REASONING = "(No exposed reasoning text)"
 
 #: One captured event. payload_json keeps the payload's text, whose key order hashes depend on. ts is compared as text.
 #: arrival_seq is the order of arrival, which first-wins rules and ties depend on.
