@@ -62,7 +62,7 @@ def test_engine_pages_redacts_and_strips(spark):
     assert json.loads(engine.timeline(limit=1).first().payload_json) == {"password": "[REDACTED]"}
     assert engine.timeline(limit=0, include_payload=False).first().payload_json == "{}"
     assert engine.timeline_count(actor_id="x") == 5 and engine.status().first().session_count == 1
-    assert [r.event_id for r in engine.timeline_stream()] == list("01234")
+    assert [r.event_id for r in engine.timeline_stream()] == list("01234") and "secret-word" not in str(list(engine.timeline_stream()))
 
 
 def test_placeholder_takes_number_one(spark):
@@ -152,13 +152,26 @@ def test_memory_texts_and_compaction(spark):
     assert activity["event"]["threadId"] is None
 
 
-def test_breaker_opens_and_batches_are_halved():
-    sink = ingest.MemorySink(lambda rows: any(r["bad"] for r in rows))
-    accepted, failed = ingest.write_halving(sink, [{"bad": i == 5} for i in range(9)])
-    assert accepted == 8 and len(failed) == 1
-    breaker, down = ingest.Breaker(2), ingest.MemorySink(lambda rows: True)
-    assert [breaker.write(down, [{}]) for _ in range(3)] == [False] * 3 and breaker.dropped == 1
-    assert [ingest.timeout_factor(n) for n in (1, 9, 100)] == [1, 2, 6]
+def test_landed_lines_take_the_names_of_segments(spark, tmp_path):
+    (tmp_path / "landed").mkdir()
+    line = {"eventId": "e1", "source": "codex_exec", "repoId": "r", "sessionId": "s", "ts": "2024-01-01T00:00:00Z", "eventType": "k", "payload": {"b": 1}, "reasoningAvailability": "full", "actorId": "x"}
+    (tmp_path / "landed/1.jsonl").write_text("\n".join([json.dumps(line), "bad", "bad", json.dumps(line | {"ts": "2030"})]) + "\n")
+    table = str(tmp_path / "t")
+    ingest.run_ingest(ingest.read_landed(spark, str(tmp_path / "landed")), table, str(tmp_path / "c")).awaitTermination()
+    rows = store.read(spark, table).collect()
+    assert sorted(r.event_type for r in rows) == ["error", "error", "k"] and len({r.event_id for r in rows}) == 3  # equal bad lines are two events
+    (one,) = (r for r in rows if r.event_type == "k")
+    assert (one.ts, one.repo_id, one.actor_id, one.reasoning_availability) == ("2024-01-01T00:00:00Z", "r", "x", "full")  # the first line came first
+
+
+def test_a_failed_read_is_no_empty_store(spark, tmp_path):
+    (tmp_path / "table").mkdir()
+    (tmp_path / "table/broken.parquet").write_text("not parquet")
+    (tmp_path / "landed").mkdir()
+    (tmp_path / "landed/1.jsonl").write_text(json.dumps({"event_id": "e", "repo_id": "r", "ts": "2024-01-01T00:00:00Z"}) + "\n")
+    with pytest.raises(Exception, match="(?s)."):
+        ingest.run_ingest(ingest.read_landed(spark, str(tmp_path / "landed")), str(tmp_path / "table"), str(tmp_path / "c")).awaitTermination()
+    assert [p.name for p in (tmp_path / "table").iterdir()] == ["broken.parquet"]
 
 
 def test_stream_ingests_each_event_once(spark, tmp_path):
@@ -175,9 +188,21 @@ def test_stream_ingests_each_event_once(spark, tmp_path):
 
 
 def test_backfill_counts(spark):
-    ev = events(spark, *((str(i), "s", "x", "t", "bad" if i == 3 else "ok", {}) for i in range(20)))
-    row = ingest.backfill(ev, lambda: ingest.MemorySink(lambda rows: any(r["event_type"] == "bad" for r in rows)), 8).first()
-    assert tuple(row) == (20, 19, 1)
+    class Picky:
+        """Takes no batch that holds a bad row."""
+
+        def write(self, rows):
+            if any(r["event_type"] == "bad" for r in rows):
+                raise RuntimeError("refused")
+
+    class Down:
+        def write(self, rows):
+            raise RuntimeError("down")
+
+    ev = events(spark, *((str(i), f"s{i % 2}", "x", "t", "bad" if i == 3 else "ok", {}) for i in range(20)), ("0", "s0", "x", "t", "ok", {}))
+    row = ingest.backfill(ev, Picky, 8).first()
+    assert row.asDict() == {"attempted": 20, "accepted": 19, "deduplicated": 1, "failed": 1, "sessions": 2}
+    assert ingest.backfill(ev, Down, 2).first().failed == 20
 
 
 def test_segments_skip_bad_lines_and_missing_actors(spark, tmp_path):
@@ -186,6 +211,104 @@ def test_segments_skip_bad_lines_and_missing_actors(spark, tmp_path):
     assert len(rows) == 1 and rows[0].actor_id is None and rows[0].payload_json == '{"z":1}'
 
 
+def test_segments_arrive_in_the_order_of_the_list(spark, tmp_path):
+    line = lambda i, kind, pad=0: json.dumps({"eventId": str(i), "source": "codex_exec", "repoId": "r", "sessionId": "s", "ts": "t", "eventType": kind, "payload": {"p": "x" * pad}}) + "\n"
+    a, b = tmp_path / "a.jsonl", tmp_path / "b.jsonl"
+    a.write_text("".join(line(i, "a") for i in range(40)))
+    b.write_text("".join(line(i, "b", 2000) for i in range(60)))  # the larger file is read first
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 8192)
+    try:
+        for paths, first in (([a, b], "a"), ([b, a], "b")):
+            rows = store.read_segments(spark, [str(p) for p in paths])
+            assert spark.read.text([str(p) for p in paths]).rdd.getNumPartitions() > 4 and rows.select("arrival_seq").distinct().count() == 100
+            ordered = [(r.event_type, int(r.event_id)) for r in rows.orderBy("arrival_seq").collect()]
+            second = "b" if first == "a" else "a"
+            assert ordered == [(k, i) for k in (first, second) for i in range(40 if k == "a" else 60)]
+            kept = {r.event_id: r.event_type for r in store.first_arrivals(rows).collect()}
+            assert all(kept[str(i)] == first for i in range(40))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_timelines_read_the_days_that_can_hold_events(spark, tmp_path):
+    ev = events(spark, *((str(i), f"s{i % 3}", "x", f"2024-01-{i + 1:02d}T00:00:00Z", "e", {}) for i in range(20)))
+    path = str(tmp_path / "t")
+    store.append(ev, path)
+    engine = Engine(spark, path, session_index=store.session_index(ev), thread_index=store.thread_index(ev))
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    some = engine.timeline(from_ts="2024-01-05", to_ts="2024-01-06T12:00:00Z")
+    assert [r.event_id for r in some.collect()] == ["4", "5"]
+    filters = plan(some).split("PartitionFilters: [")[1].split("]")[0]
+    assert "2024-01-04" in filters and "2024-01-07" in filters
+    assert engine.timeline(from_ts="2024-13-45").count() == 0 and engine.timeline(to_ts="zz").count() == 20
+    own = engine.timeline(session_id="s1")
+    assert [r.event_id for r in own.collect()] == [str(i) for i in range(1, 20, 3)]
+    assert "event_date" in plan(own).split("PartitionFilters: [")[1].split("]")[0]
+    rows, total, more = engine.timeline_page(limit=5, session_id="s1")
+    assert (rows.count(), total, more) == (5, 7, True) and engine.timeline_page(offset=5, limit=5, session_id="s1")[1:] == (7, False)
+
+
+def test_raw_lines_are_kept_redacted_by_session(spark, tmp_path):
+    lines = spark.createDataFrame([("codex", "s1", json.dumps({"token": "abcdefgh", "n": 1})), ("codex", "s2", "password=abcdefgh")], "provider string, session_id string, line string")
+    store.append_raw(lines, str(tmp_path / "raw"))
+    found = {(r.provider, r.session_id): r.value for r in spark.read.text(str(tmp_path / "raw")).collect()}
+    assert found == {("codex", "s1"): '{"token":"[REDACTED]","n":1}', ("codex", "s2"): "password=[REDACTED]"}
+
+
+def test_two_snapshots_of_a_prompt_give_one_row(spark):
+    prompts = spark.createDataFrame([("s", 1, "e1", ["old"], [("x", 1, 0)]), ("s", 2, "e2", ["kept"], [("y", 1, 0)])], "session_id string, prompt_id long, event_id string, diff_lines array<string>, files array<struct<path: string, plus: bigint, minus: bigint>>")
+    snaps = spark.createDataFrame(
+        [("s", "e1", None, "t1", 1, 1, False, ["a"], [("z", 2, 2)]), ("s", "e1", None, "t2", 2, 1, True, ["+b"], []), ("s", None, 2, "t1", 3, 0, False, [], [("w", 1, 1)])],
+        "session_id string, prompt_event_id string, prompt_id long, ts string, arrival_seq long, line_count long, has_code boolean, lines array<string>, files array<struct<path: string, plus: bigint, minus: bigint>>")
+    found = {r.prompt_id: (r.diff_lines, [f.path for f in r.files]) for r in analysis.apply_snapshots(prompts, snaps, ["session_id"]).collect()}
+    assert found == {1: (["+b"], ["x"]), 2: (["kept"], ["w"])}
+
+
+def test_prompt_activities_of_two_repositories_stay_apart(spark):
+    ev = events(spark, ("1", "s", "x", "t", "prompt.submitted", {"prompt": "p"}), ("1", "s", "x", "t", "prompt.submitted", {"prompt": "p"})).withColumn("repo_id", F.concat(F.lit("r"), "arrival_seq"))
+    found = memory.prompt_activities(ev).collect()
+    assert len(found) == 2 and len({r.run_id for r in found}) == 2
+
+
+def test_clipping_counts_utf16_units(spark):
+    from sessionloom.functions import text
+
+    rows = ["abc", "abcdef", "\U0001F600" * 3, "a\U0001F600\U0001F600b"]
+    df = spark.createDataFrame([(r,) for r in rows], "t string")
+    assert [r.c for r in df.select(text.clip(F.col("t"), 5).alias("c")).collect()] == ["abc", "abcd...", "\U0001F600" * 2 + "...", "a\U0001F600..."]
+    assert [memory.clipped(r, 5) for r in rows] == ["abc", "abcd...", "\U0001F600" * 2 + "...", "a\U0001F600..."]
+
+
+def test_analysis_keeps_placeholders_and_stored_summaries(spark):
+    ev = events(
+        spark, ("1", "s", "x", "1", "item.completed", {"item": {"type": "tool_call", "name": "apply_patch", "arguments": "*** Begin Patch\n*** Update File: a b\n+x"}}),
+        ("2", "s", "y", "2", "prompt.submitted", {"prompt": "ask"}), ("3", "s", "y", "3", "item.completed", {"item": {"type": "reasoning", "text": "why"}}), ("4", "s", "y", "4", "item.completed", change(("f", "delete"))),
+        ("5", "s", "y", "5", "k", {"item": {"type": "sessionloom_session_summary", "prompt_count": 9, "files": [{"path": "q", "plus": 1, "minus": 0}]}}),
+    )
+    found = analysis.analyse(ev)
+    prompts = {r.prompt_id: r for r in found["prompts"].collect()}
+    assert (prompts[1].prompt, prompts[1].actor_id, prompts[1].diff_lines) == ("(No prompt captured)", None, ["--- a/a b", "+++ b/a b", "+x"])
+    assert (prompts[2].event_id, [tuple(f) for f in prompts[2].files], prompts[2].diff_lines) == ("2", [("f", 0, 1)], ["FILE - f"])
+    thoughts = {(r.prompt_id, r.thought_no): (r.text, len(r.diff_lines)) for r in found["thoughts"].collect()}
+    assert thoughts == {(1, 1): ("(No exposed reasoning text)", 3), (2, 1): ("why", 1)}
+    session = found["sessions"].first()
+    assert (session.prompt_count, session.file_count, [f.path for f in session.files], session.event_count, session.providers) == (9, 1, ["q"], 5, ["codex"])
+    assert {r.actor: (r.prompt_count, r.thought_count, r.file_count) for r in found["contributors"].collect()} == {"unknown": (1, 1, 0), "y": (1, 1, 1)}
+    assert all(t.count() == 0 for t in analysis.analyse(ev.limit(0)).values())
+
+
+def test_fingerprints_of_split_groups(spark):
+    import hashlib
+
+    rows = spark.range(25_000).select(F.col("id").alias("pos"), (F.col("id") % 2).alias("k"), F.col("id").cast("string"), F.lit(None).cast("string").alias("created_at"), F.lit("p").alias("payload"))
+    short = hashlib.sha256(b"p").hexdigest()[:16]
+    want = {k: hashlib.sha256("".join(f"{i}||{short}\n" for i in range(k, 25_000, 2)).encode()).hexdigest()[:24] for k in (0, 1)}
+    assert {r.k: r.fingerprint for r in replay.fingerprint(rows, ["k"]).collect()} == want
+
+
 @pytest.mark.parametrize("index", ["session_index", "thread_index", "actor_index", "segment_manifest", "event_id_index"])
 def test_indexes_of_an_empty_store(spark, index):
     assert getattr(store, index)(spark.createDataFrame([], schema.ENVELOPE)).count() == 0

@@ -79,10 +79,12 @@ def test_event_texts(spark):
         ("item.completed", {"item": {"type": "reasoning"}}, "partial", (None, payload.NO_THOUGHT, None)),
         ("item.completed", {"item": {"type": "agent_message", "content": {"message": "m"}}}, "unavailable", (None, None, "m")),
         ("x", {"item": {}}, "full", (None, payload.PART_THOUGHT, None)),
+        ("x", {"item": {"type": "tool_call", "name": "apply_patch", "arguments": {"q": 1}}}, "unavailable", (None, None, None, '{"q":1}', None)),
+        ("x", {"item": {"type": "tool_result", "output": {"stderr": "e"}}}, "unavailable", (None, None, None, None, "e")),
     ]
     df = spark.createDataFrame([(i, a, json.dumps(b), c) for i, (a, b, c, _) in enumerate(rows)], "i int, e string, p string, r string")
     found = df.select("i", payload.event_texts("e", "p", "r").alias("t")).orderBy("i").collect()
-    assert [tuple(r["t"]) for r in found] == [r[3] for r in rows]
+    assert [tuple(r["t"]) for r in found] == [(r[3] + (None, None))[:5] for r in rows]
 
 
 def test_patch_lines_may_exceed_the_limit_by_one(spark):
