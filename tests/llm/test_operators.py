@@ -502,18 +502,25 @@ def test_decontamination_at_the_stated_limits(spark, tmp_path):
 
 
 def overlaps(text, item, min_words=13, share=0.8):
-    """Whether any stretch of any diagonal has enough equal words: all stretches, one after another."""
+    """Whether any stretch of any diagonal has enough equal words: all stretches of all diagonals with as many equal words at all."""
     d, t = decontam.words_of(text), decontam.words_of(item)
     if len(t) < 5:
         return False
     need = min_words if len(t) >= min_words else share * len(t) - 1e-9
-    for shift in range(-len(t) + 1, len(d)):
-        lo, hi = max(0, shift), min(len(d), shift + len(t))
-        sums = np.cumsum([0, *(d[k] == t[k - shift] for k in range(lo, hi))])
-        for a in range(hi - lo):
-            n = np.arange(a + 1, hi - lo + 1)
-            equal = sums[n] - sums[a]
-            if ((equal >= need) & (equal >= share * (n - a) - 1e-9)).any():
+    places = collections.defaultdict(list)
+    for k, w in enumerate(t):
+        places[w].append(k)
+    equal_at = collections.defaultdict(list)
+    for k, w in enumerate(d):
+        for i in places.get(w, ()):
+            equal_at[k - i].append(k)
+    for found in equal_at.values():
+        if len(found) < need:
+            continue
+        for a in range(len(found)):  # a longest stretch begins and ends with an equal word
+            last = np.array(found[a:])
+            equal = np.arange(1, len(last) + 1)
+            if ((equal >= need) & (equal >= share * (last - found[a] + 1) - 1e-9)).any():
                 return True
     return False
 

@@ -1,15 +1,20 @@
 """The corpus pipeline's stages on small tables, and the queries' SQL."""
 
 import os
+import sys
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sessionloom.llm import neardup, queries, simhash
 
+sys.path.insert(0, os.path.dirname(__file__))
+from test_operators import exact_ids, lines_left, overlaps  # noqa: E402
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -31,6 +36,51 @@ def test_stages_keep_the_columns_and_decide(spark, tmp_path):
     assert corpus_pipeline.run(spark, SF).count() == sizes[5]
 
 
+def test_stages_equal_brute_force(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    stages, found = dict(corpus_pipeline.STAGES), {}
+
+    def stage(name, docs):
+        stages[name](spark, docs, SF).write.parquet(str(tmp_path / name))
+        stored = spark.read.parquet(str(tmp_path / name))
+        found[name] = {r.doc_id: r.text for r in stored.collect()} if name != "packing" else stored.collect()
+        return stored
+
+    # quality rules: the SQL of operator 5
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    good = {r[0] for r in con.execute(f"SELECT doc_id FROM ({queries.ORACLE_SQL['op5_quality']}) WHERE kept").fetchall()}
+    docs = stage("quality_rules", docs)
+    assert set(found["quality_rules"]) == good
+    # line dedup: one dictionary of passages
+    rows = sorted(found["quality_rules"].items())
+    docs = stage("line_dedup", docs)
+    assert found["line_dedup"] == dict(zip([i for i, _ in rows], lines_left(rows), strict=True))
+    # near-dedup: all pairs; every group keeps a document and no two kept ones are similar
+    sets = {i: neardup.shingles(t, 5) for i, t in found["line_dedup"].items()}
+    close = {(i, j) for i in sets for j in sets if i < j and (sets[i] == sets[j] or neardup.similar(sets[i], sets[j], 0.8))}
+    docs = stage("near_dedup", docs)
+    kept = set(found["near_dedup"])
+    root = {i: i for i in sets}
+    for _ in sets:
+        for i, j in close:
+            root[i] = root[j] = min(root[i], root[j])
+    assert close and not any(i in kept and j in kept for i, j in close) and {root[i] for i in kept} == set(root.values())
+    assert all(i in kept for i in sets if not any(i in pair for pair in close))
+    # decontamination: all diagonals of all items
+    bench = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    docs = stage("decontaminate", docs)
+    dirty = {i for i, text in found["near_dedup"].items() if any(overlaps(text, item) for item in bench.values())}
+    assert set(found["decontaminate"]) == kept - dirty and dirty
+    # packing: every id of every document in one place
+    stage("packing", docs)
+    lengths = dict.fromkeys(found["decontaminate"], 0)
+    for r in found["packing"]:
+        lengths[r.doc_id] += r.length
+    ids = exact_ids(public_tokenizers.path("byte_bpe_50k.json"), list(found["decontaminate"].values()))
+    assert lengths == {i: len(x) for i, x in zip(found["decontaminate"], ids, strict=True)}
+
+
 def test_stages_take_odd_tables(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     for name, rows in (("empty", []), ("odd", [(None, None, None, None, None), (1, "", None, None, 0), (1, "", None, None, 0), (2, "a b " * 40, "en", "s", 160)])):
