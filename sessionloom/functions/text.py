@@ -55,6 +55,11 @@ def token_label(n: Column) -> Column:
     )
 
 
+def date_cell(ts: Column) -> Column:
+    """Jan 02 03:04 in the session's time zone; "unknown" where ts is no time."""
+    return F.coalesce(F.date_format(F.try_to_timestamp(ts), "MMM dd HH:mm"), F.lit("unknown"))
+
+
 def time_ago(then: Column, now: Column) -> Column:
     """Whole seconds, minutes, hours or days between two timestamps."""
     s = F.greatest(F.unix_timestamp(now) - F.unix_timestamp(then), F.lit(0))

@@ -535,6 +535,12 @@ def published_diffs(spark: SparkSession, d: str) -> DataFrame:
     return analysis.apply_snapshots(bare, snapshots, keys).select("session_id", "prompt_id", F.md5(F.array_join("diff_lines", "\n")).alias("digest"))
 
 
+@_query(_EV + "SELECT event_id, strftime(CAST(replace(replace(ts, 'T', ' '), 'Z', '') AS TIMESTAMP), '%b %d %H:%M') AS cell, 'unknown' AS other FROM ev")
+def date_cells(spark: SparkSession, d: str) -> DataFrame:
+    utc = F.regexp_replace("ts", "Z$", "")  # without a zone it is read and shown in the session's
+    return ad.events(spark, d).select("event_id", text.date_cell(utc).alias("cell"), text.date_cell(F.lit("soon")).alias("other"))
+
+
 @_query("SELECT p_partkey, concat_ws('|', '=== ' || p_name || ' ===', '--- a/' || p_name, '+++ b/' || p_name, '+' || p_type, '', '=== ' || p_brand || ' ===', '  (No code-level diff captured)', '', '=== z ===', '+++ b/z', '-old') AS shown FROM part")
 def diff_formatted(spark: SparkSession, d: str) -> DataFrame:
     lines = F.array(F.concat(F.lit("--- a/"), "p_name"), F.concat(F.lit("+++ b/"), "p_name"), F.concat(F.lit("+"), "p_type", F.lit("  ")), F.lit(""), F.concat(F.lit("FILE + "), "p_brand"), F.lit("diff --git a/y b/z"), F.lit("+++ b/z"), F.lit("-old"))
