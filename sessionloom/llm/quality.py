@@ -121,4 +121,5 @@ def keep_good(docs: DataFrame, host_col: str = "source", text_col: str = "text",
     for rule in rules("", limits).values():
         passed = passed & ~rule
     good = join_hosts(measured.where(passed).select(row, "host"), hosts, F.col("host"), F.col(row)).where("host_kept").select(row)
-    return keyed.join(common.materialise(good, "quality-good"), row, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    # as many rows as documents: never a broadcast
+    return keyed.join(common.materialise(good, "quality-good").hint("merge"), row, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
