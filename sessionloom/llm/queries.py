@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontam, langid, linededup, lm, packing, quality, sharding, simhash, tokenstore, toxicity
+from . import common, decontam, langid, linededup, lm, packing, quality, resampling, sharding, simhash, tokenstore, toxicity, whitening
 
 SHARD_BYTES = 256 << 10
 
@@ -73,7 +73,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", "predicted", "spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_lm_score, op3_token_orc, op4_line_dedup, op5_quality, op6_decontam, op7_packing, op8_langid, op9_sharding, op10_toxicity)}
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=25, min_words=20, seed=7)
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), components=4, scale=256).withColumnRenamed("id", "vec_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_lm_score, op3_token_orc, op4_line_dedup, op5_quality, op6_decontam, op7_packing, op8_langid, op9_sharding, op10_toxicity, op11_importance_resampling, op12_embedding_whitening)}
 
 _OP5_ORACLE = r"""
 WITH words AS (

@@ -1,0 +1,95 @@
+"""Importance resampling against a plain computation over whole texts."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from sessionloom.llm import queries, resampling
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+
+
+def features(text):
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return words, words + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+
+
+def expected(docs, target, percent=25, min_words=20, seed=7, buckets=10_000):
+    def totals(texts):
+        return Counter(zlib.crc32(f.encode()) % buckets for t in texts for f in features(t)[1])
+
+    raw, want = totals([t for _, t in docs]), totals(target)
+    S, T = sum(raw.values()), sum(want.values())
+
+    def gain(b):
+        return math.floor(1000 * math.log((want[b] + 1) * (S + buckets) / ((raw[b] + 1) * (T + buckets))))
+
+    rows = []
+    for i, (doc, text) in enumerate(docs):
+        words, found = features(text)
+        weight = sum(gain(zlib.crc32(f.encode()) % buckets) for f in found) // len(found) if found else 0
+        h = int(hashlib.sha256(f"{seed}:{'' if doc is None else doc}".encode()).hexdigest()[:8], 16)
+        rows.append([doc, len(found), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None, len(words), i])
+    able = sorted((r for r in rows if r[5] >= min_words), key=lambda r: (-r[3], r[0] is None, r[0] or 0))
+    for rank, row in enumerate(able[: len(able) * percent // 100], 1):
+        row[4] = rank
+    return sorted((tuple(r[:5]) for r in rows), key=repr)
+
+
+def found(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def test_query_equals_brute_force(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    target = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    got = queries.op11_importance_resampling(spark, SF)
+    assert got.columns == ["doc_id", "n_features", "weight", "score", "rank"]
+    assert {k for _, k in got.dtypes} == {"bigint"}
+    assert found(got) == expected(docs, target)
+
+
+TEXTS = [None, "", " \t\n", "...", "One", "one ONE one", "É é ß 12a x-y", "w " * 5000, "a\x00b\x7fc", "日本 語", " x", *["the same text of a few words " * 4] * 6, "z" * 100_000, "k q " * 30_000]
+
+
+@pytest.mark.parametrize("max_nodes", [1, 400_000])
+def test_odd_texts_ties_and_small_tries(spark, max_nodes, monkeypatch):
+    """Nulls, empty and very long texts, repeats, ties between equal rows, clashing names; a trie that starts anew at every slice."""
+    monkeypatch.setattr(resampling, "_lists", lambda column, limit=2_000, own=resampling._lists: own(column, limit))
+    docs = [(None if i == 5 else i, t) for i, t in enumerate(TEXTS)] + [(7, TEXTS[7])]
+    table = spark.createDataFrame([(i, t, "x", 1) for i, t in docs], "doc_id long, text string, score string, id int")
+    target = spark.createDataFrame([(0, "The same text É é"), (1, None)], "item_id int, text string")
+    gains = resampling.bucket_gains(resampling.bucket_totals(table, max_nodes=max_nodes), resampling.bucket_totals(target))
+    by_id = {(r.id, r.n_features, r.weight) for r in resampling.weigh(table, gains, max_nodes=max_nodes).collect()}
+    want = expected(docs, ["The same text É é", None])
+    assert by_id == {r[:3] for r in want}
+    assert found(resampling.resample(table, target)) == want
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    some = spark.createDataFrame([(1, "a b c " * 9), (2, "d e f " * 9)], "doc_id long, text string")
+    assert resampling.resample(none, some).collect() == []
+    assert found(resampling.resample(some, none, percent=50)) == expected([(1, "a b c " * 9), (2, "d e f " * 9)], [], percent=50)
+
+
+def test_states_follow_from_the_parent():
+    rng = np.random.default_rng(1)
+    heads, tails = ([rng.bytes(int(n)) for n in rng.integers(0, 70, 200)] for _ in range(2))
+    states = np.array([zlib.crc32(h) for h in heads], np.uint32)
+    moved = resampling._Moves().moved(states, np.array([len(t) for t in tails]))
+    assert [int(m) ^ zlib.crc32(t) for m, t in zip(moved, tails, strict=True)] == [zlib.crc32(h + t) for h, t in zip(heads, tails, strict=True)]
+
+
+def test_drawn_documents_lean_to_the_target(spark):
+    rows = [(i, " ".join((["river", "stone"] if i % 2 else ["market", "price"])[(i * k) % 2] for k in range(1, 60))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    target = spark.createDataFrame([(0, "river stone stone river " * 50)], "item_id long, text string")
+    drawn = [r.id for r in resampling.resample(docs, target).where("rank is not null").collect()]
+    assert len(drawn) == 100 and sum(d % 2 for d in drawn) > 90
