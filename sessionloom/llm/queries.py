@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontam, langid, linededup, lm, packing, quality, resampling, sharding, simhash, tokenstore, toxicity, whitening
+from . import common, decontam, langid, linededup, lm, ngramjoin, packing, quality, resampling, sharding, simhash, tokenstore, toxicity, whitening
 
 SHARD_BYTES = 256 << 10
 
@@ -82,7 +82,11 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"), components=4, scale=256).withColumnRenamed("id", "vec_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_lm_score, op3_token_orc, op4_line_dedup, op5_quality, op6_decontam, op7_packing, op8_langid, op9_sharding, op10_toxicity, op11_importance_resampling, op12_embedding_whitening)}
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.jaccard_components(_table(spark, sf_dir, "documents"), shingle_words=5, percent=80).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_lm_score, op3_token_orc, op4_line_dedup, op5_quality, op6_decontam, op7_packing, op8_langid, op9_sharding, op10_toxicity, op11_importance_resampling, op12_embedding_whitening, op13_ngram_join)}
 
 _OP5_ORACLE = r"""
 WITH words AS (
