@@ -18,7 +18,7 @@ def timeline_filter(session_id: str | None = None, thread_id: str | None = None,
 
     With by_day (events that have event_date) the bounds also leave out partitions: where they start with a date, days
     before the one before and after the one after it, as a ts may be in any time zone. days (see store.days_of) are the
-    only ones that may hold events.
+    only ones that may hold events, beside the partition of events whose ts has no day.
     """
     tests = []
     day = F.col("event_date")
@@ -30,7 +30,7 @@ def timeline_filter(session_id: str | None = None, thread_id: str | None = None,
                 continue
             tests.append(day.isNull() | (day >= edge if beyond < 0 else day <= edge))
     if days is not None and by_day:
-        tests.append(day.isin([date.fromisoformat(d) for d in days]))
+        tests.append(day.isNull() | day.isin([date.fromisoformat(d) for d in days]))
     for name, value in (("session_id", session_id), ("thread_id", thread_id), ("actor_id", actor_id)):
         if value:
             tests.append(F.col(name) == value)

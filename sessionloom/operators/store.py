@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .. import schema
+from .. import schema, tables
 from ..functions import ids, payload, redact, text
 
 KEY = ["repo_id", "event_id"]
@@ -59,8 +59,7 @@ def append_raw(lines: DataFrame, path: str) -> None:
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a store was begun at path."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    return tables.exists(spark, path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -77,34 +76,64 @@ def read_segments(spark: SparkSession, paths: list[str]) -> DataFrame:
     lines = spark.read.option("ignoreMissingFiles", "true").option("lineSep", "\n").text(paths)
     split = F.col("_metadata.file_block_start")
     lines = lines.select("value", F.col("_metadata.file_path").alias("file"), split.alias("split"), F.monotonically_increasing_id().alias("pos"))
-    # Spark names files by URI: a given path is the end of one
-    place = F.lit(None).cast("long")
-    for n, path in reversed(list(enumerate(paths))):
-        place = F.when(F.col("file").endswith(re.sub(r"^file:/*", "/", path)), F.lit(n)).otherwise(place)
+    # Spark names files by URI, with blanks encoded: each path as its file system writes it
+    places = spark.createDataFrame([(uri, n) for n, path in enumerate(paths) for uri in _uris(spark, path)], "file string, place long").groupBy("file").agg(F.min("place").alias("place"))
     before = F.coalesce(F.sum(F.octet_length("value") + 1).over(Window.partitionBy("file", "split").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # a line that begins at a split's start belongs to the split before it
     offset = F.col("split") + before + F.when(F.col("split") > 0, 1).otherwise(0)
-    lines = lines.withColumn("arrival_seq", F.shiftleft(F.coalesce(place, F.lit(len(paths))), 44) + offset)
+    lines = lines.withColumn("offset", offset).join(places, "file", "left")
+    lines = lines.withColumn("arrival_seq", F.shiftleft(F.coalesce("place", F.lit(len(paths))), 44) + F.col("offset"))
     parsed = lines.withColumn("v", F.try_parse_json("value")).where(F.schema_of_variant("v").startswith("OBJECT"))
     fields = [F.try_variant_get("v", f"$.{old}", "string").alias(new) for old, new in names.items()]
     return parsed.select(*fields, F.get_json_object("value", "$.payload").alias("payload_json"), "arrival_seq").select(*schema.ENVELOPE.names)
 
 
-def _index(events: DataFrame, keys: list[str], lists: dict[str, str]) -> DataFrame:
-    """(keys, from_ts, to_ts, event_count, a list for each of `lists`): distinct non-null values in order of arrival.
+def _uris(spark: SparkSession, path: str) -> set[str]:
+    """How Spark may write a file's path: qualified by its file system, with one slash after the scheme or three."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    uri = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(target).toUri().toString()
+    return {uri, re.sub(r"^(\w+):/(?!/)", r"\1:///", uri), re.sub(r"^(\w+):///", r"\1:/", uri)}
+
+
+#: What an index is keyed by and which values it lists.
+SEGMENTS = (["repo_id", "segment"], {})
+SESSIONS = (["repo_id", "session_id"], {"segments": "segment", "threads": "thread_id", "actors": "actor_id"})
+THREADS = (["repo_id", "thread_id"], {"segments": "segment", "sessions": "session_id"})
+ACTORS = (["repo_id", "actor_id"], {"segments": "segment", "sessions": "session_id"})
+
+
+def partial(events: DataFrame, keys: list[str], lists: dict[str, str]) -> DataFrame:
+    """Sums that can be merged: for each combination of keys and listed values its first (a) and last ts (b), count (n) and first arrival (o)."""
+    rows = dated(events).withColumn("segment", F.date_format("event_date", "yyyyMMdd")).where(F.col(keys[1]).isNotNull() if keys[1] in ("thread_id", "actor_id") else F.lit(True))
+    return rows.groupBy(*keys, *(v for v in lists.values() if v not in keys)).agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count("*").alias("n"), F.min("arrival_seq").alias("o"))
 
-    Events are first reduced to the combinations of the listed values, so that a hot key collects those alone.
-    """
-    rows = dated(events).withColumn("segment", F.date_format("event_date", "yyyyMMdd"))
-    listed = list(lists.values())
-    per = rows.groupBy(*keys, *listed).agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count("*").alias("n"), F.min("arrival_seq").alias("o"))
-    seen = F.array_sort(F.collect_list(F.struct("o", *listed)))
-    out = per.groupBy(*keys).agg(F.min("a").alias("from_ts"), F.max("b").alias("to_ts"), F.sum("n").alias("event_count"), seen.alias("__seen"))
+
+def partial_again(rows: DataFrame, keys: list[str], lists: dict[str, str]) -> DataFrame:
+    """partial() sums of several batches as those of all of them."""
+    return rows.groupBy(*keys, *(v for v in lists.values() if v not in keys)).agg(F.min("a").alias("a"), F.max("b").alias("b"), F.sum("n").alias("n"), F.min("o").alias("o"))
+
+
+def merged(rows: DataFrame, name: str) -> DataFrame:
+    """The index `name` from partial() sums."""
+    if name == "segments":
+        out = _listed(rows, *SEGMENTS)
+        return out.select("repo_id", F.to_date("segment", "yyyyMMdd").alias("event_date"), "from_ts", "to_ts", "event_count")
+    if name == "sessions":
+        return _listed(rows, *SESSIONS)
+    if name == "threads":
+        return _listed(rows, *THREADS).withColumn("session_id", F.get("sessions", F.lit(0))).drop("sessions")
+    return _listed(rows, *ACTORS).withColumn("session_count", F.size("sessions").cast("long"))
+
+
+def _listed(per: DataFrame, keys: list[str], lists: dict[str, str]) -> DataFrame:
+    """(keys, from_ts, to_ts, event_count, a list for each of `lists`): distinct non-null values in order of arrival."""
+    seen = [F.array_sort(F.collect_list(F.struct("o", *lists.values()))).alias("__seen")] if lists else []
+    out = per.groupBy(*keys).agg(F.min("a").alias("from_ts"), F.max("b").alias("to_ts"), F.sum("n").alias("event_count"), *seen)
 
     def distinct(column: str) -> Column:
         return F.array_distinct(F.filter(F.transform("__seen", lambda x: x[column]), lambda v: v.isNotNull()))
 
-    return out.withColumns({name: distinct(column) for name, column in lists.items()}).drop("__seen")
+    return out.withColumns({name: distinct(column) for name, column in lists.items()}).drop("__seen") if lists else out
 
 
 def segment_manifest(events: DataFrame) -> DataFrame:
@@ -113,9 +142,11 @@ def segment_manifest(events: DataFrame) -> DataFrame:
 
 
 def session_index(events: DataFrame) -> DataFrame:
-    """(repo_id, session_id, from_ts, to_ts, event_count, segments, threads, actors); lists in order of arrival."""
-    keys = ["repo_id", "session_id"]
-    return _index(events, keys, {"segments": "segment", "threads": "thread_id", "actors": "actor_id"})
+    """(repo_id, session_id, from_ts, to_ts, event_count, segments, threads, actors); lists in order of arrival.
+
+    Here and below events are first reduced to the combinations of the listed values, so that a hot key collects those alone.
+    """
+    return merged(partial(events, *SESSIONS), "sessions")
 
 
 def days_of(index: DataFrame, **ids_: str) -> list[str]:
@@ -129,14 +160,12 @@ def days_of(index: DataFrame, **ids_: str) -> list[str]:
 
 def thread_index(events: DataFrame) -> DataFrame:
     """(repo_id, thread_id, from_ts, to_ts, event_count, segments, session_id): the session is the thread's first."""
-    out = _index(events.where("thread_id is not null"), ["repo_id", "thread_id"], {"segments": "segment", "sessions": "session_id"})
-    return out.withColumn("session_id", F.get("sessions", F.lit(0))).drop("sessions")
+    return merged(partial(events, *THREADS), "threads")
 
 
 def actor_index(events: DataFrame) -> DataFrame:
     """(repo_id, actor_id, from_ts, to_ts, event_count, segments, sessions, session_count)."""
-    out = _index(events.where("actor_id is not null"), ["repo_id", "actor_id"], {"segments": "segment", "sessions": "session_id"})
-    return out.withColumn("session_count", F.size("sessions").cast("long"))
+    return merged(partial(events, *ACTORS), "actors")
 
 
 def event_id_index(events: DataFrame) -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from .. import schema
-from ..operators import store
+from .. import schema, tables
+from ..operators import indexes, store
 
 
 class Sink(Protocol):
@@ -54,36 +54,45 @@ def backfill(events: DataFrame, make_sink: Callable[[], Sink], batch: int = 32,
 _NAMES = {"event_id": ("event_id", "eventId"), "source": ("source",), "repo_id": ("repo_id", "repoId"), "actor_id": ("actor_id", "actorId"), "session_id": ("session_id", "sessionId"), "thread_id": ("thread_id", "threadId"), "ts": ("ts",), "event_type": ("event_type", "eventType"), "reasoning_availability": ("reasoning_availability", "reasoningAvailability")}
 
 
-_PLACE = 20  # bits of arrival_seq for a line's place in its split
+#: Where a line of a landed file stands, beside its envelope.
+_PLACE = ["landed_at", "landed_file", "landed_split"]
 
 
-def _placed(batch: DataFrame) -> DataFrame:
-    """A batch with the places of lines in arrival_seq, and with numbers in the ids of equal bad lines."""
-    rows = batch.withColumn("arrival_seq", F.coalesce("arrival_seq", F.lit(0)) + F.pmod(F.monotonically_increasing_id(), F.lit(1 << _PLACE)))
-    bad = (F.col("event_type") == "error") & (F.col("repo_id") == "unknown")
-    nth = F.row_number().over(Window.partitionBy("event_id", F.coalesce(bad, F.lit(False))).orderBy("arrival_seq"))
+def _placed(batch: DataFrame, number: int) -> DataFrame:
+    """A batch's envelopes with their order of arrival, and with numbers in the ids of equal bad lines.
+
+    Batches arrive in their order; within one files by their time and name, and lines as they stand, in whatever splits a
+    file is read. arrival_seq is the batch's number (times 2^40) and the place in it.
+    """
+    place = [c for c in _PLACE if c in batch.columns]
+    kept = tables.stored(batch.withColumn("__line", F.monotonically_increasing_id()), "ingest-batch")
+    rows = tables.numbered(kept, [*place, "__line"], "__place").withColumn("arrival_seq", F.lit(number << 40) + F.col("__place"))
+    rows = tables.stored(rows.select(*schema.ENVELOPE.names), "ingest-placed")
+    bad = F.coalesce((F.col("event_type") == "error") & (F.col("repo_id") == "unknown"), F.lit(False))
+    nth = F.row_number().over(Window.partitionBy("event_id").orderBy("arrival_seq"))
     again = F.substring(F.sha2(F.concat_ws("|", "event_id", nth.cast("string")), 256), 1, 24)
-    return rows.where(~F.coalesce(bad, F.lit(False))).unionByName(rows.where(bad).withColumn("event_id", F.when(nth > 1, again).otherwise(F.col("event_id"))))
+    return rows.where(~bad).unionByName(rows.where(bad).withColumn("event_id", F.when(nth > 1, again).otherwise(F.col("event_id"))))
 
 
 def read_landed(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """A stream of envelopes from JSON-lines files that land in a folder, with the names of segments or of columns.
 
     A line that doesn't parse, or has no event id, is an error event: its id follows from its file and text, its ts is the
-    file's. arrival_seq is the file's time; run_ingest() adds each line's place and tells a file's equal bad lines apart.
+    file's. The file's time and name and the line's split come beside the envelope: run_ingest() takes the order of arrival
+    from them, and tells a file's equal bad lines apart.
     """
     reader = spark.readStream.option("lineSep", "\n")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     kinds = ", ".join(f"{name} string" for names in _NAMES.values() for name in names)
-    landed = reader.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("landed"))
+    landed = reader.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("landed"), F.col("_metadata.file_block_start").alias("split"))
     parsed = landed.where(F.trim("value") != "").withColumn("e", F.from_json("value", kinds))
     values = {field: F.coalesce(*(F.col(f"e.{n}") for n in names)) for field, names in _NAMES.items()}
     good = values["event_id"].isNotNull()
-    place = F.shiftleft(F.unix_millis("landed"), _PLACE)
-    values |= {"payload_json": F.get_json_object("value", "$.payload"), "arrival_seq": place}
-    error = {"event_id": F.substring(F.sha2(F.concat_ws("|", "file", "value"), 256), 1, 24), "source": F.lit("codex_exec"), "repo_id": F.lit("unknown"), "session_id": F.lit("unknown"), "event_type": F.lit("error"), "ts": F.date_format("landed", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), "payload_json": F.to_json(F.struct(F.col("value").alias("raw"))), "reasoning_availability": F.lit("unavailable"), "arrival_seq": place}
-    return parsed.select(*(F.when(good, values[f.name]).otherwise(error[f.name] if f.name in error else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.ENVELOPE.fields))
+    values |= {"payload_json": F.get_json_object("value", "$.payload"), "arrival_seq": F.unix_millis("landed")}
+    error = {"event_id": F.substring(F.sha2(F.concat_ws("|", "file", "value"), 256), 1, 24), "source": F.lit("codex_exec"), "repo_id": F.lit("unknown"), "session_id": F.lit("unknown"), "event_type": F.lit("error"), "ts": F.date_format("landed", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), "payload_json": F.to_json(F.struct(F.col("value").alias("raw"))), "reasoning_availability": F.lit("unavailable"), "arrival_seq": F.unix_millis("landed")}
+    place = [F.col("landed").alias("landed_at"), F.col("file").alias("landed_file"), F.col("split").alias("landed_split")]
+    return parsed.select(*(F.when(good, values[f.name]).otherwise(error[f.name] if f.name in error else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.ENVELOPE.fields), *place)
 
 
 def deduplicated(events: DataFrame) -> DataFrame:
@@ -94,16 +103,19 @@ def deduplicated(events: DataFrame) -> DataFrame:
     return events.dropDuplicates(store.KEY)
 
 
-def run_ingest(events: DataFrame, table: str, checkpoint: str, on_batch: Callable[[DataFrame, int], None] | None = None, available_now: bool = True) -> StreamingQuery:
+def run_ingest(events: DataFrame, table: str, checkpoint: str, on_batch: Callable[[DataFrame, int], None] | None = None, available_now: bool = True, indexed: bool = False) -> StreamingQuery:
     """Append new events to the store; a batch that is run again adds nothing, as it is held against the store.
 
-    Of the store only the repositories of the batch are read: they are its first partition.
+    Of the store only the repositories of the batch are read: they are its first partition. With `indexed`, table is an
+    indexed store (see indexes.add), of which only the touched buckets of the ids are read.
     """
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch = _placed(batch).persist()
-        try:
+        batch = tables.stored(_placed(batch, number), "ingest-events")
+        if indexed:
+            indexes.add(batch, table, number)
+        else:
             new = store.first_arrivals(batch)
             if store.exists(spark, table):
                 known = store.read(spark, table)
@@ -112,10 +124,8 @@ def run_ingest(events: DataFrame, table: str, checkpoint: str, on_batch: Callabl
                     known = known.where(F.col("repo_id").isin(repos))
                 new = store.new_events(batch, known)
             store.append(new, table)
-            if on_batch:
-                on_batch(batch, number)
-        finally:
-            batch.unpersist()
+        if on_batch:
+            on_batch(batch, number)
 
     writer = events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

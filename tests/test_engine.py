@@ -239,6 +239,7 @@ def test_timelines_read_the_days_that_can_hold_events(spark, tmp_path):
     def plan(df):
         return df._jdf.queryExecution().executedPlan().toString()
 
+    spark.conf.set("spark.sql.maxMetadataStringLength", 10_000)  # plans cut their filters' text otherwise
     some = engine.timeline(from_ts="2024-01-05", to_ts="2024-01-06T12:00:00Z")
     assert [r.event_id for r in some.collect()] == ["4", "5"]
     filters = plan(some).split("PartitionFilters: [")[1].split("]")[0]
