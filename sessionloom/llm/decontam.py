@@ -7,8 +7,9 @@ fixed size, built from the benchmark in Spark, drops training windows that can't
 sequences are compared on the hit's diagonal: the longest stretch of which `min_share` of the words are equal counts if
 at least `min_words` of its words are equal (of a shorter item, `min_share` of its words, `min_item_words` at least long).
 
-Seeds miss no overlap at the default limits: 13 equal words with at most a quarter as many substitutions hold four equal
-words in a row. Items of 5 to 12 words may hold none; three more masks with one ignored place then hit.
+Every item is hashed under all masks, whatever its length, and all of them are spaced. At the default limits they miss no
+overlap: a test searches all ways to place the substitutions, in items of 5 to 12 words and in stretches of 13 to 25 equal
+words. Heavier masks would hit less by chance and miss some; words next to each other alone (1111) miss short items.
 
 Null and empty texts never match. Items shorter than min_item_words never do either. Rows that repeat are documents of
 their own. Documents must be a stored table, whose rows keep their partition and order when it is read again.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MASKS = ("1111", "11011", "10111", "11101")
+MASKS = ("11011", "10111", "11101", "1101")
 _U = np.uint64
 _BLOOM_BITS = 23
 _PUNCTUATION = bytes(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
@@ -72,7 +73,7 @@ def _bloom_places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h & low, (h >> _U(64 - _BLOOM_BITS)) & low
 
 
-def _item_seeds(items: DataFrame, masks: tuple[str, ...], min_item_words: int, min_words: int) -> DataFrame:
+def _item_seeds(items: DataFrame, masks: tuple[str, ...], min_item_words: int) -> DataFrame:
     def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batch_iter:
@@ -81,7 +82,7 @@ def _item_seeds(items: DataFrame, masks: tuple[str, ...], min_item_words: int, m
                 if len(words) < min_item_words:
                     continue
                 h = np.fromiter((hashes[w] for w in words), np.uint64, len(words))
-                for number, mask in enumerate(masks if len(words) < min_words else masks[:1]):
+                for number, mask in enumerate(masks):
                     found = seeds(h, mask, number)
                     if len(found):
                         yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), batch.column(0).take(pa.array([i] * len(found), pa.int64())), pa.array(range(len(found)), pa.int32())], names=["h", "item", "at"])
@@ -161,7 +162,7 @@ def best_stretch(equal: np.ndarray, min_share: float) -> tuple[int, int, int]:
     return int(starts[k] + inside[0]), int(starts[k] + inside[-1]) + 1, len(inside)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, min_share: float = 0.8, min_item_words: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, min_share: float = 0.8, min_item_words: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", masks: tuple[str, ...] = MASKS) -> DataFrame:
     """(row, id, item, first_word, n_words, n_equal): for each document and item that overlap, the best stretch.
 
     row is the document's monotonically_increasing_id(). Around a hit the item's whole diagonal is compared.
@@ -169,10 +170,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, min
     spark = docs.sparkSession
     common.pin_splits(spark)
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
-    masks = MASKS
     worded = common.materialise(_item_words(items), "item-words")
     reach = worded.agg(F.max(F.size("item_words"))).first()[0] or 0  # no diagonal is longer
-    item_seeds = common.materialise(_item_seeds(items, masks, min_item_words, min_words), "item-seeds")
+    item_seeds = common.materialise(_item_seeds(items, masks, min_item_words), "item-seeds")
     words = F.col("p").bitwiseAND(F.lit(63))
     low = F.lit((1 << _BLOOM_BITS) - 1).cast("long")
     places = item_seeds.select(F.explode(F.array(F.col("h").bitwiseAND(low), F.shiftrightunsigned("h", 64 - _BLOOM_BITS).bitwiseAND(low))).alias("p"))
@@ -217,6 +217,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, min
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without those that overlap a benchmark item; columns unchanged."""
-    key = "__sessionloom_row"
+    key = common.free_name("__sessionloom_row", docs.columns)
     found = common.materialise(contaminated(docs, benchmark, **options).select(F.col("row").alias(key)).distinct(), "contaminated")
     return docs.withColumn(key, F.monotonically_increasing_id()).join(found, key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -365,6 +365,28 @@ def test_best_fit_takes_the_tightest_window():
     assert tree.tightest(5) == (1, 9) and tree.tightest(4)[1] == 4 and tree.tightest(3)[1] == 4 and tree.tightest(13) is None and tree.tightest(1) == (3, 12)
 
 
+def best_fit_decreasing(sizes, window):
+    """Windows of (document, start, length): full ones cut off first, then rests by falling length into the tightest window that holds them, of equal ones the last used."""
+    windows = [[(d, w * window, window)] for d, n in enumerate(sizes) for w in range(n // window)]
+    opened = []  # (room, pieces), the last used at the end
+    for n, d in sorted(((n % window, d) for d, n in enumerate(sizes) if n % window), key=lambda r: (-r[0], r[1])):
+        room = min((r for r, _ in opened if r >= n), default=None)
+        k = max((i for i, (r, _) in enumerate(opened) if r == room), default=None)
+        room, pieces = (window, []) if k is None else opened.pop(k)
+        opened.append((room - n, [*pieces, (d, sizes[d] - n, n)]))
+    return sorted(windows + [p for _, p in opened])
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_windows_are_those_of_best_fit_decreasing(seed):
+    rng = np.random.default_rng(seed)
+    window = int(rng.choice((8, 64, 2048)))
+    sizes = [int(n) for n in rng.integers(1, rng.choice((window // 2, window, 5 * window)), 400)]
+    packer = packing.Packer(window)
+    closed = [pieces for _, pieces in packer.place(list(enumerate(sizes)))]
+    assert sorted(closed + list(packer.windows.values())) == best_fit_decreasing(sizes, window)
+
+
 def test_repeated_passages_go_and_others_stay(spark, tmp_path):
     rng = np.random.default_rng(5)
     line = lambda n: " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(n))
@@ -547,6 +569,45 @@ def test_decontamination_equals_brute_force_over_all_diagonals(spark, tmp_path):
     assert 40 < len(want) < 160
 
 
+def placements_left(masks, words, substitutions):
+    """Whether some way to substitute so many words leaves no mask a window of equal words: a search over the words that a window picks."""
+    windows = [{p + i for i, c in enumerate(m) if c == "1"} for m in masks for p in range(words - len(m) + 1)]
+
+    def hidden(left, gone):
+        window = next((w for w in windows if not w & gone), None)
+        return window is None or left > 0 and any(hidden(left - 1, gone | {i}) for i in window)
+
+    return hidden(substitutions, frozenset())
+
+
+def test_spaced_masks_miss_no_overlap_at_the_limits():
+    limits = [(n, n - -(-8 * n // 10)) for n in range(5, 13)] + [(equal + equal // 4, equal // 4) for equal in range(13, 26)]
+    assert all("0" in mask for mask in decontam.MASKS)
+    assert not [x for x in limits if placements_left(decontam.MASKS, *x)]
+    assert (10, 2) in [x for x in limits if placements_left(("1111",), *x)] and placements_left(decontam.MASKS[:3], 5, 1)
+
+
+def test_spaced_masks_find_what_four_words_in_a_row_cannot(spark, tmp_path):
+    rng = np.random.default_rng(31)
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 6))
+    rows, items = [], []
+    for n, subs in ((10, (3, 7)), (5, (2,)), (6, (3,)), (11, (3, 7)), (12, (3, 8))):
+        item = [word() for _ in range(n)]
+        items.append((len(items), " ".join(item)))
+        rows.append((len(rows), " ".join([*(word() for _ in range(9)), *(word() if k in subs else w for k, w in enumerate(item)), *(word() for _ in range(9))])))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    docs, bench = spark.read.parquet(str(tmp_path / "d")), spark.createDataFrame(items, "item_id long, text string")
+    found = lambda masks: {(r.id, r.item) for r in decontam.contaminated(docs, bench, masks=masks).collect()}
+    assert found(decontam.MASKS) == {(i, i) for i in range(5)}
+    assert found(("1111",)) == {(4, 4)} and (1, 1) not in found(("11011",))
+
+
+def test_own_columns_survive_the_filter(spark, tmp_path):
+    spark.createDataFrame([(1, "w " * 20, 5), (2, "x", 6)], "doc_id long, text string, __sessionloom_row int").write.parquet(str(tmp_path / "d"))
+    bench = spark.createDataFrame([(1, "w " * 20)], "item_id long, text string")
+    assert [tuple(r) for r in decontam.drop_contaminated(spark.read.parquet(str(tmp_path / "d")), bench).collect()] == [(2, "x", 6)]
+
+
 def test_decontamination_of_odd_tables(spark, odd, empty):
     bench = spark.createDataFrame([(1, "w " * 20)], "item_id long, text string")
     assert {r.id for r in decontam.contaminated(odd, bench).collect()} == {9}
