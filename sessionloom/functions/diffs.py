@@ -63,26 +63,34 @@ def unified_lines(text: Column, limit: int = OUTPUT_LINES) -> Column:
     return F.slice(F.filter(_rtrimmed(text), lambda x: x.rlike(header) | _body(x)), 1, limit)
 
 
-# The prefixes and patterns of the lines that name a file, of lines that only sum a file up, and of code.
+#: How a line names its file: (how it begins, what finds the name, which group is it, what is cut from its start).
+FILE_NAMES = (
+    ("FILE ", r"^FILE (.*)$", 1, r"^[+-]\s+"),
+    ("diff --git ", r"^diff --git a\/(.+) b\/(.+)$", 2, ""),
+    ("+++ b/", r"^\+\+\+ b\/(.*)$", 1, ""),
+    ("--- a/", r"^--- a\/(.*)$", 1, ""),
+)
+#: A file's line in a summary with counts; its line without; how lines of code but bodies begin.
+COUNTED, NAMED, CODE = r"^[+-]\s+(.+)\s+\(\+\d+\s+-\d+\)$", r"^FILE [+-]\s+.+$", r"^(@@|diff --git |--- |\+\+\+ )"
+
+
 def file_label(line: Column) -> Column:
     """The file that a diff line names, if it does."""
-    g = lambda pattern, group=1: F.nullif(trim(F.regexp_extract(line, pattern, group)), F.lit(""))
-    return (
-        F.when(line.startswith("FILE "), F.nullif(trim(F.regexp_replace(F.substring(line, F.lit(6), F.length(line)), r"^[+-]\s+", "")), F.lit("")))
-        .when(line.startswith("diff --git "), g(r"^diff --git a\/(.+) b\/(.+)$", 2))
-        .when(line.startswith("+++ b/"), g(r"^\+\+\+ b\/(.*)$"))
-        .when(line.startswith("--- a/"), g(r"^--- a\/(.*)$"))
-        .otherwise(F.nullif(F.regexp_extract(line, r"^[+-]\s+(.+)\s+\(\+\d+\s+-\d+\)$", 1), F.lit("")))
-    )
+    some = lambda c: F.nullif(c, F.lit(""))
+    out = some(F.regexp_extract(line, COUNTED, 1))
+    for prefix, pattern, group, cut in reversed(FILE_NAMES):
+        name = F.regexp_extract(line, pattern, group)
+        out = F.when(line.startswith(prefix), some(trim(F.regexp_replace(name, cut, "") if cut else name))).otherwise(out)
+    return out
 
 
 def is_summary(line: Column) -> Column:
     """A line that only says which file changed, and by how much."""
-    return line.rlike(r"^FILE [+-]\s+.+$") | line.rlike(r"^[+-]\s+.+\s+\(\+\d+\s+-\d+\)$")
+    return line.rlike(NAMED) | line.rlike(COUNTED)
 
 
 def is_code(line: Column) -> Column:
-    return line.rlike(r"^(@@|diff --git |--- |\+\+\+ )") | (_body(line) & ~is_summary(line))
+    return line.rlike(CODE) | (_body(line) & ~is_summary(line))
 
 
 def has_code(lines: Column) -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import tables
 from ..functions import diffs, payload, text
 from ..schema import NO_PROMPT, NO_REASONING
 from . import artifacts, query
@@ -99,14 +100,17 @@ def latest_summary(summaries: DataFrame, keys: list[str]) -> DataFrame:
     return summaries.groupBy(*keys).agg(F.max_by(F.struct(*others), F.struct("ts", "arrival_seq")).alias("s")).select(*keys, "s.*")
 
 
-def assemble_parts(parts: DataFrame, keys: list[str], limit: int = SNAPSHOT_LINES) -> DataFrame:
-    """(keys, snapshot_id, ts, line_count, lines, has_code) of multi-part snapshots: the last write of each part, in part order."""
+def assemble_parts(parts: DataFrame, keys: list[str], limit: int | None = SNAPSHOT_LINES) -> DataFrame:
+    """(keys, snapshot_id, ts, line_count, lines, has_code) of multi-part snapshots: the last write of each part, in part order.
+
+    The first `limit` lines stay; with None all of them do.
+    """
     at = F.struct("ts", "arrival_seq")
     files = [F.max_by("files", F.when(F.size("files") > 0, at)).alias("files"), F.max(F.when(F.size("files") > 0, at)).alias("fo")] if "files" in parts.columns else []
     latest = parts.groupBy(*keys, "snapshot_id", "part_index").agg(F.max_by(F.struct("lines", "ts"), at).alias("p"), F.max(at).alias("o"), *files)
     lines = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part_index", "p.lines"))), lambda x: x["lines"]))
     whole = latest.groupBy(*keys, "snapshot_id").agg(lines.alias("all_lines"), F.max("o").alias("o"), *([F.max_by("files", "fo").alias("files")] if files else []))
-    return whole.select(*keys, "snapshot_id", *(["files"] if files else []), F.col("o.ts").alias("ts"), F.col("o.arrival_seq").alias("arrival_seq"), F.size("all_lines").cast("long").alias("line_count"), F.slice("all_lines", 1, limit).alias("lines"), diffs.has_code(F.slice("all_lines", 1, 400)).alias("has_code"))
+    return whole.select(*keys, "snapshot_id", *(["files"] if files else []), F.col("o.ts").alias("ts"), F.col("o.arrival_seq").alias("arrival_seq"), F.size("all_lines").cast("long").alias("line_count"), (F.slice("all_lines", 1, limit) if limit is not None else F.col("all_lines")).alias("lines"), diffs.has_code(F.slice("all_lines", 1, 400)).alias("has_code"))
 
 
 def best_snapshot(snapshots: DataFrame, keys: list[str]) -> DataFrame:
@@ -149,6 +153,44 @@ def day_rollup(rows: DataFrame) -> DataFrame:
     return rows.groupBy(day.alias("day")).agg(F.min("from_ts").alias("from_ts"), F.max("to_ts").alias("to_ts"), F.count("*").alias("session_count"), *sums, F.when(F.max(F.col("status") == "synced"), "synced").otherwise("no_files").alias("status")).orderBy(F.desc("to_ts"))
 
 
+def day_rows(rows: DataFrame) -> DataFrame:
+    """day_rollup() with thread_count, providers (in their fixed order) and member_count; rows have thread_count and providers.
+
+    The sessions of a day are rows of day_members(): a day may have any number of them.
+    """
+    day = F.to_date(F.to_timestamp("to_ts")).alias("day")
+    more = rows.groupBy(day).agg(F.sum("thread_count").alias("thread_count"), F.count("*").alias("member_count"))
+    named = rows.select(day, F.explode("providers").alias("p")).groupBy("day").agg(F.collect_set("p").alias("__seen"))
+    seen = F.filter(F.array(*map(F.lit, PROVIDERS)), lambda p: F.coalesce(F.array_contains("__seen", p), F.lit(False)))
+    out = day_rollup(rows).join(more, "day", "left").join(named, "day", "left")
+    return out.withColumn("providers", seen).drop("__seen")
+
+
+def day_members(rows: DataFrame, keys: list[str] = ["session_id"]) -> DataFrame:  # noqa: B006
+    """(day, keys, to_ts): the sessions of each day, the latest first."""
+    return rows.select(F.to_date(F.to_timestamp("to_ts")).alias("day"), *keys, "to_ts").orderBy("day", F.desc("to_ts"), *keys)
+
+
+def preferred_diffs(thoughts: DataFrame, prompts_: DataFrame, keys: list[str], fallback: DataFrame | None = None) -> DataFrame:
+    """(keys, prompt_id, thought_no, lines, shown_of, only_summary): the lines to show for each thought.
+
+    Its own if they have code; else its prompt's if those have code, or if it has none of its own. A prompt without lines
+    shows its files, then those of fallback (keys, files), then a placeholder. shown_of says whose lines they are, and
+    only_summary whether the thought's own lines only sum files up.
+    """
+    none = F.array().cast("array<string>")
+    listed = lambda files: F.transform(files, lambda f: F.concat(F.lit("+ "), f["path"], F.lit(" (+"), f["plus"], F.lit(" -"), f["minus"], F.lit(")")))
+    rows = prompts_.select(*keys, "prompt_id", F.col("diff_lines").alias("__p"), listed(F.col("files")).alias("__f"))
+    if fallback is not None:
+        rows = rows.join(fallback.select(*keys, listed(F.col("files")).alias("__b")), keys, "left")
+    choices = [F.when(F.size(c) > 0, F.col(c)) for c in ("__p", "__f", *(["__b"] if fallback is not None else []))]
+    rows = rows.withColumn("__shown", F.coalesce(*choices, F.array(F.lit(diffs.NO_DIFF))))
+    rows = thoughts.select(*keys, "prompt_id", "thought_no", F.coalesce("diff_lines", none).alias("__own")).join(rows, [*keys, "prompt_id"])
+    own, code = F.size("__own") > 0, diffs.has_code(F.col("__own"))
+    theirs = ~own | (~code & diffs.has_code(F.col("__shown")))
+    return rows.select(*keys, "prompt_id", "thought_no", F.when(theirs, F.col("__shown")).otherwise(F.col("__own")).alias("lines"), F.when(theirs, "prompt").otherwise("thought").alias("shown_of"), (own & ~code).alias("only_summary"))
+
+
 def day_events(events: DataFrame, rows: DataFrame, day: str, keys: list[str] = ["session_id"]) -> DataFrame:  # noqa: B006
     """The events of the sessions (browse rows) whose last activity was on a day, as one stream by ts and event id."""
     members = rows.where(F.to_date(F.to_timestamp("to_ts")) == F.lit(day).cast("date")).select(*keys)
@@ -185,6 +227,7 @@ def analyse(events: DataFrame, namespace: str = "sessionloom", keys: list[str] =
         "prompt": F.col("t.prompt"), "thought": only(F.col("t.thought"), F.lit(None)), "answer": only(F.col("t.answer"), F.lit(None)), "changes": only(F.col("changes"), F.array().cast(payload.CHANGES)),
         "lines": only(F.concat(F.transform("changes", lambda c: F.concat(F.when(c["kind"] == "delete", "FILE - ").otherwise("FILE + "), c["path"])), F.coalesce(diffs.patch_lines(F.col("t.patch")), none), F.coalesce(diffs.unified_lines(F.col("t.output")), none)), none),
     }).drop("t", "payload_json")
+    said = tables.stored(said, "said")  # one pass over payloads for all that follows
     sliced = prompt_slices(said, F.col("prompt").isNotNull(), keys, order)
 
     per = [*keys, "prompt_id"]

@@ -36,7 +36,7 @@ def _sums(events: DataFrame, name: str, buckets: int) -> DataFrame:
 def _write(rows: DataFrame, path: str, first: int, last: int) -> None:
     """Rows as a layer; where the layer is there already, its buckets are replaced."""
     layer = rows.withColumns({"first": F.lit(first).cast("long"), "last": F.lit(last).cast("long")})
-    layer.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*_LAYER).parquet(path)
+    layer.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*_LAYER).parquet(path)
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame:
@@ -90,9 +90,10 @@ def add(batch: DataFrame, root: str, number: int, buckets: int = BUCKETS) -> Dat
     for name in INDEXES:
         _write(_sums(new, name, buckets), f"{root}/{name}", number, number)
     rows = store.dated(new).withColumn("batch", F.lit(number).cast("long"))
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo_id", "event_date", "batch").parquet(f"{root}/events")
+    # rebalanced: few files for each partition, and large ones are shared out
+    rows.hint("rebalance", "repo_id", "event_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo_id", "event_date", "batch").parquet(f"{root}/events")
     ids = new.select(*store.KEY, F.pmod(F.xxhash64(*store.KEY), F.lit(buckets)).cast("int").alias("bucket"), F.lit(number).cast("long").alias("batch"))
-    ids = ids.repartition("bucket").sortWithinPartitions("bucket", *store.KEY)
+    ids = ids.hint("rebalance", "bucket").sortWithinPartitions("bucket", *store.KEY)
     ids.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("parquet.bloom.filter.enabled#event_id", "true").partitionBy("bucket", "batch").parquet(f"{root}/ids")
     return new
 
