@@ -39,10 +39,13 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class WordHashes(dict):
-    """64-bit hashes of words, each computed once."""
+    """64-bit hashes of words, each computed once, and forgotten beyond `most` words."""
+
+    def __init__(self, most: int = 500_000) -> None:
+        self._most = most
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > self._most:
             self.clear()
         self[word] = value = xxhash.xxh64_intdigest(word, 7)
         return value
