@@ -570,37 +570,43 @@ def redact_payloads(spark: SparkSession, d: str) -> DataFrame:
 # --- a store whose indexes follow its writes, and analyses that follow the store
 
 
-def _indexed(spark: SparkSession, events: DataFrame, batches: int = 3) -> str:
-    """Events written to a new indexed store, by their arrival modulo `batches`: a batch for each, and one that runs again."""
-    root = f"{tables.folder(spark)}/sessionloom/indexed-{uuid.uuid4().hex[:12]}"
-    atexit.register(tables.delete, spark, root)
-    for number in (*range(batches), 1):
-        indexes.add(events.where(F.col("arrival_seq") % batches == number).select(*schema.ENVELOPE.names), root, number)
-    return root
+_KEPT: dict[tuple[str, str], str] = {}
+
+
+def _indexed(spark: SparkSession, d: str, batches: int = 3) -> str:
+    """The events of a folder written to an indexed store, by their arrival modulo `batches`; once for a session's queries."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _KEPT:
+        root = f"{tables.folder(spark)}/sessionloom/indexed-{uuid.uuid4().hex[:12]}"
+        atexit.register(tables.delete, spark, root)
+        for number in range(batches):
+            indexes.add(ad.events(spark, d).where(F.col("arrival_seq") % batches == number).select(*schema.ENVELOPE.names), root, number)
+        _KEPT[key] = root
+    return _KEPT[key]
 
 
 @_query(ORACLE_SQL["session_index_sets"])
 def kept_session_index(spark: SparkSession, d: str) -> DataFrame:
-    root = _indexed(spark, ad.events(spark, d))
+    root = _indexed(spark, d)
     indexes.compact(spark, root, "sessions", layers=3)
     return indexes.read(spark, root, "sessions").select("session_id", "from_ts", "to_ts", "event_count", *(_joined(c).alias(c) for c in ("segments", "threads", "actors")))
 
 
 @_query(ORACLE_SQL["actor_index"])
 def kept_actor_index(spark: SparkSession, d: str) -> DataFrame:
-    found = indexes.read(spark, _indexed(spark, ad.events(spark, d)), "actors")
+    found = indexes.read(spark, _indexed(spark, d), "actors")
     # batches arrive interleaved here, so lists are put in the order of days, as in actor_index
     return found.withColumns({"sessions": _joined(F.array_sort("sessions")), "segments": _joined(F.array_sort("segments"))})
 
 
 @_query(ORACLE_SQL["thread_index_first_session"])
 def kept_thread_index(spark: SparkSession, d: str) -> DataFrame:
-    return indexes.read(spark, _indexed(spark, ad.events(spark, d)), "threads").withColumn("segments", _joined(F.array_sort("segments")))
+    return indexes.read(spark, _indexed(spark, d), "threads").withColumn("segments", _joined(F.array_sort("segments")))
 
 
 @_query(_EV + "SELECT event_id, session_id, ts, row_number() OVER (ORDER BY ts, arrival_seq) AS rank FROM ev WHERE actor_id = 'u7' AND event_type = 'view'")
 def timeline_through_index(spark: SparkSession, d: str) -> DataFrame:
-    root = _indexed(spark, ad.events(spark, d))
+    root = _indexed(spark, d)
     events = indexes.at_days(indexes.events(spark, root), indexes.days(spark, root, "actors", actor_id="u7"))
     found = query.timeline(events, actor_id="u7", item_type="view", item=F.col("event_type")).select("event_id", "session_id", "ts", "arrival_seq")
     return tables.numbered(found, ["ts", "arrival_seq"], "rank").select("event_id", "session_id", "ts", (F.col("rank") + 1).alias("rank"))
