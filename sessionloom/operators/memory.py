@@ -99,22 +99,28 @@ def payload_text(payload_json: pd.Series) -> pd.Series:
     return payload_json.map(one, na_action="ignore")
 
 
-def activities(events: DataFrame, namespace: str = "sessionloom", minimal: bool = False, run_id: Column | None = None) -> DataFrame:
+def activities(events: DataFrame, namespace: str = "sessionloom", minimal: bool = False, run_id: Column | None = None, with_minimal: bool = False) -> DataFrame:
     """(run_id, event_id, schema, activity): the compact envelope of each event, or one with an empty payload.
 
-    The run follows from the event (see ids.run_id) unless one is given.
+    The run follows from the event (see ids.run_id) unless one is given. with_minimal adds the other one as `minimal`.
     """
 
     @F.pandas_udf(T.StringType())
     def compacted(payload_json: pd.Series) -> pd.Series:
         return payload_json.map(lambda p: compact_payload(p, namespace))
 
-    name = f"{namespace}_event.min" if minimal else f"{namespace}_event.v2"
-    body = F.lit("{}") if minimal else compacted("payload_json")
+    compact_name, minimal_name = f"{namespace}_event.v2", f"{namespace}_event.min"
     head = F.to_json(F.struct(*(F.col(old).alias(new) for old, new in (("event_id", "eventId"), ("source", "source"), ("repo_id", "repoId"), ("actor_id", "actorId"), ("session_id", "sessionId"), ("thread_id", "threadId"), ("ts", "ts"), ("event_type", "eventType"), ("reasoning_availability", "reasoningAvailability")))), {"ignoreNullFields": "false"})
-    event = F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"payload":'), body, F.lit("}"))
+
+    def enveloped(name: str, body: Column) -> Column:
+        event = F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"payload":'), body, F.lit("}"))
+        return F.concat(F.lit(f'{{"schema":"{name}","event":'), event, F.lit("}"))
+
+    small = enveloped(minimal_name, F.lit("{}"))
+    whole = small if minimal else enveloped(compact_name, compacted("payload_json"))
     run = ids.run_id(F.col("event_type"), F.col("repo_id"), F.col("session_id"), namespace) if run_id is None else run_id
-    return events.select(run.alias("run_id"), "event_id", F.lit(name).alias("schema"), F.concat(F.lit(f'{{"schema":"{name}","event":'), event, F.lit("}")).alias("activity"))
+    beside = [small.alias("minimal")] if with_minimal else []
+    return events.select(run.alias("run_id"), "event_id", F.lit(minimal_name if minimal else compact_name).alias("schema"), whole.alias("activity"), *beside)
 
 
 def prompt_activities(events: DataFrame, namespace: str = "sessionloom") -> DataFrame:

@@ -12,6 +12,7 @@ from .. import schema, tables
 from ..functions import diffs, ids, payload, redact, text
 from ..operators import analysis, artifacts, indexes, memory, query, refresh, replay, store
 from ..sources import histories
+from ..streaming import delivery
 from . import adapters as ad
 
 QUERIES: dict = {}
@@ -666,3 +667,36 @@ def import_after_other_roots(spark: SparkSession, d: str) -> DataFrame:
     cursors = histories.next_cursors(lines, staged, "one", files)
     again, _ = histories.stage_files(histories.unchanged(lines, cursors, "two"), "codex", "repo", ["/main", "/wt/one"], moment, cursors)
     return again.groupBy(F.regexp_extract("file", "(\\d+)", 1).cast("long").alias("conv_id")).agg(F.count("*").alias("n"), F.min("sequence").alias("first"), F.max("sequence").alias("last"))
+
+
+def _prompting(spark: SparkSession, d: str) -> DataFrame:
+    """The captured events, views as prompts."""
+    return ad.events(spark, d).withColumn("event_type", F.when(F.col("event_type") == "view", "prompt.submitted").otherwise(F.col("event_type")))
+
+
+@_query(_EV + ", e AS (SELECT *, CASE event_type WHEN 'view' THEN 'prompt.submitted' ELSE event_type END AS kind FROM ev), "
+        "m AS (SELECT *, '{\"schema\":\"loom_event.min\",\"event\":{\"eventId\":\"' || event_id || '\",\"source\":\"' || source || '\",\"repoId\":\"repo\",\"actorId\":\"' || actor_id || '\",\"sessionId\":\"' || session_id || '\",\"threadId\":' || "
+        "coalesce('\"' || thread_id || '\"', 'null') || ',\"ts\":\"' || ts || '\",\"eventType\":\"' || kind || '\",\"reasoningAvailability\":\"unavailable\",\"payload\":{}}}' AS small FROM e) "
+        "SELECT 'items' AS stream, 'loom:repo:' || session_id AS run_id, event_id AS item_id, kind || ' [actor:' || actor_id || '] event in session ' || session_id AS text, NULL AS small FROM m "
+        "UNION ALL SELECT 'activity', 'loom:repo:' || session_id, event_id, NULL, small FROM m UNION ALL SELECT 'prompts', 'loom-prompts:repo', event_id, NULL, NULL FROM m WHERE kind = 'prompt.submitted'")
+def delivery_requests(spark: SparkSession, d: str) -> DataFrame:
+    return delivery.requests(_prompting(spark, d), "loom").select("stream", "run_id", "item_id", "item.text", "small")
+
+
+@_query("SELECT 'items' AS stream, count(*) AS attempted, count(*) FILTER (event_type <> 'error') AS accepted, CAST(0 AS BIGINT) AS shrunk, count(*) FILTER (event_type = 'error') AS failed FROM events "
+        "UNION ALL SELECT 'activity', count(*), count(*) FILTER (event_type <> 'error'), count(*) FILTER (event_type = 'purchase'), count(*) FILTER (event_type = 'error') FROM events "
+        "UNION ALL SELECT 'prompts', count(*), count(*), 0, 0 FROM events WHERE event_type = 'view'")
+def delivery_counters(spark: SparkSession, d: str) -> DataFrame:
+    class Choosy:
+        """Refuses errors, and whole activities of purchases."""
+
+        def ingest(self, run_id: str, items: list[dict], key: str | None) -> None:
+            if any('"event_type":"error"' in item["metadata_json"] for item in items):
+                raise ValueError(key)
+
+        def append(self, stream: str, run_id: str, item_id: str, body: str) -> None:
+            if '"eventType":"error"' in body or ('"eventType":"purchase"' in body and ".v2" in body):
+                raise ValueError(item_id)
+
+    counted = delivery.deliver(delivery.requests(_prompting(spark, d), "loom"), Choosy, batch=1, give_up_after=1 << 62)
+    return counted.select("stream", "attempted", "accepted", "shrunk", "failed")

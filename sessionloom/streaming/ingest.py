@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .. import schema, tables
 from ..operators import indexes, store
+from .delivery import Delivery
 
 
 class Sink(Protocol):
@@ -103,18 +104,22 @@ def deduplicated(events: DataFrame) -> DataFrame:
     return events.dropDuplicates(store.KEY)
 
 
-def run_ingest(events: DataFrame, table: str, checkpoint: str, on_batch: Callable[[DataFrame, int], None] | None = None, available_now: bool = True, indexed: bool = False) -> StreamingQuery:
+def run_ingest(events: DataFrame, table: str, checkpoint: str, on_batch: Callable[[DataFrame, int], None] | None = None, available_now: bool = True, indexed: bool = False, delivery: Delivery | None = None, deliver_known: bool = False) -> StreamingQuery:
     """Append new events to the store; a batch that is run again adds nothing, as it is held against the store.
 
     Of the store only the repositories of the batch are read: they are its first partition. With `indexed`, table is an
     indexed store (see indexes.add), of which only the touched buckets of the ids are read.
+
+    New events also go to `delivery`, where one is given: before a plain store takes them, so that a batch that is run
+    again after a loss delivers them again; an indexed store knows a batch's own. With deliver_known the events go out
+    that the store has already, too: the first arrivals of the batch.
     """
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         batch = tables.stored(_placed(batch, number), "ingest-events")
         if indexed:
-            indexes.add(batch, table, number)
+            new = indexes.add(batch, table, number)
         else:
             new = store.first_arrivals(batch)
             if store.exists(spark, table):
@@ -123,6 +128,11 @@ def run_ingest(events: DataFrame, table: str, checkpoint: str, on_batch: Callabl
                 if len(repos) <= 1000:  # otherwise the whole store
                     known = known.where(F.col("repo_id").isin(repos))
                 new = store.new_events(batch, known)
+            if delivery and not deliver_known:
+                new = tables.stored(new, "ingest-new")
+        if delivery:
+            delivery.write(store.first_arrivals(batch) if deliver_known else new, number)
+        if not indexed:
             store.append(new, table)
         if on_batch:
             on_batch(batch, number)

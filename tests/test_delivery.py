@@ -1,0 +1,131 @@
+import json
+import os
+
+import pytest
+from test_engine import events
+
+from sessionloom.operators import indexes, store
+from sessionloom.streaming import delivery, ingest
+
+
+def recorder(folder, refused=(), calls=("insert_batch", "append")):
+    """A sink that writes what it is given to files of a folder, and refuses items and bodies that hold a refused text."""
+
+    class Made:
+        def __init__(self):
+            for name in calls:
+                setattr(self, name, getattr(self, f"_{name}"))
+
+        def _kept(self, call, run_id, rows, *more):
+            if any(word in json.dumps(row) for word in refused for row in rows):
+                raise RuntimeError("refused")
+            with open(os.path.join(folder, f"{os.getpid()}.jsonl"), "a") as out:
+                for row in rows:
+                    out.write(json.dumps([call, run_id, row, len(rows), *more]) + "\n")
+
+        def _insert_batch(self, run_id, items):
+            self._kept("insert_batch", run_id, items)
+
+        def _ingest(self, run_id, items, key):
+            self._kept("ingest", run_id, items, key)
+
+        def _insert(self, run_id, item):
+            self._kept("insert", run_id, [item])
+
+        def _append(self, stream, run_id, item_id, body):
+            self._kept(stream, run_id, [{"item_id": item_id, "body": body}])
+
+    return Made
+
+
+def kept(folder):
+    return [json.loads(line) for name in sorted(os.listdir(folder)) for line in open(folder / name)]
+
+
+def some(spark, n=20, first=0, kind="k"):
+    return events(spark, *((str(i), f"s{i % 3}", "x", f"2024-01-01T00:00:{i:02d}Z", "prompt.submitted" if i % 5 == 0 else kind, {"prompt": f"say {i}"}) for i in range(first, first + n)))
+
+
+def counts(rows):
+    return {r.stream: {c: r[c] for c in delivery.COUNTS if r[c]} for r in rows.collect()}
+
+
+@pytest.fixture
+def folder(tmp_path):
+    (tmp_path / "out").mkdir()
+    return tmp_path / "out"
+
+
+@pytest.mark.parametrize("call", ["insert_batch", "ingest", "insert"])
+def test_items_go_by_run_through_the_widest_call(spark, folder, call):
+    calls = ["insert_batch", "ingest", "insert"]
+    calls = tuple(calls[calls.index(call) :])
+    done = counts(delivery.deliver(delivery.requests(some(spark).coalesce(1)), recorder(str(folder), calls=calls), batch=4))
+    assert {s: (c.get("accepted"), c.get("dropped")) for s, c in done.items()} == {"items": (20, None), "activity": (None, 20), "prompts": (None, 4)}
+    found = kept(folder)
+    assert sorted(int(row["item_id"]) for _, _, row, *_ in found) == list(range(20))
+    assert all(name == call and row["metadata_json"].find(run.rsplit(":", 1)[1]) > 0 for name, run, row, *_ in found if "prompts" not in run)
+    sizes = {n for _, _, _, n, *_ in found}
+    assert max(sizes) == (1 if call == "insert" else 4)
+    if call == "ingest":  # a single item carries its id as the key of the call
+        assert all(key == (row["item_id"] if n == 1 else None) for _, _, row, n, key in found)
+
+
+def test_activities_that_fail_go_once_more_in_their_small_form(spark, folder):
+    ev = events(spark, ("a", "s", "x", "t", "k", {"prompt": "fine"}), ("b", "s", "x", "t", "k", {"prompt": "too much"}), ("c", "s", "x", "t", "never", {}), ("p", "s", "x", "t", "prompt.submitted", {"prompt": "too much"}))
+    made = recorder(str(folder), ("too much", "never"), ("append",))
+    wanted = delivery.requests(ev)
+    done = counts(delivery.deliver(wanted.where("stream <> 'items'"), made))
+    assert done == {"activity": {"attempted": 4, "accepted": 3, "shrunk": 2, "failed": 1}, "prompts": {"attempted": 1, "failed": 1}}
+    bodies = {row["item_id"]: json.loads(row["body"]) for _, _, row, *_ in kept(folder)}
+    assert bodies["a"]["schema"].endswith(".v2") and bodies["a"]["event"]["payload"] == {"prompt": "fine"}
+    assert bodies["b"]["schema"].endswith(".min") and bodies["b"]["event"]["payload"] == {} and bodies["b"]["event"]["eventId"] == "b"
+
+
+def test_breaker_opens_after_failures_in_a_row_and_stays_open(spark, tmp_path, folder):
+    log, ev = str(tmp_path / "log"), some(spark, 3).coalesce(1)  # three runs at most: a call for each
+    down = delivery.Delivery(recorder(str(folder), ("say",), ("insert_batch",)), log, give_up_after=5)
+    down.write(events(spark, ("1", "s", "x", "t", "k", {"prompt": "say"})), 0)
+    assert (down.lost, down.open) == (1, False)
+    down.make_sink = recorder(str(folder), (), ("insert_batch",))
+    down.write(ev, 1)  # one that succeeds starts the count again
+    assert (down.lost, down.open) == (0, False)
+    down.make_sink = recorder(str(folder), ("say",), ("insert_batch",))
+    for number in (2, 3):
+        down.write(ev, number)
+    assert down.open
+    before = len(kept(folder))
+    down.make_sink = recorder(str(folder), (), ("insert_batch",))
+    down.write(some(spark, 9, 50), 4)
+    assert len(kept(folder)) == before and down.open
+    items = counts(delivery.delivered(spark, log).where("stream = 'items'"))["items"]
+    assert items["accepted"] == 3 and items["dropped"] >= 9 and items["attempted"] + items["dropped"] == 1 + 3 + 3 + 3 + 9
+    assert "refused" in delivery.delivered(spark, log).where("stream = 'items'").first().error
+
+
+def test_counters_count_a_batch_that_runs_again_once(spark, tmp_path, folder):
+    log = str(tmp_path / "log")
+    assert delivery.delivered(spark, log).count() == 0
+    sink = delivery.Delivery(recorder(str(folder)), log)
+    for _ in range(2):
+        sink.write(some(spark), 0)
+    assert counts(delivery.delivered(spark, log))["items"]["accepted"] == 20
+    assert len({row["item_id"] for name, _, row, *_ in kept(folder) if name == "insert_batch"}) == 20
+    sink.write(some(spark, 0), 1)
+    assert counts(delivery.delivered(spark, log))["items"]["accepted"] == 20
+
+
+@pytest.mark.parametrize("indexed", [False, True])
+@pytest.mark.parametrize("again", [False, True])
+def test_ingest_delivers_new_events_or_all(spark, tmp_path, folder, indexed, again):
+    landed, table, log = tmp_path / "landed", str(tmp_path / "t"), str(tmp_path / "log")
+    landed.mkdir()
+    line = lambda i: json.dumps({"eventId": f"e{i}", "source": "codex_exec", "repoId": "r", "sessionId": "s", "ts": "2024-01-01T00:00:00Z", "eventType": "k", "payload": {}})
+    sink = delivery.Delivery(recorder(str(folder)), log)
+    for k, ids in enumerate((range(5), range(3, 8))):
+        (landed / f"{k}.jsonl").write_text("\n".join(map(line, [*ids, ids[0]])) + "\n")
+        ingest.run_ingest(ingest.read_landed(spark, str(landed)), table, str(tmp_path / "c"), indexed=indexed, delivery=sink, deliver_known=again).awaitTermination()
+    stored = indexes.events(spark, table) if indexed else store.read(spark, table)
+    assert stored.count() == 8
+    sent = sorted(row["item_id"] for name, _, row, *_ in kept(folder) if name == "insert_batch")
+    assert sent == sorted([*(f"e{i}" for i in range(8)), *(["e3", "e4"] if again else [])])
