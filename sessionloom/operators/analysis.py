@@ -203,6 +203,21 @@ def _file_rows(stats: DataFrame, keys: list[str]) -> DataFrame:
     return stats.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(ranked)), lambda x: x["f"]).alias("files"))
 
 
+def spoken(events: DataFrame, namespace: str = "sessionloom") -> DataFrame:
+    """Events without stored artifacts and payloads, but with what they say: prompt, thought, answer, changes, diff lines. Also for streams."""
+    made = payload.item_type(payload.parsed(F.col("payload_json"))).isin(f"{namespace}_session_summary", f"{namespace}_prompt_diff_part")
+    plain = events.where(~F.coalesce(made, F.lit(False)))
+    said = plain.withColumn("t", payload.event_texts("event_type", "payload_json", "reasoning_availability")).withColumn("changes", payload.file_changes(payload.parsed(F.col("payload_json"))))
+    is_prompt = F.col("t.prompt").isNotNull()
+    # what opens a slice is a prompt and nothing else
+    only = lambda c, other: F.when(is_prompt, other).otherwise(c)
+    none = F.array().cast("array<string>")
+    return said.withColumns({
+        "prompt": F.col("t.prompt"), "thought": only(F.col("t.thought"), F.lit(None)), "answer": only(F.col("t.answer"), F.lit(None)), "changes": only(F.col("changes"), F.array().cast(payload.CHANGES)),
+        "lines": only(F.concat(F.transform("changes", lambda c: F.concat(F.when(c["kind"] == "delete", "FILE - ").otherwise("FILE + "), c["path"])), F.coalesce(diffs.patch_lines(F.col("t.patch")), none), F.coalesce(diffs.unified_lines(F.col("t.output")), none)), none),
+    }).drop("t", "payload_json")
+
+
 def analyse(events: DataFrame, namespace: str = "sessionloom", keys: list[str] = ["repo_id", "session_id"]) -> dict[str, DataFrame]:  # noqa: B006
     """Stored events of any number of sessions as tables: sessions, prompts, thoughts, answers, contributors.
 
@@ -216,18 +231,8 @@ def analyse(events: DataFrame, namespace: str = "sessionloom", keys: list[str] =
       stored summary's counts and files come first.
     """
     order = ["ts", "arrival_seq"]
-    made = payload.item_type(payload.parsed(F.col("payload_json"))).isin(f"{namespace}_session_summary", f"{namespace}_prompt_diff_part")
-    plain = events.where(~F.coalesce(made, F.lit(False)))
-    said = plain.withColumn("t", payload.event_texts("event_type", "payload_json", "reasoning_availability")).withColumn("changes", payload.file_changes(payload.parsed(F.col("payload_json"))))
-    is_prompt = F.col("t.prompt").isNotNull()
-    # what opens a slice is a prompt and nothing else
-    only = lambda c, other: F.when(is_prompt, other).otherwise(c)
     none = F.array().cast("array<string>")
-    said = said.withColumns({
-        "prompt": F.col("t.prompt"), "thought": only(F.col("t.thought"), F.lit(None)), "answer": only(F.col("t.answer"), F.lit(None)), "changes": only(F.col("changes"), F.array().cast(payload.CHANGES)),
-        "lines": only(F.concat(F.transform("changes", lambda c: F.concat(F.when(c["kind"] == "delete", "FILE - ").otherwise("FILE + "), c["path"])), F.coalesce(diffs.patch_lines(F.col("t.patch")), none), F.coalesce(diffs.unified_lines(F.col("t.output")), none)), none),
-    }).drop("t", "payload_json")
-    said = tables.stored(said, "said")  # one pass over payloads for all that follows
+    said = tables.stored(spoken(events, namespace), "said")  # one pass over payloads for all that follows
     sliced = prompt_slices(said, F.col("prompt").isNotNull(), keys, order)
 
     per = [*keys, "prompt_id"]

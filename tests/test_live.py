@@ -1,0 +1,81 @@
+import json
+import random
+
+import pytest
+from pyspark.sql import functions as F
+from test_engine import change, events
+
+from sessionloom import schema
+from sessionloom.operators import analysis
+from sessionloom.streaming import live
+
+PROVIDER, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def session(rng, n, name):
+    """A session's events in order: prompts, thoughts, answers, file changes and patches; some begin without a prompt."""
+    out = []
+    for k in range(n):
+        said = f"{name} {k}"
+        patch = "*** Begin Patch\n*** Update File: a.py\n" + "\n".join(f"+line {k} {i}" for i in range(rng.choice([3, 150, 400])))
+        kind, body = rng.choice([
+            ("prompt.submitted", {"prompt": said}), ("item.completed", {"item": {"type": "reasoning", "text": said}}), ("item.completed", {"item": {"type": "agent_message", "text": said}}),
+            ("item.completed", change((f"f{k}.py", "add"), ("g.py", "delete"))), ("item.completed", {"item": {"type": "tool_call", "name": "apply_patch", "arguments": patch}}),
+        ])
+        out.append((f"{name}-{k}", name, f"a{k % 2}", f"2024-01-01T00:{k // 60:02d}:{k % 60:02d}Z", kind, body))
+    return out
+
+
+def batches_of(rng, sessions):
+    """The sessions' events in one order of arrival, cut into three parts; each keeps its own order."""
+    queues, arrived = [list(s) for s in sessions], []
+    while any(queues):
+        arrived.append(rng.choice([q for q in queues if q]).pop(0))
+    return arrived, [arrived[: len(arrived) // 3], arrived[len(arrived) // 3 : len(arrived) // 2], arrived[len(arrived) // 2 :]]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_stream_and_batch_agree(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    arrived, parts = batches_of(rng, [session(rng, n, f"s{n}") for n in (1, 5, 40, 60)])
+    whole = events(spark, *arrived)
+    place = {row[0]: n for n, row in enumerate(arrived)}
+    landed, out, check = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "c")
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKS)
+    try:
+        for part in parts:
+            rows = events(spark, *part).drop("arrival_seq").join(spark.createDataFrame([(r[0], place[r[0]]) for r in part], "event_id string, arrival_seq long"), "event_id").select(*schema.ENVELOPE.names)
+            rows.write.mode("append").parquet(str(landed))
+            stream = live.follow(spark.readStream.schema(schema.ENVELOPE).parquet(str(landed)))
+            stream.writeStream.format("parquet").option("checkpointLocation", check).trigger(availableNow=True).start(out).awaitTermination()  # the state outlives each run
+    finally:
+        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+    followed = spark.read.parquet(out)
+    assert followed.count() == len(arrived) and followed.where("late").count() == 0
+
+    keys, order = ["repo_id", "session_id"], ["ts", "arrival_seq"]
+    sliced = analysis.prompt_slices(analysis.spoken(whole), F.col("prompt").isNotNull(), keys, order)
+    assert {(r.event_id, r.prompt_id) for r in followed.collect()} == {(r.event_id, r.prompt_id) for r in sliced.collect()}
+    thoughts = analysis.thought_ordinals(sliced, F.col("thought").isNotNull(), keys, order)
+    assert {(r.event_id, r.thought_no, r.text) for r in followed.where("kind = 'thought'").collect()} == {(r.event_id, r.thought_no, r.thought) for r in thoughts.collect()}
+
+    def joined(column, by):
+        lines = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ts", "arrival_seq", column))), lambda x: x[column]))
+        return {tuple(r) for r in followed.groupBy(*by).agg(F.to_json(lines).alias("l")).where("l <> '[]'").collect()}
+
+    by = [*keys, "prompt_id", "thought_no"]
+    own = analysis.attribute_diffs(sliced, F.col("thought").isNotNull(), F.col("lines"), keys, order)
+    assert joined("thought_lines", by) == {tuple(r) for r in own.select(*by, F.to_json("diff_lines")).collect()}
+    of_prompts = analysis.prompt_diffs(sliced, F.col("lines"), keys, order)
+    assert joined("prompt_lines", by[:3]) == {tuple(r) for r in of_prompts.select(*by[:3], F.to_json("diff_lines")).collect()}
+    assert max(len(json.loads(r[-1])) for r in joined("thought_lines", by)) == analysis.THOUGHT_LINES
+
+
+def test_late_events_are_marked():
+    event = lambda ts, seq, kind=None: {"ts": ts, "arrival_seq": seq, "kind": kind, "lines": []}
+    state, out = live.advance(live._NEW, [event("3", 2, "prompt"), event("1", 1)])
+    assert [(e["ts"], e["prompt_id"], e["late"]) for e in out] == [("1", 1, False), ("3", 2, False)]
+    state, out = live.advance(state, [event("2", 3), event("4", 4, "thought"), event(None, 5)])
+    assert [(e["ts"], e["prompt_id"], e["thought_no"], e["late"]) for e in out] == [(None, 2, 1, True), ("2", 2, 1, True), ("4", 2, 1, False)]
+    assert state[-2:] == ("4", 4)
