@@ -16,11 +16,14 @@ class Engine:
         """With `indexed`, path is a store whose indexes follow its writes (see operators.indexes): a session's, thread's or
         actor's timeline reads its days alone. So it does with indexes given, as long as they cover all of the store's events."""
         self._root = path if indexed else None
-        self._events = events if events is not None else indexes.events(spark, path) if indexed else store.read(spark, path)
+        self._events = events if events is not None else indexes.typed_events(spark, path) if indexed else store.read_typed(spark, path)
         self._indexes = {"session_id": session_index, "thread_id": thread_index}
         self._covering: dict[str, bool] = {}
 
     def events(self, repo_id: str | None = None) -> DataFrame:
+        return self._of(repo_id).drop("item_type")
+
+    def _of(self, repo_id: str | None) -> DataFrame:
         return self._events.where(F.col("repo_id") == repo_id) if repo_id else self._events
 
     def sessions(self, repo_id: str | None = None, limit: int = 200) -> DataFrame:
@@ -47,7 +50,7 @@ class Engine:
 
     def _pruned(self, repo_id: str | None, filters: dict) -> tuple[DataFrame, dict]:
         """(events of the days that the indexes name for a session, thread or actor, filters)."""
-        events = self.events(repo_id)
+        events = self._of(repo_id)
         if self._root:
             for key, name in (("session_id", "sessions"), ("thread_id", "threads"), ("actor_id", "actors")):
                 if filters.get(key):
@@ -62,11 +65,11 @@ class Engine:
         return query.timeline(events, **filters)
 
     def _shown(self, rows: DataFrame, include_payload: bool = True) -> DataFrame:
-        return rows.withColumn("payload_json", redact.redact_payload("payload_json") if include_payload else F.lit("{}"))
+        return rows.drop("item_type").withColumn("payload_json", redact.redact_payload("payload_json") if include_payload else F.lit("{}"))
 
     def timeline_count(self, repo_id: str | None = None, **filters) -> int:
         events, filters = self._pruned(repo_id, filters)
-        return events.where(query.timeline_filter(**filters, by_day="event_date" in events.columns)).count()
+        return query.filtered(events, **filters).count()
 
     def timeline_stream(self, repo_id: str | None = None, **filters):
         """Rows one by one, a partition at a time, redacted as in timeline()."""

@@ -89,7 +89,7 @@ def add(batch: DataFrame, root: str, number: int, buckets: int = BUCKETS) -> Dat
         return new
     for name in INDEXES:
         _write(_sums(new, name, buckets), f"{root}/{name}", number, number)
-    rows = store.dated(new).withColumn("batch", F.lit(number).cast("long"))
+    rows = store.item_typed(store.dated(new)).withColumn("batch", F.lit(number).cast("long"))
     # rebalanced: few files for each partition, and large ones are shared out
     rows.hint("rebalance", "repo_id", "event_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo_id", "event_date", "batch").parquet(f"{root}/events")
     ids = new.select(*store.KEY, F.pmod(F.xxhash64(*store.KEY), F.lit(buckets)).cast("int").alias("bucket"), F.lit(number).cast("long").alias("batch"))
@@ -100,7 +100,12 @@ def add(batch: DataFrame, root: str, number: int, buckets: int = BUCKETS) -> Dat
 
 def events(spark: SparkSession, root: str) -> DataFrame:
     """The stored events, with event_date."""
-    return spark.read.parquet(f"{root}/events").drop("batch").select(*schema.ENVELOPE.names, "event_date")
+    return typed_events(spark, root).drop("item_type")
+
+
+def typed_events(spark: SparkSession, root: str) -> DataFrame:
+    """The stored events, with event_date and item_type."""
+    return store.read_typed(spark, f"{root}/events").select(*schema.ENVELOPE.names, "event_date", "item_type")
 
 
 def compact(spark: SparkSession, root: str, name: str, layers: int = 8) -> list[int]:

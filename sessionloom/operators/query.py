@@ -18,7 +18,8 @@ def timeline_filter(session_id: str | None = None, thread_id: str | None = None,
 
     With by_day (events that have event_date) the bounds also leave out partitions: where they start with a date, days
     before the one before and after the one after it, as a ts may be in any time zone. days (see store.days_of) are the
-    only ones that may hold events, beside the partition of events whose ts has no day.
+    only ones that may hold events, beside the partition of events whose ts has no day. item is the column of item types,
+    where events have one; else they are read from the payloads.
     """
     tests = []
     day = F.col("event_date")
@@ -45,7 +46,13 @@ def timeline_filter(session_id: str | None = None, thread_id: str | None = None,
 
 def timeline(events: DataFrame, **filters) -> DataFrame:
     """Events that meet the filters, by ts and then by arrival."""
-    return events.where(timeline_filter(**filters, by_day="event_date" in events.columns)).orderBy("ts", "arrival_seq")
+    return filtered(events, **filters).orderBy("ts", "arrival_seq")
+
+
+def filtered(events: DataFrame, **filters) -> DataFrame:
+    """Events that meet the filters; what events are stored by (event_date, item_type) is used to read less."""
+    stored = {"item": F.col("item_type")} if "item_type" in events.columns else {}
+    return events.where(timeline_filter(**stored | filters, by_day="event_date" in events.columns))
 
 
 def page(ordered: DataFrame, offset: int = 0, limit: int = 200, most: int = 1000) -> DataFrame:

@@ -46,9 +46,14 @@ def dated(events: DataFrame) -> DataFrame:
     return events.withColumn("event_date", F.to_date(F.try_to_timestamp("ts")))
 
 
+def item_typed(events: DataFrame) -> DataFrame:
+    """With item_type, the type of the payload's item: beside the envelope in stored files, so that their statistics and dictionaries can leave row groups out."""
+    return events.withColumn("item_type", F.get_json_object("payload_json", "$.item.type"))
+
+
 def append(events: DataFrame, path: str) -> None:
     """Add to the store: Parquet by repository and day. Late events go to the day of their own ts."""
-    dated(events).write.mode("append").partitionBy("repo_id", "event_date").parquet(path)
+    item_typed(dated(events)).write.mode("append").partitionBy("repo_id", "event_date").parquet(path)
 
 
 def append_raw(lines: DataFrame, path: str) -> None:
@@ -63,7 +68,13 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return read_typed(spark, path).drop("item_type")
+
+
+def read_typed(spark: SparkSession, path: str) -> DataFrame:
+    """The stored events with item_type. A store has it in all of its files or in none; then it is read from the payloads."""
+    rows = spark.read.parquet(path)
+    return rows if "item_type" in rows.columns else item_typed(rows)
 
 
 def read_segments(spark: SparkSession, paths: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from sessionloom import schema
 from sessionloom.api import Engine
-from sessionloom.operators import analysis, artifacts, memory, query, replay, store
+from sessionloom.operators import analysis, artifacts, indexes, memory, query, replay, store
 from sessionloom.streaming import ingest
 
 NAMES = schema.ENVELOPE.names
@@ -313,3 +313,22 @@ def test_fingerprints_of_split_groups(spark):
 @pytest.mark.parametrize("index", ["session_index", "thread_index", "actor_index", "segment_manifest", "event_id_index"])
 def test_indexes_of_an_empty_store(spark, index):
     assert getattr(store, index)(spark.createDataFrame([], schema.ENVELOPE)).count() == 0
+
+
+@pytest.mark.parametrize("indexed", [False, True])
+def test_item_types_are_filtered_in_the_scan(spark, tmp_path, indexed):
+    path = str(tmp_path / "t")
+    ev = events(spark, *((str(i), "s", "x", "2024-01-01T00:00:00Z", "item.completed", {"item": {"type": "reasoning" if i % 4 == 0 else "tool_call", "text": "why"}} if i % 3 else {}) for i in range(40)))
+    indexes.add(ev, path, 0) if indexed else store.append(ev, path)
+    engine = Engine(spark, path, indexed=indexed)
+    found = engine.timeline(item_type="reasoning")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(item_type,reasoning)" in plan and "$.item.type" not in plan
+    wanted = [str(i) for i in range(40) if i % 4 == 0 and i % 3]
+    assert sorted(r.event_id for r in found.collect()) == sorted(wanted) and engine.timeline_count(item_type="reasoning") == len(wanted)
+    assert "item_type" not in found.columns and set(engine.events().columns) == {*NAMES, "event_date"}
+    bare = Engine(spark, events=engine.events())  # without the column the payloads are read
+    assert bare.timeline_count(item_type="reasoning") == len(wanted)
+    old = str(tmp_path / "old")
+    store.dated(ev).write.partitionBy("repo_id", "event_date").parquet(old)
+    assert Engine(spark, old).timeline_count(item_type="reasoning") == len(wanted)
