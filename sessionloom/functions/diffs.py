@@ -10,6 +10,14 @@ from .text import SPACE, trim
 
 #: How many lines of a patch, of a tool's output and of a live diff are kept.
 PATCH_LINES, OUTPUT_LINES, LIVE_LINES = 280, 1200, 2200
+#: Kinds of change by the word in a patch's file header, and by the letter of a status line.
+PATCH_KINDS = {"Add": "add", "Delete": "delete", "Update": "update"}
+STATUS_KINDS = {"A": "add", "D": "delete", "M": "update"}
+
+
+def header_pattern(word: str) -> str:
+    """What finds the paths of a patch's file headers with this word."""
+    return rf"(?m)^\*\*\* {word} File: (.+)$"
 
 
 def _as_changes(paths: Column, kind: str) -> Column:
@@ -18,15 +26,14 @@ def _as_changes(paths: Column, kind: str) -> Column:
 
 def patch_changes(text: Column) -> Column:
     """(path, kind) of the file headers of a patch: additions, then deletions, then updates, each once."""
-    kinds = [("Add", "add"), ("Delete", "delete"), ("Update", "update")]
-    found = [_as_changes(F.regexp_extract_all(text, F.lit(rf"(?m)^\*\*\* {head} File: (.+)$"), F.lit(1)), kind) for head, kind in kinds]
+    found = [_as_changes(F.regexp_extract_all(text, F.lit(header_pattern(word)), F.lit(1)), kind) for word, kind in PATCH_KINDS.items()]
     return F.coalesce(F.array_distinct(F.concat(*found)), F.array().cast(CHANGES))
 
 
 def status_changes(text: Column) -> Column:
     """(path, kind) of lines such as "M path", each once."""
-    lines = F.filter(F.transform(F.split(text, "\n", -1), trim), lambda x: x.rlike(f"^[MAD] .*[^\\s]") & (F.length(x) >= 3))
-    kind = lambda x: F.when(x.startswith("A"), "add").when(x.startswith("D"), "delete").otherwise("update")
+    lines = F.filter(F.transform(F.split(text, "\n", -1), trim), lambda x: x.rlike(f"^[{''.join(STATUS_KINDS)}] .*[^\\s]") & (F.length(x) >= 3))
+    kind = lambda x: F.coalesce(*(F.when(x.startswith(letter), kind) for letter, kind in STATUS_KINDS.items()))
     return F.coalesce(F.array_distinct(F.transform(lines, lambda x: F.struct(trim(F.substring(x, F.lit(3), F.length(x))).alias("path"), kind(x).alias("kind")))), F.array().cast(CHANGES))
 
 

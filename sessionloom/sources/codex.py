@@ -5,10 +5,10 @@ from __future__ import annotations
 import json
 import re
 
+from ..functions.diffs import PATCH_KINDS, STATUS_KINDS, header_pattern
 from ..functions.payload import TEXT_KEYS, deep_text, load, strip
 
-_HEADER = {kind: re.compile(rf"^\*\*\* {name} File: (.+)$", re.M) for name, kind in (("Add", "add"), ("Delete", "delete"), ("Update", "update"))}
-_STATUS = {"A": "add", "D": "delete", "M": "update"}
+_HEADER = {kind: re.compile(header_pattern(word)) for word, kind in PATCH_KINDS.items()}
 
 
 def name(value) -> str | None:
@@ -25,7 +25,7 @@ def patch_headers(text: str) -> list[dict]:
 
 def status_lines(text: str) -> list[dict]:
     lines = (strip(x) for x in text.split("\n"))
-    return unique([(strip(x[2:]), _STATUS[x[0]]) for x in lines if len(x) > 2 and x[0] in _STATUS and x[1] == " " and strip(x[2:])])
+    return unique([(strip(x[2:]), STATUS_KINDS[x[0]]) for x in lines if len(x) > 2 and x[0] in STATUS_KINDS and x[1] == " " and strip(x[2:])])
 
 
 def changed(changes: list[dict]) -> list[tuple[str, dict]]:

@@ -14,6 +14,7 @@ WRAPPERS = ("messages", "turns", "events", "history", "entries", "transcript")
 FOLDERS = ("cwd", "projectRoot", "project_root", "projectPath", "project_path")
 TIMES = ("timestamp", "ts", "createdAt", "created_at", "time")
 SESSIONS = ("sessionId", "session_id", "chatId", "chat_id", "conversationId", "conversation_id")
+#: Verbs in a tool's name, as kinds of change; the first that is found counts.
 _VERBS = (("delete", re.compile("delete|remove")), ("add", re.compile("create|write")), ("update", re.compile("edit|patch|replace|append|prepend|move|rename")))
 
 

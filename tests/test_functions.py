@@ -1,8 +1,10 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
 from sessionloom.functions import diffs, ids, payload, redact, text
+from sessionloom.sources import codex
 
 
 def one(spark, column, **values):
@@ -105,3 +107,14 @@ def test_paths_sort_as_people_read_them(spark):
 
     df = spark.createDataFrame([("b",), ("B",), ("a",), ("_x",), ("é",), ("z",)], "path string")
     assert [r.path for r in query.by_path(df).collect()] == ["_x", "a", "b", "B", "é", "z"]
+
+
+def test_imports_and_columns_read_patches_and_status_lines_alike(spark):
+    rng = random.Random(4)
+    heads = ["*** Add File: a.py", "*** Delete File:  b c ", "*** Update File: d/é.py", "*** Update File: ", " *** Add File: no", "*** Add File: a.py", "*** Move File: x", "+*** Add File: y"]
+    marks = ["M a.py", "A  b", "D\tc", "D c d ", "  M e ", "M ", "MM f", "?? g", "A b", "M é", ""]
+    texts = ["\n".join(rng.choice(some) for _ in range(rng.randrange(8))) for some in (heads, marks) for _ in range(200)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", diffs.patch_changes(F.col("t")).alias("p"), diffs.status_changes(F.col("t")).alias("s")).collect()
+    for row in rows:
+        assert [x.asDict() for x in row.p] == codex.patch_headers(row.t), row.t
+        assert [x.asDict() for x in row.s] == codex.status_lines(row.t), row.t
