@@ -13,10 +13,10 @@ linear maps of it, and a learned bias of the distance stands for positions. Wind
 scores the tokens of its second block with the first as context, so every token is scored once; windows are batched and
 masked in numpy.
 
-What is gathered from the corpus: counts of words and of subwords over all training documents, in Spark. The layer
-starts from `start_docs` documents on the driver and is then trained in every task on its part of the training
-documents (`train_share` of them: a fixed share, 1 for all, never a number); the tasks' parameters are averaged in a
-tree. Word counts never meet on the driver or in one table: a block is `block_docs` consecutive documents, a task emits
+What is gathered from the corpus: counts of words and of subwords over all training documents, in Spark. The layer is
+trained in every task on its part of all training documents; the tasks' parameters are averaged in a tree. Where they
+begin are parameters from `start_docs` documents on the driver, so that the tasks' models are near enough to average.
+`train_share` is for trials: 1, the default, takes all. Word counts never meet on the driver or in one table: a block is `block_docs` consecutive documents, a task emits
 the distinct words of its blocks, a window over each word's hash sums them, and each block gets its own words back, in
 one shuffle in which its words sort before its texts. A word has at most a few rows for each block, so no word is hot.
 
@@ -196,6 +196,76 @@ def gradients(m: AttentionModel, inputs: np.ndarray, usable: np.ndarray, rows: n
     return out
 
 
+def stream_gradients(m: AttentionModel, inputs: np.ndarray, rows: np.ndarray, scored: np.ndarray) -> dict[str, np.ndarray]:
+    """gradients() of the windows of neighbouring blocks of a stream: its inputs (-1: none), and for each place the row to score, if any.
+
+    Keys and values of a block are computed once for both windows that it stands in, softmaxes for scored places alone.
+    """
+    s, lay = m.block, m.layout
+    n = len(inputs) // s - 1
+    empty = inputs < 0
+    numbers = lay.embed_of[np.maximum(inputs, 0)]
+    x = m.embed[numbers]
+    x[empty] = 0
+    last = x[s:]
+    scale = np.sqrt(m.wq.shape[1]).astype(m.wq.dtype)
+    q, k, v = (last @ m.wq / scale).reshape(n, s, -1), x @ m.wk, x @ m.wv
+    pair = lambda a: np.lib.stride_tricks.as_strided(a, (n, 2 * s, a.shape[1]), (s * a.strides[0], *a.strides))
+    kw, vw = pair(k), pair(v)
+    back = m.distances()
+    weight = q @ kw.transpose(0, 2, 1)
+    weight += np.where(back >= 0, m.distance[np.maximum(back, 0)], np.float32(-1e4))
+    weight += pair(empty[:, None] * np.float32(-1e4)).transpose(0, 2, 1)
+    weight -= weight.max(axis=2, keepdims=True)
+    np.exp(weight, out=weight)
+    weight *= 1 / (weight @ np.ones((2 * s, 1), weight.dtype))
+    hidden = last @ m.we + (weight @ vw).reshape(n * s, -1)
+
+    at = np.flatnonzero(scored[s:])
+    own, state = rows[s:][at], hidden[at]
+    total = np.float32(max(1, len(at)))
+
+    def error(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
+        logits -= logits.max(axis=1, keepdims=True)
+        np.exp(logits, out=logits)
+        logits *= 1 / (total * (logits @ np.ones((logits.shape[1], 1), logits.dtype)))
+        logits[np.arange(len(target)), target] -= 1 / total
+        return logits
+
+    g = error(state @ m.head + m.head_bias, lay.head_of[own])
+    out = {"head": state.T @ g, "head_bias": g.sum(axis=0), "middle": np.zeros_like(m.middle), "middle_bias": np.zeros_like(m.middle_bias)}
+    gh = np.zeros_like(hidden)
+    gh[at] = g @ m.head.T
+    second = lay.middle_of[own]
+    mid = np.flatnonzero(second >= 0)
+    if len(mid):
+        g = error(state[mid] @ m.middle + m.middle_bias, second[mid])
+        out["middle"], out["middle_bias"] = state[mid].T @ g, g.sum(axis=0)
+        gh[at[mid]] += g @ m.middle.T
+    out["we"] = last.T @ gh
+    ghw = gh.reshape(n, s, -1)
+    gs = ghw @ vw.transpose(0, 2, 1)
+    gs -= (gs * weight).sum(axis=2, keepdims=True)
+    gs *= weight
+    out["distance"] = np.bincount(back[back >= 0], gs.sum(axis=0)[back >= 0], 2 * s)
+
+    def both(a: np.ndarray) -> np.ndarray:
+        """A gradient by windows, added up by place."""
+        sums = np.zeros((n + 1, s, a.shape[2]), a.dtype)
+        sums[:-1] += a[:, :s]
+        sums[1:] += a[:, s:]
+        return sums.reshape((n + 1) * s, -1)
+
+    gq, gk, gv = (gs @ kw / scale).reshape(n * s, -1), both(gs.transpose(0, 2, 1) @ q), both(weight.transpose(0, 2, 1) @ ghw)
+    out |= {"wq": last.T @ gq, "wk": x.T @ gk, "wv": x.T @ gv}
+    gx = gk @ m.wk.T + gv @ m.wv.T
+    gx[s:] += gh @ m.we.T + gq @ m.wq.T
+    gx[empty] = 0
+    dims = gx.shape[1]
+    out["embed"] = np.bincount((numbers[:, None] * dims + np.arange(dims)).reshape(-1), gx.reshape(-1), m.embed.size).reshape(m.embed.shape).astype(m.embed.dtype)
+    return out
+
+
 class Adam:
     """Steps on a model's parts, in place."""
 
@@ -364,8 +434,8 @@ def start_model(layout: Layout, rows: np.ndarray, counts: np.ndarray, steps: int
     return m
 
 
-def _train_everywhere(texts: DataFrame, start: AttentionModel, tokenizer_path: str, tasks: int, batch: int = 64, rate: float = 0.002) -> AttentionModel:
-    """The start trained on by each task over its texts; the average of the tasks' mean parameters, by the steps of each."""
+def _train_everywhere(texts: DataFrame, start: AttentionModel, tokenizer_path: str, tasks: int, batch: int = 256, rate: float = 0.002) -> AttentionModel:
+    """The start trained on by each task over all of its texts; the average of the tasks' mean parameters, by the steps of each."""
     spark = texts.sparkSession
     shared = spark.sparkContext.broadcast(start)
 
@@ -374,11 +444,15 @@ def _train_everywhere(texts: DataFrame, start: AttentionModel, tokenizer_path: s
         adam, total = Adam(m), np.zeros(len(m.vector()))
         for texts in batch_iter:
             column = texts.column(0)
-            for a, b in common.text_slices(column):
-                inputs, usable, target, scored = windows_of(m, *words.texts(column.slice(a, b - a)))
-                for k in range(0, len(inputs), batch):
-                    s = slice(k, k + batch)
-                    adam.step(gradients(m, inputs[s], usable[s], target[s], scored[s]), rate)
+            for a, b in common.text_slices(column, 4_000_000):
+                rows, counts = words.texts(column.slice(a, b - a))
+                inputs, places = stream(rows, counts, m.block)
+                target, scored = np.zeros(len(inputs), np.int64), np.zeros(len(inputs), bool)
+                target[places], scored[places] = rows, True
+                # batches of `batch` windows; the last block of one is the context of the next
+                for k in range(0, len(inputs) - m.block, batch * m.block):
+                    s = slice(k, k + (batch + 1) * m.block)
+                    adam.step(stream_gradients(m, inputs[s], target[s], scored[s]), rate)
                     total += m.vector()
         if adam.steps:
             yield _sum_row(adam.steps, total)
@@ -464,11 +538,11 @@ def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip([0, *edges.tolist()], [*edges.tolist(), len(values)], strict=True) if len(values) else iter(())
 
 
-def fit_and_score(docs: DataFrame, training: Column, tokenizer_path: str, train_share: float = 1 / 32, start_docs: int = 1000, block_docs: int = 4000, start_steps: int = 300, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fit_and_score(docs: DataFrame, training: Column, tokenizer_path: str, train_share: float = 1, start_docs: int = 1000, block_docs: int = 4000, start_steps: int = 300, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) of every document, learning from those that meet `training`.
 
-    train_share: the share of the training documents that train the layer in the tasks; 1 takes all. start_docs bounds
-    the documents of its start on the driver. Counts are of all training documents. Scores are log10 probabilities.
+    Counts are of all training documents, and all of them train the layer in the tasks, unless train_share says a share.
+    start_docs bounds the documents of its start on the driver alone. Scores are log10 probabilities.
     """
     spark = docs.sparkSession
     common.pin_splits(spark)
@@ -491,7 +565,7 @@ def fit_and_score(docs: DataFrame, training: Column, tokenizer_path: str, train_
     sample = common.bounded_sample(learn, start_docs, "row", salt=9).sort_values("row")
     start = start_model(layout, *words.texts(pa.array(sample["text"].tolist(), pa.large_string())), steps=start_steps)
     chosen = learn.where(F.pmod(F.xxhash64("row", F.lit(4)), F.lit(1 << 30)) < train_share * (1 << 30)).select("text")
-    trained = _train_everywhere(chosen, start, tokenizer_path, tasks=-(-keyed.rdd.getNumPartitions() // 4))
+    trained = _train_everywhere(chosen, start, tokenizer_path, tasks=keyed.rdd.getNumPartitions())
     model = spark.sparkContext.broadcast(trained)
 
     each = Window.partitionBy("h").orderBy("block")

@@ -247,6 +247,29 @@ def test_lm_scores_each_token_once_from_what_comes_before(scale):
     assert lm.log_probabilities(m, state, text[2]) == pytest.approx(found[3], abs=1e-3, rel=1e-4)
 
 
+def test_lm_gradients_of_a_stream_are_those_of_its_windows():
+    m, rows, counts = small_lm()
+    inputs, places = lm.stream(rows, counts, m.block)
+    target, scored = np.zeros(len(inputs), np.int64), np.zeros(len(inputs), bool)
+    target[places], scored[places] = rows, True
+    g, found = lm.gradients(m, *lm.windows_of(m, rows, counts)), lm.stream_gradients(m, inputs, target, scored)
+    assert all(np.allclose(g[name], found[name], atol=1e-6) for name in m.PARTS)
+
+
+def test_lm_layer_is_trained_by_every_training_document(spark, tmp_path, monkeypatch):
+    rows = [(i, f"w{i} word of text {i * 7}") for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "d"))
+    docs, seen, train = spark.read.parquet(str(tmp_path / "d")), [], lm._train_everywhere
+
+    def watched(texts, *args, **options):
+        seen.extend(r.text for r in texts.collect())
+        return train(texts, *args, **options)
+
+    monkeypatch.setattr(lm, "_train_everywhere", watched)
+    assert lm.fit_and_score(docs, F.col("doc_id") % 5 != 1, WORD, start_steps=2).count() == 40
+    assert sorted(seen) == sorted(t for i, t in rows if i % 5 != 1)
+
+
 def test_lm_gradients_are_those_of_differences():
     m, rows, counts = small_lm()
     case = lm.windows_of(m, rows, counts)
