@@ -27,7 +27,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: a Jaccard similarity of 0.8 or more of their five-word shingles."""
+    """One document of each group of near copies: a Jaccard similarity of 0.8 or more of their five-word shingles.
+
+    Found by operator 1's trie self-join of fingerprints, and by MinHash bands where these are too far apart."""
     return neardup.keep_one(docs, shingle_words=5, similarity=0.8)
 
 

@@ -1,7 +1,10 @@
-"""Near-duplicate removal at a stated shingle similarity: MinHash bands for candidates, exact Jaccard for the verdict.
+"""Near-duplicate removal at a stated shingle similarity: SimHash by a binary trie self-join, MinHash bands for pairs that
+64 bits can't tell, exact Jaccard for the verdict.
 
 1. Texts of equal words (white space and case A-Z aside) are one kind; only the first document of a kind goes on.
-2. A kind has `bands` band keys of `rows` MinHash values each over its word shingles. Two kinds whose shingle sets have
+   Kinds whose SimHash fingerprints are linked by the trie self-join of operator 1 (at `max_bits` bits) are held against
+   the first of their group, then, of those that are left, linked ones against each other.
+2. The bits of two texts at the limit often differ in more places than a trie can look past. So a kind also has `bands` band keys of `rows` MinHash values each over its word shingles. Two kinds whose shingle sets have
    Jaccard similarity s share a key with probability 1 - (1 - s^rows)^bands: 0.99993 at 0.8, and more above.
 3. In each bucket of a key, members are first compared with one representative, which dissolves dense groups at about as
    many pairs as they have members. Those left are compared in blocks of `block` rows and pairs of blocks: by the share
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .decontam import WordHashes, seeds
-from .simhash import components
+from .simhash import components, fingerprints, near_links
 
 BANDS, ROWS = 24, 5
 _U = np.uint64
@@ -72,7 +75,7 @@ def band_keys(lists: list[list[bytes]], shingle_words: int, hashes: WordHashes,
 
 
 def _kinds(keyed: DataFrame, shingle_words: int) -> DataFrame:
-    """(who, d1, d2, keys, sign): a digest of each document's words, its band keys and its MinHash values."""
+    """(who, d1, d2, fp, keys, sign): a digest of each document's words, its fingerprint, its band keys and its MinHash values."""
 
     def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -89,9 +92,10 @@ def _kinds(keyed: DataFrame, shingle_words: int) -> DataFrame:
                 signs: list[bytes | None] = [None] * len(lists)
                 for i, sign in zip(some, small, strict=True):
                     signs[i] = sign.tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(digests[:, 0]), pa.array(digests[:, 1]), column, pa.array(signs, pa.binary())], names=["who", "d1", "d2", "keys", "sign"])
+                prints = pa.array(fingerprints(texts[a:b], shingle_words).view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(digests[:, 0]), pa.array(digests[:, 1]), prints, column, pa.array(signs, pa.binary())], names=["who", "d1", "d2", "fp", "keys", "sign"])
 
-    return keyed.mapInArrow(run, f"who {keyed.schema['who'].dataType.simpleString()}, d1 long, d2 long, keys array<long>, sign binary")
+    return keyed.mapInArrow(run, f"who {keyed.schema['who'].dataType.simpleString()}, d1 long, d2 long, fp long, keys array<long>, sign binary")
 
 
 def _shingled(texts: DataFrame, shingle_words: int) -> DataFrame:
@@ -108,6 +112,17 @@ def _shingled(texts: DataFrame, shingle_words: int) -> DataFrame:
     return texts.select("row", "text").mapInArrow(run, "row long, shingles array<long>")
 
 
+def _trie_links(kinds: DataFrame, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b) rows of kinds with words: each with the first of its group of linked fingerprints, and links that connect these groups."""
+    printed = common.materialise(kinds.where(F.size("keys") > 0).groupBy("fp").agg(F.min("row").alias("rep")), "near-prints")
+    links = common.materialise(near_links(printed.select("fp"), max_bits), "near-trie")
+    rep = lambda fp, name: printed.select(F.col("fp").alias(fp), F.col("rep").alias(name))
+    rows = common.materialise(links.withColumnsRenamed({"a": "f", "b": "g"}).join(rep("f", "a"), "f").join(rep("g", "b"), "g").select("a", "b"), "near-trie-rows")
+    same = kinds.where(F.size("keys") > 0).select("fp", "row").join(printed, "fp").where("row <> rep").select(F.col("rep").alias("a"), F.col("row").alias("b"))
+    stars = components(rows).where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+    return common.materialise(stars.unionByName(same), "near-pairs"), rows
+
+
 def _linked(members: DataFrame, kinds: DataFrame, shingled: DataFrame, similarity: float, block: int) -> DataFrame:
     """(a, b): links that connect a bucket's members (h, row, n) as all of its similar pairs would.
 
@@ -188,7 +203,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle_words: int, similarity
     return both.select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
 
 
-def keep_one(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, block: int = 500, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, block: int = 500, max_bits: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each group of near copies: the first by id (nulls last), one row where rows repeat.
 
     The columns of docs are returned unchanged, whatever their names. docs must be a stored table, whose rows keep
@@ -199,7 +214,7 @@ def keep_one(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, b
     keyed = docs.withColumn(key, F.monotonically_increasing_id())
     slim = keyed.select(F.struct(F.col(id_col).isNull().alias("null"), F.col(id_col).alias("id"), F.col(key).alias("row")).alias("who"), F.col(text_col).alias("text"))
     rows = common.materialise(_kinds(slim, shingle_words), "near-rows")
-    kinds = common.materialise(rows.groupBy("d1", "d2").agg(F.min("who").alias("who"), F.first("keys").alias("keys"), F.first("sign").alias("sign")).select("who", F.col("who.row").alias("row"), "keys", "sign"), "near-kinds")
+    kinds = common.materialise(rows.groupBy("d1", "d2").agg(F.min("who").alias("who"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("sign").alias("sign")).select("who", F.col("who.row").alias("row"), "fp", "keys", "sign"), "near-kinds")
 
     def crowded(members: DataFrame) -> DataFrame:
         """(h, row, n) of buckets with more than one member."""
@@ -207,7 +222,9 @@ def keep_one(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, b
         return members.join(sizes, "h").select("h", "row", "n")
 
     members = common.materialise(crowded(kinds.select(F.explode("keys").alias("h"), "row")), "near-members")
-    texts = common.materialise(keyed.select(F.col(key).alias("row"), F.col(text_col).alias("text")).join(members.select("row").distinct().hint("merge"), "row", "left_semi"), "near-texts")
+    stars, trie = _trie_links(kinds, max_bits)
+    needed = members.select("row").unionByName(stars.select(F.explode(F.array("a", "b")).alias("row"))).distinct()
+    texts = common.materialise(keyed.select(F.col(key).alias("row"), F.col(text_col).alias("text")).join(needed.hint("merge"), "row", "left_semi"), "near-texts")
     gone = []
 
     def settle(pairs: DataFrame) -> None:
@@ -216,16 +233,27 @@ def keep_one(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, b
         first = groups.groupBy("root").agg(F.min("who").alias("kept")).select(F.col("kept.row").alias("node"))
         gone.append(common.materialise(groups.select("node").join(first, "node", "left_anti").select(F.col("node").alias("row")), "near-gone"))
 
-    if not members.isEmpty():
-        chosen = members.groupBy("h").agg(F.min("row").alias("rep"))
-        settle(common.materialise(members.join(chosen, "h").where("row <> rep").select(F.col("rep").alias("a"), F.col("row").alias("b")).distinct(), "near-pairs"))
-        members = common.materialise(crowded(members.select("h", "row").join(gone[0], "row", "left_anti")), "near-members")
+    def left_of(rows: DataFrame, *columns: str) -> DataFrame:
+        """rows without those of kinds that go."""
+        for late in gone:
+            for c in columns:
+                rows = rows.join(late.select(F.col("row").alias(c)), c, "left_anti")
+        return rows
+
+    if not stars.isEmpty():
+        settle(stars)
+        members = common.materialise(crowded(left_of(members.select("h", "row"), "row")), "near-members")
+        trie = left_of(trie, "a", "b")
+    chosen = members.groupBy("h").agg(F.min("row").alias("rep"))
+    pairs = members.join(chosen, "h").where("row <> rep").select(F.col("rep").alias("a"), F.col("row").alias("b"))
+    pairs = common.materialise(pairs.unionByName(trie.select("a", "b")).distinct(), "near-pairs")
+    if not pairs.isEmpty():
+        settle(pairs)
+        members = common.materialise(crowded(left_of(members.select("h", "row"), "row")), "near-members")
     if not members.isEmpty():
         left = texts.join(members.select("row").distinct(), "row", "left_semi")
         shingled = common.materialise(_shingled(left, shingle_words), "near-shingles")
         settle(common.materialise(_linked(members, kinds, shingled, similarity, block), "near-pairs"))
-    kept = kinds.select("row")
-    for late in gone:
-        kept = kept.join(late, "row", "left_anti")
+    kept = left_of(kinds.select("row"), "row")
     # as many rows as documents: never a broadcast
     return keyed.join(kept.select(F.col("row").alias(key)).hint("merge"), key, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -120,6 +120,24 @@ def test_near_dedup_removes_pairs_at_the_stated_similarity(spark, tmp_path):
     assert 1 <= len(sets) < 80 and all(len(a & b) < 0.8 * len(a | b) for j, a in enumerate(sets) for b in sets[:j])
 
 
+def test_near_dedup_goes_through_the_trie(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(0, 60, 2):
+        words = ["".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(200)]
+        rows += [(i, " ".join(words), "en", "s", 1), (i + 1, " ".join(words[:-1]), "en", "s", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    apart = {i: int(np.bitwise_count(np.bitwise_xor(*simhash.fingerprints([rows[i][1], rows[i + 1][1]], 5)))) for i in range(0, 60, 2)}
+    assert sum(n <= 6 for n in apart.values()) > 20
+    # without bands the trie alone finds the pairs within its bits
+    monkeypatch.setattr(neardup, "band_keys", lambda lists, *_: (rng.integers(0, 2**63, (len(lists), neardup.BANDS)).astype(np.uint64), np.zeros((len(lists), neardup.BANDS * neardup.ROWS), np.uint8)))
+    stars, links = neardup._trie_links(docs.sparkSession.createDataFrame([(i, [1], int(simhash.fingerprints([t], 5).view(np.int64)[0])) for i, t, *_ in rows], "row long, keys array<int>, fp long"), 6)
+    assert {i for i, n in apart.items() if n <= 6} <= {r.a for r in stars.collect()} and links.count()
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()}
+    assert {i + 1 for i in apart} - kept >= {i + 1 for i, n in apart.items() if n <= 6} and {*apart} <= kept
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
