@@ -25,6 +25,7 @@ from . import store
 #: Index: (keys, what lists hold), as store.merged() takes them.
 INDEXES = {"segments": store.SEGMENTS, "sessions": store.SESSIONS, "threads": store.THREADS, "actors": store.ACTORS}
 BUCKETS = 32
+_AT = "__sessionloom_at"
 _LAYER = ["bucket", "first", "last"]
 
 
@@ -75,16 +76,28 @@ def known_ids(spark: SparkSession, root: str, batch: DataFrame, number: int, buc
 
 
 def new_events(batch: DataFrame, root: str, number: int, buckets: int = BUCKETS) -> DataFrame:
-    """First arrivals of a batch that the store doesn't have from another batch."""
-    if not tables.exists(batch.sparkSession, f"{root}/ids"):
-        return store.first_arrivals(batch)
-    return store.first_arrivals(batch).join(known_ids(batch.sparkSession, root, batch, number, buckets), store.KEY, "left_anti")
+    """First arrivals of a batch that the store doesn't have from another batch.
+
+    The batch is stored with its rows' numbers; only ids and numbers are grouped and held against the store, and of the
+    rows that stay and those that go the fewer are joined with the stored batch. So events themselves are not shuffled
+    or sorted unless both are many.
+    """
+    spark = batch.sparkSession
+    rows = tables.stored(batch.withColumn(_AT, F.monotonically_increasing_id()), "indexed-batch")
+    kept = rows.groupBy(*store.KEY).agg(F.min_by(_AT, F.coalesce("arrival_seq", F.lit((1 << 63) - 1))).alias(_AT))
+    if tables.exists(spark, f"{root}/ids"):
+        kept = kept.join(known_ids(spark, root, rows, number, buckets), store.KEY, "left_anti")
+    kept = tables.stored(kept.select(_AT), "indexed-kept")
+    n, m = rows.count(), kept.count()
+    if m < n:
+        rows = rows.join(kept, _AT, "left_semi") if m <= n - m else rows.join(tables.stored(rows.select(_AT).join(kept, _AT, "left_anti"), "indexed-gone"), _AT, "left_anti")
+    return rows.drop(_AT)
 
 
 def add(batch: DataFrame, root: str, number: int, buckets: int = BUCKETS) -> DataFrame:
     """Add a batch's new events to the store and to its indexes; they are returned. A batch has a number of its own and keeps it when it is run again."""
     spark = batch.sparkSession
-    new = tables.stored(new_events(batch, root, number, buckets), "indexed-new")
+    new = new_events(batch, root, number, buckets)
     if new.isEmpty():
         return new
     for name in INDEXES:

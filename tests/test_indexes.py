@@ -172,3 +172,17 @@ def test_numbers_follow_the_order(spark):
     df = spark.range(5000).select(F.xxhash64("id").alias("x"), (F.col("id") % 7).alias("y"))
     rows = tables.numbered(df.repartition(9), ["y", "x"], "place").collect()
     assert [r.place for r in sorted(rows, key=lambda r: (r.y, r.x))] == list(range(5000))
+
+
+def test_a_batch_is_deduplicated_by_ids_and_numbers_alone(spark, tmp_path):
+    from sessionloom.operators import indexes, store
+
+    rows = [("1", "codex_exec", "r", "u", "s", "t", "2024-01-01T00:00:00Z", "x", "{}", "full", seq) for seq in (3, 1, None)] + [("2", "codex_exec", "r", "u", "s", "t", "2024-01-01T00:00:00Z", "x", "{}", "full", None)]
+    batch, root = spark.createDataFrame(rows, schema.ENVELOPE), str(tmp_path / "root")
+    found = indexes.new_events(batch, root, 0)
+    # what arrives without a number comes last and isn't lost; events are not grouped, so not sorted as wide rows
+    assert sorted((r.event_id, r.arrival_seq) for r in found.collect()) == [("1", 1), ("2", None)]
+    assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.event_id for r in indexes.add(batch, root, 0).collect()} == {"1", "2"}
+    again = spark.createDataFrame([(*r[:2], "r", *r[3:]) for r in rows[:1]] + [("3", *rows[0][1:])], schema.ENVELOPE)
+    assert [r.event_id for r in indexes.new_events(again, root, 1).collect()] == ["3"]
