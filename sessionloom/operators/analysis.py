@@ -79,9 +79,15 @@ def session_contributors(prompts_: DataFrame, thoughts: DataFrame, files: DataFr
     prompts_ has prompt_id, actor_id and ts; thoughts and files have one row for each thought and for each file of a slice.
     """
     per = [*keys, "prompt_id"]
-    t = thoughts.groupBy(*per).agg(F.count("*").alias("t"))
-    f = files.groupBy(*per).agg(F.count_distinct("path").alias("f"))
-    rows = prompts_.join(t, per, "left").join(f, per, "left")
+    # slices are dealt out before they are counted, and not gathered into fewer tasks again: a task's sums are those of one
+    # shuffle partition, however long its part of the input is, and all counts and the join need no other shuffle of files
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    paths = files.select(*per, "path").repartition(parts, *per).groupBy(*per, "path").agg(F.count("*").alias("t"))
+    counted = paths.groupBy(*per).agg(F.count("path").alias("f"), F.sum("t").alias("t"))
+    if thoughts is not files:
+        t = thoughts.groupBy(*per).agg(F.count("*").alias("t"))
+        counted = t.join(counted.drop("t"), per, "full")
+    rows = prompts_.select(*keys, "prompt_id", "actor_id", "ts").join(counted, per, "left")
     return rows.groupBy(*keys, F.coalesce("actor_id", F.lit("unknown")).alias("actor")).agg(F.count("*").alias("prompt_count"), F.sum(F.coalesce("t", F.lit(0))).alias("thought_count"), F.sum(F.coalesce("f", F.lit(0))).alias("file_count"), F.max("ts").alias("last_ts")).orderBy(*keys, F.desc("prompt_count"), F.desc("last_ts"))
 
 

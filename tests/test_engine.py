@@ -332,3 +332,17 @@ def test_item_types_are_filtered_in_the_scan(spark, tmp_path, indexed):
     old = str(tmp_path / "old")
     store.dated(ev).write.partitionBy("repo_id", "event_date").parquet(old)
     assert Engine(spark, old).timeline_count(item_type="reasoning") == len(wanted)
+
+
+def test_contributors_deal_slices_out_before_they_count(spark):
+    prompts = spark.createDataFrame([("s", 1, "a", "t1"), ("s", 2, None, "t2"), ("s", 3, "a", "t3")], "session_id string, prompt_id long, actor_id string, ts string")
+    files = spark.createDataFrame([("s", 1, "x"), ("s", 1, "x"), ("s", 1, None), ("s", 2, "y")], "session_id string, prompt_id long, path string")
+    thoughts = spark.createDataFrame([("s", 3), ("s", 3), ("s", 2)], "session_id string, prompt_id long")
+    columns = ["actor", "prompt_count", "thought_count", "file_count", "last_ts"]
+    both = analysis.session_contributors(prompts, files, files, ["session_id"])
+    assert [tuple(r) for r in both.select(columns).collect()] == [("a", 2, 3, 1, "t3"), ("unknown", 1, 1, 1, "t2")]
+    apart = analysis.session_contributors(prompts, thoughts, files, ["session_id"])
+    assert [tuple(r) for r in apart.select(columns).collect()] == [("a", 2, 2, 1, "t3"), ("unknown", 1, 1, 1, "t2")]
+    # files are shuffled once, as rows, before any sum over them
+    plan = both._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1
