@@ -8,11 +8,12 @@ a file, the sequence) is a scan in two steps over chunks of a file's lines.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import or_
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,25 +30,46 @@ _EVENT = T.StructType([T.StructField("event_type", T.StringType()), T.StructFiel
 _LINE = T.StructType([T.StructField("ok", T.BooleanType()), T.StructField("ts", T.StringType()), T.StructField("session_id", T.StringType()), T.StructField("cwd", T.StringType()), T.StructField("actor_id", T.StringType()), T.StructField("events", T.ArrayType(_EVENT))])
 
 
+#: Characters of lines that are Python objects at once.
+_SLICE_CHARS = 1_000_000
+
+
 def _projection(project: Callable[[dict], tuple]):
-    @F.pandas_udf(_LINE)
-    def run(lines: pd.Series) -> pd.DataFrame:
-        rows = []
-        for line in lines:
-            try:
-                value = json.loads(line)
-            except (TypeError, ValueError):
-                value = None
-            if not isinstance(value, dict):
-                rows.append((False, None, None, None, None, []))
-                continue
-            ts, session, cwd, actor, events = project(value)
-            rows.append((True, ts, session, cwd, actor, [{"event_type": t, "payload_json": json.dumps(p, ensure_ascii=False, separators=(",", ":"))} for t, p in events]))
-        return pd.DataFrame(rows, columns=_LINE.names)
+    """Lines projected; a task holds an Arrow batch and the objects of one slice of it, however many lines a batch has."""
+    event = pa.struct([("event_type", pa.string()), ("payload_json", pa.string())])
+    shape = pa.struct([("ok", pa.bool_()), ("ts", pa.string()), ("session_id", pa.string()), ("cwd", pa.string()), ("actor_id", pa.string()), ("events", pa.list_(event))])
+
+    def projected(line: str | None) -> dict:
+        try:
+            value = json.loads(line)
+        except (TypeError, ValueError):
+            value = None
+        if not isinstance(value, dict):
+            return {"ok": False, "events": []}
+        ts, session, cwd, actor, events = project(value)
+        said = [{"event_type": t, "payload_json": json.dumps(p, ensure_ascii=False, separators=(",", ":"))} for t, p in events]
+        return {"ok": True, "ts": ts, "session_id": session, "cwd": cwd, "actor_id": actor, "events": said}
+
+    @F.arrow_udf(_LINE)
+    def run(lines: pa.Array) -> pa.Array:
+        parts = [pa.array([], shape)]
+        for a, b in _slices(lines):
+            parts.append(pa.array([projected(line) for line in lines.slice(a, b - a).to_pylist()], shape))
+        return pa.concat_arrays(parts)
 
     return run
 
 
+def _slices(lines: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges [a, b) of lines with about _SLICE_CHARS bytes each, at least one line."""
+    ends = pc.cumulative_sum(pc.cast(pc.fill_null(pc.binary_length(lines), 0), pa.int64())).to_numpy(zero_copy_only=False)
+    a = 0
+    while a < len(lines):
+        b = max(a + 1, int(ends.searchsorted((ends[a - 1] if a else 0) + _SLICE_CHARS, side="right")))
+        yield a, b
+        a = b
+
+
 def read_lines(spark: SparkSession, root: str | list[str]) -> DataFrame:
     """(file, size_bytes, modified_at, line_no, line) of all .jsonl files below root, or of the files named; blank lines don't count.
 

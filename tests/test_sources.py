@@ -144,3 +144,13 @@ def test_codex_exec_command_patch():
 def test_ownership_needs_a_separator(spark):
     df = spark.createDataFrame([("/a/b",), ("/a/b/c",), ("/a/bc",), (None,)], "cwd string")
     assert [r.o for r in df.select(histories.owned(F.col("cwd"), ["/a/b"]).alias("o")).collect()] == [True, True, False, False]
+
+
+def test_lines_are_projected_in_slices_whatever_a_batch_holds():
+    import pyarrow as pa
+
+    lines = pa.array([None, "x" * 2_500_000, "", *["y" * 1000] * 3000])
+    ranges = list(histories._slices(lines))
+    assert [a for a, _ in ranges] == [0, *(b for _, b in ranges[:-1])] and ranges[-1][1] == len(lines)
+    assert all(b - a == 1 or sum(len(x or "") for x in lines.slice(a, b - a).to_pylist()) <= 1_000_000 for a, b in ranges)
+    assert list(histories._slices(lines.slice(0, 0))) == []
