@@ -3,8 +3,8 @@
 A text is the sequence of the subword ids of its lower-cased words, and one end. The model gives the probability of
 
 * the next id (or the end) by a two-level softmax over a causal self-attention layer's hidden state: the first level
-  has the end, the most frequent ids one by one, one class of `middle` ids and some tail classes (bands of frequency);
-  middle ids are told apart by a second softmax over the same state, ids of a tail class by their counts;
+  has the end, the most frequent ids one by one, some classes of `middle` ids and some tail classes (bands of frequency);
+  the ids of a middle class are told apart by a second softmax over the same state, ids of a tail class by their counts;
 * whether the word ends after an id, by that id's counts.
 
 At every place the probabilities of all that can follow sum to 1, so a word has the product over its subwords and ends,
@@ -13,12 +13,13 @@ linear maps of it, and a learned bias of the distance stands for positions. Wind
 scores the tokens of its second block with the first as context, so every token is scored once; windows are batched and
 masked in numpy.
 
-What is gathered from the corpus: counts of words and of subwords over all training documents, in Spark. The layer is
+What is gathered from the corpus: counts of words and of subwords over all training documents, in Spark. The pass that
+counts stores the rows of every text, from which the layer is trained and texts are scored. The layer is
 trained in every task on its part of all training documents; the tasks' parameters are averaged in a tree. Where they
 begin are parameters from `start_docs` documents on the driver, so that the tasks' models are near enough to average.
 `train_share` is for trials: 1, the default, takes all. Word counts never meet on the driver or in one table: a block is `block_docs` consecutive documents, a task emits
 the distinct words of its blocks, a window over each word's hash sums them, and each block gets its own words back, in
-one shuffle in which its words sort before its texts. A word has at most a few rows for each block, so no word is hot.
+one shuffle in which its words and its texts' scores by the layer sort before its texts. A word has at most a few rows for each block, so no word is hot.
 
 Null and empty texts are one end. Equal texts have equal base scores; their scores agree to the rounding of 32-bit
 matrix products. With no training document every count is 0. A word that the tokenizer drops is one id of its own.
@@ -34,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +52,8 @@ class Layout:
 
     head_of: np.ndarray
     middle_of: np.ndarray
+    class_of: np.ndarray
+    edges: np.ndarray
     log_inside: np.ndarray
     log_last: np.ndarray
     log_more: np.ndarray
@@ -59,17 +63,23 @@ class Layout:
     embeds: int
 
     @classmethod
-    def of(cls, tokens: np.ndarray, last: np.ndarray, singles: int = 47, middle: int = 192, tails: int = 15, embeds: int = 4096) -> Layout:
-        """tokens and last: for each row, how often it occurs in training text, and how often at the end of a word."""
+    def of(cls, tokens: np.ndarray, last: np.ndarray, singles: int = 47, middle: int = 192, tails: int = 15, embeds: int = 4096, classes: int = 4) -> Layout:
+        """tokens and last: for each row, how often it occurs in training text, and how often at the end of a word.
+
+        Middle ids are numbered by middle_of; class c of them holds the numbers edges[c] to edges[c + 1], and class_of gives a number's class.
+        """
         size = len(tokens)
         order = 1 + np.argsort(-tokens[1:], kind="stable")
         head_of, middle_of, log_inside = np.zeros(size, np.int64), np.full(size, -1), np.zeros(size)
         single, mid, rest = order[:singles], order[singles : singles + middle], order[singles + middle :]
         head_of[single] = 1 + np.arange(len(single))
         heads = 1 + len(single)
+        classes = min(classes, len(mid))
+        edges = np.arange(classes + 1) * len(mid) // max(1, classes)
+        class_of = np.repeat(np.arange(classes), np.diff(edges)).astype(np.uint8)
         if len(mid):
-            head_of[mid], middle_of[mid] = heads, np.arange(len(mid))
-            heads += 1
+            head_of[mid], middle_of[mid] = heads + class_of, np.arange(len(mid))
+            heads += classes
         if len(rest):
             smooth = tokens[rest] + 0.5
             band = np.minimum((np.cumsum(smooth) - smooth) / smooth.sum() * tails, tails - 1).astype(np.int64)
@@ -82,7 +92,15 @@ class Layout:
         embed_of[END] = 0
         own = order[: embeds - 2]
         embed_of[own] = 2 + np.arange(len(own))
-        return cls(head_of, middle_of, log_inside, np.log(share), np.log1p(-share), embed_of, heads, len(mid), len(own) + 2)
+        return cls(head_of, middle_of, class_of, edges, log_inside, np.log(share), np.log1p(-share), embed_of, heads, len(mid), len(own) + 2)
+
+    def by_class(self, numbers: np.ndarray) -> tuple[np.ndarray, list[tuple[slice, slice]]]:
+        """(the places of middle numbers (-1: none), those of a class together; for each class that occurs, which of these places and which numbers are its own)."""
+        at = np.flatnonzero(numbers >= 0)
+        kinds = self.class_of[numbers[at]]
+        ends = np.cumsum(np.bincount(kinds, minlength=len(self.edges) - 1)).tolist()
+        parts = zip([0, *ends], ends, self.edges.tolist(), self.edges[1:].tolist())  # noqa: B905
+        return at[np.argsort(kinds, kind="stable")], [(slice(a, b), slice(lo, hi)) for a, b, lo, hi in parts if b > a]
 
 
 @dataclass
@@ -154,12 +172,13 @@ def log_probabilities(m: AttentionModel, hidden: np.ndarray, rows: np.ndarray) -
     logits = hidden @ m.head + m.head_bias
     logits = logits - logits.max(axis=-1, keepdims=True)
     out = np.take_along_axis(logits, lay.head_of[rows][..., None], -1)[..., 0] - np.log(np.exp(logits).sum(axis=-1))
-    second = lay.middle_of[rows]
-    mid = second >= 0
-    if mid.any():
-        logits = hidden[mid] @ m.middle + m.middle_bias
-        logits = logits - logits.max(axis=-1, keepdims=True)
-        out[mid] += logits[np.arange(len(logits)), second[mid]] - np.log(np.exp(logits).sum(axis=-1))
+    out, second = np.asarray(out), lay.middle_of[rows]
+    for lo, hi in zip(lay.edges[:-1], lay.edges[1:], strict=True):
+        mid = (second >= lo) & (second < hi)
+        if mid.any():
+            logits = hidden[mid] @ m.middle[:, lo:hi] + m.middle_bias[lo:hi]
+            logits = logits - logits.max(axis=-1, keepdims=True)
+            out[mid] += logits[np.arange(len(logits)), second[mid] - lo] - np.log(np.exp(logits).sum(axis=-1))
     return out + lay.log_inside[rows]
 
 
@@ -173,13 +192,15 @@ def gradients(m: AttentionModel, inputs: np.ndarray, usable: np.ndarray, rows: n
     flat = lambda a: a.reshape(-1, a.shape[-1])
     out = {"head": flat(hidden).T @ flat(g), "head_bias": flat(g).sum(axis=0), "middle": np.zeros_like(m.middle), "middle_bias": np.zeros_like(m.middle_bias)}
     gh = g @ m.head.T
-    mid = (m.layout.middle_of[rows] >= 0) & scored
-    if mid.any():
-        g = _softmax(hidden[mid] @ m.middle + m.middle_bias)
-        g[np.arange(len(g)), m.layout.middle_of[rows][mid]] -= 1
-        g /= n
-        out["middle"], out["middle_bias"] = hidden[mid].T @ g, g.sum(axis=0)
-        gh[mid] += g @ m.middle.T
+    second = m.layout.middle_of[rows]
+    for lo, hi in zip(m.layout.edges[:-1], m.layout.edges[1:], strict=True):
+        mid = (second >= lo) & (second < hi) & scored
+        if mid.any():
+            g = _softmax(hidden[mid] @ m.middle[:, lo:hi] + m.middle_bias[lo:hi])
+            g[np.arange(len(g)), second[mid] - lo] -= 1
+            g /= n
+            out["middle"][:, lo:hi], out["middle_bias"][lo:hi] = hidden[mid].T @ g, g.sum(axis=0)
+            gh[mid] += g @ m.middle[:, lo:hi].T
     last = x[:, m.block :]
     out["we"] = flat(last).T @ flat(gh)
     gv, gw = weight.transpose(0, 2, 1) @ gh, gh @ v.transpose(0, 2, 1)
@@ -196,90 +217,124 @@ def gradients(m: AttentionModel, inputs: np.ndarray, usable: np.ndarray, rows: n
     return out
 
 
-def stream_gradients(m: AttentionModel, inputs: np.ndarray, rows: np.ndarray, scored: np.ndarray) -> dict[str, np.ndarray]:
+def stream_gradients(m: AttentionModel, inputs: np.ndarray, rows: np.ndarray, scored: np.ndarray, shift: bool = False) -> dict[str, np.ndarray]:
     """gradients() of the windows of neighbouring blocks of a stream: its inputs (-1: none), and for each place the row to score, if any.
 
     Keys and values of a block are computed once for both windows that it stands in, softmaxes for scored places alone.
+    Exponents are shifted by their maximum only when sums without that leave the range of 32-bit numbers.
     """
-    s, lay = m.block, m.layout
+    s, lay, kind = m.block, m.layout, m.embed.dtype
     n = len(inputs) // s - 1
     empty = inputs < 0
     numbers = lay.embed_of[np.maximum(inputs, 0)]
     x = m.embed[numbers]
     x[empty] = 0
-    last = x[s:]
-    scale = np.sqrt(m.wq.shape[1]).astype(m.wq.dtype)
-    q, k, v = (last @ m.wq / scale).reshape(n, s, -1), x @ m.wk, x @ m.wv
-    pair = lambda a: np.lib.stride_tricks.as_strided(a, (n, 2 * s, a.shape[1]), (s * a.strides[0], *a.strides))
-    kw, vw = pair(k), pair(v)
+    d, h = m.wk.shape[1], m.wv.shape[1]
+    scale = np.sqrt(d).astype(kind)
+    # all maps of an input by one product; keys have one more place, which keeps out empty inputs, and values a 1, which adds up weights
+    value, query, rest = d + 1, d + h + 2, 2 * d + h + 3
+    maps = np.zeros((x.shape[1], rest + h + 1), kind)
+    maps[:, :d], maps[:, value : value + h], maps[:, query : query + d], maps[:, rest : rest + h] = m.wk, m.wv, m.wq / scale, m.we
+    p = x @ maps
+    p[:, d], p[:, value + h], p[:, query + d] = np.where(empty, kind.type(-1e30), kind.type(0)), 1, 1
+
+    def view(first: int, width: int, skip: int, length: int) -> np.ndarray:
+        return np.lib.stride_tricks.as_strided(p[skip:, first:], (n, length, width), (s * p.strides[0], *p.strides))
+
+    q, k, v = view(query, d + 1, s, s), view(0, d + 1, 0, 2 * s), view(value, h + 1, 0, 2 * s)
     back = m.distances()
-    weight = q @ kw.transpose(0, 2, 1)
-    weight += np.where(back >= 0, m.distance[np.maximum(back, 0)], np.float32(-1e4))
-    weight += pair(empty[:, None] * np.float32(-1e4)).transpose(0, 2, 1)
-    weight -= weight.max(axis=2, keepdims=True)
-    np.exp(weight, out=weight)
-    weight *= 1 / (weight @ np.ones((2 * s, 1), weight.dtype))
-    hidden = last @ m.we + (weight @ vw).reshape(n * s, -1)
-
+    near = back >= 0
     at = np.flatnonzero(scored[s:])
-    own, state = rows[s:][at], hidden[at]
-    total = np.float32(max(1, len(at)))
+    sums = []
 
-    def error(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
-        logits -= logits.max(axis=1, keepdims=True)
+    def exponents(logits: np.ndarray) -> None:
+        if shift:
+            logits -= logits.max(axis=-1, keepdims=True)
         np.exp(logits, out=logits)
-        logits *= 1 / (total * (logits @ np.ones((logits.shape[1], 1), logits.dtype)))
-        logits[np.arange(len(target)), target] -= 1 / total
-        return logits
-
-    g = error(state @ m.head + m.head_bias, lay.head_of[own])
-    out = {"head": state.T @ g, "head_bias": g.sum(axis=0), "middle": np.zeros_like(m.middle), "middle_bias": np.zeros_like(m.middle_bias)}
-    gh = np.zeros_like(hidden)
-    gh[at] = g @ m.head.T
-    second = lay.middle_of[own]
-    mid = np.flatnonzero(second >= 0)
-    if len(mid):
-        g = error(state[mid] @ m.middle + m.middle_bias, second[mid])
-        out["middle"], out["middle_bias"] = state[mid].T @ g, g.sum(axis=0)
-        gh[at[mid]] += g @ m.middle.T
-    out["we"] = last.T @ gh
-    ghw = gh.reshape(n, s, -1)
-    gs = ghw @ vw.transpose(0, 2, 1)
-    gs -= (gs * weight).sum(axis=2, keepdims=True)
-    gs *= weight
-    out["distance"] = np.bincount(back[back >= 0], gs.sum(axis=0)[back >= 0], 2 * s)
 
-    def both(a: np.ndarray) -> np.ndarray:
-        """A gradient by windows, added up by place."""
-        sums = np.zeros((n + 1, s, a.shape[2]), a.dtype)
-        sums[:-1] += a[:, :s]
-        sums[1:] += a[:, s:]
-        return sums.reshape((n + 1) * s, -1)
-
-    gq, gk, gv = (gs @ kw / scale).reshape(n * s, -1), both(gs.transpose(0, 2, 1) @ q), both(weight.transpose(0, 2, 1) @ ghw)
-    out |= {"wq": last.T @ gq, "wk": x.T @ gk, "wv": x.T @ gv}
-    gx = gk @ m.wk.T + gv @ m.wv.T
-    gx[s:] += gh @ m.we.T + gq @ m.wq.T
-    gx[empty] = 0
-    dims = gx.shape[1]
-    out["embed"] = np.bincount((numbers[:, None] * dims + np.arange(dims)).reshape(-1), gx.reshape(-1), m.embed.size).reshape(m.embed.shape).astype(m.embed.dtype)
+    with np.errstate(over="ignore", invalid="ignore"):
+        weight = q @ k.transpose(0, 2, 1)
+        weight += np.where(near, m.distance[np.maximum(back, 0)], kind.type(-1e30))
+        exponents(weight)
+        attended = (weight @ v).reshape(n * s, h + 1)
+        sums.append(attended[at, h])
+        share = 1 / np.maximum(attended[:, h:], kind.type(1e-30))
+        attended *= share
+        hidden = attended + p[s:, rest:]
+        own, state = rows[s:][at], hidden[at]
+        total = kind.type(max(1, len(at)))
+
+        def error(state: np.ndarray, weights: np.ndarray, bias: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Gradients of weights, bias and states (which end with a 1)."""
+            logits = state @ np.concatenate([weights, bias[None]])
+            exponents(logits)
+            sums.append(logits @ np.ones(logits.shape[1], kind))
+            logits *= (1 / (total * sums[-1]))[:, None]
+            logits.reshape(-1)[np.arange(0, logits.size, logits.shape[1]) + target] -= 1 / total
+            g = state.T @ logits
+            return g[:-1], g[-1], logits @ weights.T
+
+        out = {"middle": np.zeros_like(m.middle), "middle_bias": np.zeros_like(m.middle_bias)}
+        out["head"], out["head_bias"], g = error(state, m.head, m.head_bias, lay.head_of[own])
+        second = lay.middle_of[own]
+        mid, classes = lay.by_class(second)
+        state, second, more = state[mid], second[mid], np.empty((len(mid), h), kind)
+        for some, ids in classes:
+            out["middle"][:, ids], out["middle_bias"][ids], more[some] = error(state[some], m.middle[:, ids], m.middle_bias[ids], second[some] - ids.start)
+        if not shift and any(len(x) and not (x.min() > 1e-25 and x.max() < 1e25) for x in sums):
+            return stream_gradients(m, inputs, rows, scored, shift=True)
+    g[mid] += more
+    # of attention's sums before they are divided by those of weights; the last column stands for the division
+    gh = np.zeros((n * s, h + 1), kind)
+    gh[at, :h] = g
+    gm = gh * share
+    gm[:, h] = -np.einsum("ij,ij->i", gm[:, :h], attended[:, :h])
+    gm = gm.reshape(n, s, h + 1)
+    gs = gm @ v.transpose(0, 2, 1)
+    gs *= weight
+    out["distance"] = np.bincount(back[near], (np.ones(n, kind) @ gs.reshape(n, -1)).reshape(s, -1)[near], 2 * s)
+    gp = np.zeros(p.shape, kind)
+    by_block = gp.reshape(n + 1, s, -1)
+    for to, found in ((slice(0, value), gs.transpose(0, 2, 1) @ q), (slice(value, query), weight.transpose(0, 2, 1) @ gm)):
+        by_block[1:, :, to] = found[:, s:]
+        by_block[:-1, :, to] += found[:, :s]
+    by_block[1:, :, query:rest] = gs @ k
+    gp[s:, rest:] = gh
+    gp[empty] = 0
+    g = x.T @ gp
+    out |= {"wk": g[:, :d], "wv": g[:, value : value + h], "wq": g[:, query : query + d] / scale, "we": g[:, rest : rest + h]}
+    out["embed"], dims = np.zeros_like(m.embed), x.shape[1]
+    np.add.at(out["embed"].reshape(-1), (numbers[:, None] * dims + np.arange(dims)).reshape(-1), (gp @ maps.T).reshape(-1))
     return out
 
 
 class Adam:
-    """Steps on a model's parts, in place."""
+    """Steps on a model's parts, in place: from now on they are views of one vector, .flat."""
 
     def __init__(self, m: AttentionModel) -> None:
-        self.m, self.steps = m, 0
-        self._moment = {p: (np.zeros_like(getattr(m, p)), np.zeros_like(getattr(m, p))) for p in m.PARTS}
+        self.steps, self.flat, at = 0, m.vector(), 0
+        for p in m.PARTS:
+            part = getattr(m, p)
+            setattr(m, p, self.flat[at : at + part.size].reshape(part.shape))
+            at += part.size
+        self._parts = m.PARTS
+        self._mean, self._square = np.zeros_like(self.flat), np.zeros_like(self.flat)
 
     def step(self, g: dict[str, np.ndarray], rate: float) -> None:
         self.steps += 1
-        for p, (a, b) in self._moment.items():
-            a += 0.1 * (g[p] - a)
-            b += 0.01 * (g[p] ** 2 - b)
-            part = getattr(self.m, p)
-            part -= (rate * (a / (1 - 0.9**self.steps)) / (np.sqrt(b / (1 - 0.99**self.steps)) + 1e-8)).astype(part.dtype)
+        g = np.concatenate([g[p].reshape(-1) for p in self._parts]).astype(self.flat.dtype, copy=False)
+        mean, square = self._mean, self._square
+        mean += 0.1 * (g - mean)
+        g *= g
+        g -= square
+        g *= 0.01
+        square += g
+        np.multiply(square, 1 / (1 - 0.99**self.steps), out=g)
+        np.sqrt(g, out=g)
+        g += 1e-8
+        np.divide(mean, g, out=g)
+        g *= rate / (1 - 0.9**self.steps)
+        self.flat -= g
 
 
 def stream(rows: np.ndarray, counts: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
@@ -321,12 +376,14 @@ class FastScorer:
         self._d, self._h = d + 1, h + 1
         self._at = np.cumsum([0, d + 1, h + 1, d + 1])  # where keys, values, queries and what inputs add themselves begin
         key, value, query, rest = self._at
-        table = np.zeros((e + 1, rest + h), np.float32)
-        table[:e, key : key + d], table[e, key + d] = m.embed @ m.wk, -1e4
+        table = np.zeros((e + 1, rest + h + 1), np.float32)
+        table[:e, key : key + d], table[e, key + d] = m.embed @ m.wk, -1e30
         table[:e, value : value + h], table[:, value + h] = m.embed @ m.wv, 1
         table[:e, query : query + d], table[:, query + d] = m.embed @ m.wq / np.sqrt(d).astype(np.float32), 1
-        table[:e, rest:] = m.embed @ m.we
+        table[:e, rest : rest + h] = m.embed @ m.we
         self._table = table
+        # states end with a 1, for the biases
+        self._head, self._middle = np.vstack([m.head, m.head_bias]), np.vstack([m.middle, m.middle_bias])
         back = m.distances()
         self._near = np.where(back >= 0, np.exp(m.distance[np.maximum(back, 0)]), 0).astype(np.float32)
         norm = lambda a: float(np.sqrt((a**2).sum(axis=-1)).max())
@@ -337,11 +394,11 @@ class FastScorer:
     def _log_softmax_at(self, logits: np.ndarray, target: np.ndarray) -> np.ndarray:
         if self._shift:
             logits -= logits.max(axis=1, keepdims=True)
-        own = logits[np.arange(len(target)), target]
+        own = logits.reshape(-1)[np.arange(0, logits.size, logits.shape[1]) + target]
         np.exp(logits, out=logits)
         return own - np.log(logits @ np.ones(logits.shape[1], logits.dtype))
 
-    def __call__(self, rows: np.ndarray, counts: np.ndarray, batch: int = 256) -> np.ndarray:
+    def __call__(self, rows: np.ndarray, counts: np.ndarray, batch: int = 512) -> np.ndarray:
         m, lay, s, d, h = self.m, self.m.layout, self.m.block, self._d, self._h
         key, value, query, rest = self._at
         inputs, places = stream(rows, counts, s)
@@ -364,16 +421,15 @@ class FastScorer:
             np.exp(weight, out=weight)
             weight *= self._near
             mixed = (weight @ view(value, h, 0, 2 * s)).reshape(n * s, h)
-            hidden = mixed[:, :-1] / np.maximum(mixed[:, -1:], np.float32(1e-30))
-            hidden += g[s:, rest:]
+            mixed /= np.maximum(mixed[:, -1:], np.float32(1e-30))
+            mixed += g[s:, rest:]
             own = slice(a + s, a + (n + 1) * s)
-            logits = hidden @ m.head
-            logits += m.head_bias
-            out[own] = self._log_softmax_at(logits, head[own])
+            out[own] = self._log_softmax_at(mixed @ self._head, head[own])
             second = middle[own]
-            mid = np.flatnonzero(second >= 0)
-            if len(mid):
-                out[a + s + mid] += self._log_softmax_at(hidden[mid] @ m.middle + m.middle_bias, second[mid])
+            mid, classes = lay.by_class(second)
+            state, second = mixed[mid], second[mid]
+            for some, ids in classes:
+                out[a + s + mid[some]] += self._log_softmax_at(state[some] @ self._middle[:, ids], second[some] - ids.start)
         return out[places].astype(np.float64) + lay.log_inside[rows]
 
 
@@ -388,6 +444,11 @@ class Words:
         """How many rows there are."""
         return self._encoder.vocabulary_size + FIRST
 
+    @property
+    def kind(self) -> type:
+        """The number type of stored rows."""
+        return np.uint16 if self.rows <= 1 << 16 else np.uint32
+
     def split(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """(distinct words, their numbers in the texts end to end, how many words each text has)."""
         lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
@@ -408,14 +469,63 @@ class Words:
         empty = np.flatnonzero(counts == 0)
         return np.insert(rows, np.cumsum(counts)[empty], DROPPED), np.maximum(counts, 1)
 
+    def joined(self, rows: np.ndarray, sizes: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rows of texts end to end, each with its end; which are the last of a word; how many each has) of what subwords() and split() give."""
+        final = np.zeros(len(rows), bool)
+        final[np.cumsum(sizes) - 1] = True
+        own = sizes[codes]
+        places, n = common.concat_ranges((np.cumsum(sizes) - sizes)[codes], own), common.segment_sums(own, counts)
+        flat, ends = common.with_ends(rows[places], n, END)
+        last = np.ones(len(flat), bool)
+        inner = last.copy()
+        inner[ends - 1] = False
+        last[inner] = final[places]
+        return flat, last, n + 1
+
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(rows of texts end to end, each with its end; how many each has)."""
         words, codes, counts = self.split(texts)
-        rows, sizes = self.subwords(words)
-        starts = np.cumsum(sizes) - sizes
-        flat, n = rows[common.concat_ranges(starts[codes], sizes[codes])], common.segment_sums(sizes[codes], counts)
-        rows, ends = common.with_ends(flat, n, END)
-        return rows.astype(np.int64), n + 1
+        rows, _, n = self.joined(*self.subwords(words), codes, counts)
+        return rows.astype(np.int64), n
+
+
+def _binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Runs of bytes that stand end to end in data."""
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(np.append(0, np.cumsum(sizes)).astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+
+
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(the bytes of all values end to end, how many each has)."""
+    column = column.cast(pa.large_binary())
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]] if len(column) else np.zeros(0, np.uint8)
+    return data, np.diff(ends)
+
+
+def _padding(counts: np.ndarray) -> np.ndarray:
+    """For flags of texts, eight to a byte, where each text begins a byte: which of all bits are flags."""
+    used = np.ones(int((-(-counts // 8)).sum()) * 8, bool)
+    used[common.concat_ranges((np.cumsum(-(-counts // 8)) - -(-counts // 8)) * 8 + counts, -counts % 8)] = False
+    return used
+
+
+def stored_rows(rows: np.ndarray, last: np.ndarray, counts: np.ndarray, kind: type) -> tuple[pa.Array, pa.Array]:
+    """What Words.joined() gives as two columns: rows as numbers of that kind, ends of words as bits."""
+    used = _padding(counts)
+    bits = np.zeros(len(used), bool)
+    bits[used] = last
+    return _binary(rows.astype(kind), counts * np.dtype(kind).itemsize), _binary(np.packbits(bits), -(-counts // 8))
+
+
+def rows_of(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of texts end to end, how many each has) of stored_rows()."""
+    data, sizes = _bytes(column)
+    return np.ascontiguousarray(data).view(kind).astype(np.int64), sizes // np.dtype(kind).itemsize
+
+
+def lasts_of(column: pa.Array, counts: np.ndarray) -> np.ndarray:
+    """Which rows are the last of a word, of stored_rows()."""
+    return np.unpackbits(_bytes(column)[0]).astype(bool)[_padding(counts)]
 
 
 def hashes_of(words: pa.Array) -> np.ndarray:
@@ -434,18 +544,18 @@ def start_model(layout: Layout, rows: np.ndarray, counts: np.ndarray, steps: int
     return m
 
 
-def _train_everywhere(texts: DataFrame, start: AttentionModel, tokenizer_path: str, tasks: int, batch: int = 256, rate: float = 0.002) -> AttentionModel:
-    """The start trained on by each task over all of its texts; the average of the tasks' mean parameters, by the steps of each."""
+def _train_everywhere(texts: DataFrame, start: AttentionModel, kind: type, batch: int = 256, rate: float = 0.002) -> AttentionModel:
+    """The start trained on by each task over all of its texts, whose `ids` are stored_rows() of that kind; the average of the tasks' mean parameters, by the steps of each."""
     spark = texts.sparkSession
     shared = spark.sparkContext.broadcast(start)
 
     def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, m = Words(tokenizer_path), start_copy(shared.value)
+        m = start_copy(shared.value)
         adam, total = Adam(m), np.zeros(len(m.vector()))
-        for texts in batch_iter:
-            column = texts.column(0)
-            for a, b in common.text_slices(column, 4_000_000):
-                rows, counts = words.texts(column.slice(a, b - a))
+        for stored in batch_iter:
+            column = stored.column(0)
+            for a, b in common.text_slices(column, 2_400_000):
+                rows, counts = rows_of(column.slice(a, b - a), kind)
                 inputs, places = stream(rows, counts, m.block)
                 target, scored = np.zeros(len(inputs), np.int64), np.zeros(len(inputs), bool)
                 target[places], scored[places] = rows, True
@@ -453,7 +563,7 @@ def _train_everywhere(texts: DataFrame, start: AttentionModel, tokenizer_path: s
                 for k in range(0, len(inputs) - m.block, batch * m.block):
                     s = slice(k, k + (batch + 1) * m.block)
                     adam.step(stream_gradients(m, inputs[s], target[s], scored[s]), rate)
-                    total += m.vector()
+                    total += adam.flat
         if adam.steps:
             yield _sum_row(adam.steps, total)
 
@@ -466,7 +576,8 @@ def _train_everywhere(texts: DataFrame, start: AttentionModel, tokenizer_path: s
             yield _sum_row(steps, total)
 
     schema = "steps long, total binary"
-    sums, left = common.materialise(texts.repartition(tasks).mapInArrow(run, schema), "lm-models"), tasks
+    learnt = texts.select("ids")
+    sums, left = common.materialise(learnt.mapInArrow(run, schema), "lm-models"), learnt.rdd.getNumPartitions()
     while left > 16:
         left = -(-left // 16)
         sums = sums.repartition(left).mapInArrow(add, schema)
@@ -483,13 +594,14 @@ def start_copy(m: AttentionModel) -> AttentionModel:
     return m.with_vector(m.vector())
 
 
-_COUNT = "block long, kind int, h long, n long"
+_ENCODED = "block long, kind int, h long, n long, ids binary, lasts binary"
 
 
-def _count(keyed: DataFrame, tokenizer_path: str, held: int = 2_000_000) -> DataFrame:
-    """Of each block: kind 0: word hash h, its training tokens n; kinds 1 and 2: subword row h, its training tokens n, those at the end of a word.
+def _encode(keyed: DataFrame, tokenizer_path: str, held: int = 2_000_000) -> DataFrame:
+    """Of each block: kind 0: word hash h, its training tokens n; kinds 1 and 2: subword row h, its training tokens n, those at the end of a word;
+    kind 3: a text's row h, 1 if it is for training, its stored_rows().
 
-    A block's sums are emitted, and begun anew, when they hold more than `held` words.
+    All but the start's sample are encoded here alone. A block's sums are emitted, and begun anew, when they hold more than `held` words.
     """
 
     def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -499,21 +611,22 @@ def _count(keyed: DataFrame, tokenizer_path: str, held: int = 2_000_000) -> Data
         def emit() -> Iterator[pa.RecordBatch]:
             if parts:
                 hashes, at = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
-                yield _counted(block, 0, hashes, np.bincount(at, np.concatenate([n for _, n in parts])).astype(np.int64))
+                yield _encoded(block, 0, hashes, np.bincount(at, np.concatenate([n for _, n in parts])).astype(np.int64))
                 for kind, values in ((1, tokens), (2, last)):
                     some = np.flatnonzero(values)
-                    yield _counted(block, kind, some, values[some])
+                    yield _encoded(block, kind, some, values[some])
 
         for batch in batch_iter:
             blocks = batch.column(0).to_numpy()
             for lo, hi in _runs(blocks):
-                texts = batch.column(2).slice(lo, hi - lo)
+                texts = batch.column(3).slice(lo, hi - lo)
                 for a, b in common.text_slices(texts, 4_000_000):
                     if blocks[lo] != block or size > held:
                         yield from emit()
                         block, size = blocks[lo], 0
                         parts.clear(), tokens.fill(0), last.fill(0)
-                    training = batch.column(1).slice(lo + a, b - a).to_numpy(zero_copy_only=False)
+                    numbers = batch.column(1).slice(lo + a, b - a).to_numpy()
+                    training = batch.column(2).slice(lo + a, b - a).to_numpy(zero_copy_only=False)
                     kinds, codes, counts = words.split(texts.slice(a, b - a))
                     n = np.bincount(codes[np.repeat(training, counts)], minlength=len(kinds))
                     rows, sizes = words.subwords(kinds)
@@ -522,14 +635,15 @@ def _count(keyed: DataFrame, tokenizer_path: str, held: int = 2_000_000) -> Data
                     tokens[END] += training.sum()
                     parts.append((np.append(hashes_of(kinds), _END_HASH), np.append(n, training.sum())))
                     size += len(kinds)
+                    yield _encoded(block, 3, numbers, training.astype(np.int64), *stored_rows(*words.joined(rows, sizes, codes, counts), words.kind))
         yield from emit()
 
-    return keyed.select("block", "training", "text").mapInArrow(run, _COUNT)
+    return keyed.select("block", "row", "training", "text").mapInArrow(run, _ENCODED)
 
 
-def _counted(block: int, kind: int, h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+def _encoded(block: int, kind: int, h: np.ndarray, n: np.ndarray, *stored: pa.Array) -> pa.RecordBatch:
     arrays = [pa.array(np.full(len(h), block, np.int64)), pa.array(np.full(len(h), kind, np.int32)), pa.array(h, pa.int64()), pa.array(n, pa.int64())]
-    return pa.RecordBatch.from_arrays(arrays, names=["block", "kind", "h", "n"])
+    return pa.RecordBatch.from_arrays([*arrays, *(stored or [pa.nulls(len(h), pa.binary())] * 2)], names=["block", "kind", "h", "n", "ids", "lasts"])
 
 
 def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -550,10 +664,11 @@ def fit_and_score(docs: DataFrame, training: Column, tokenizer_path: str, train_
     row = F.monotonically_increasing_id()
     block = F.shiftleft(F.spark_partition_id().cast("long"), 33) + F.floor(row.bitwiseAND(F.lit((1 << 33) - 1)) / block_docs)
     keyed = docs.select(block.alias("block"), row.alias("row"), F.col(id_col).alias("id"), F.coalesce(training, F.lit(False)).alias("training"), F.col(text_col).alias("text"))
-    counted = common.materialise(_count(keyed, tokenizer_path), "lm-counts")
+    encoded = common.materialise(_encode(keyed, tokenizer_path), "lm-encoded")
+    counted, stored = encoded.select("block", "kind", "h", "n"), encoded.where("kind = 3").select("block", F.col("h").alias("row"), "ids", "lasts")
 
     # one row for each subword of the tokenizer
-    subwords = counted.where("kind > 0").groupBy("kind", "h").agg(F.sum("n").alias("n")).toPandas()
+    subwords = counted.where("kind in (1, 2)").groupBy("kind", "h").agg(F.sum("n").alias("n")).toPandas()
     words = Words(tokenizer_path)
     tokens, last = np.zeros(words.rows), np.zeros(words.rows)
     for kind, values in ((1, tokens), (2, last)):
@@ -564,9 +679,11 @@ def fit_and_score(docs: DataFrame, training: Column, tokenizer_path: str, train_
     learn = keyed.where("training").select("row", "text")
     sample = common.bounded_sample(learn, start_docs, "row", salt=9).sort_values("row")
     start = start_model(layout, *words.texts(pa.array(sample["text"].tolist(), pa.large_string())), steps=start_steps)
-    chosen = learn.where(F.pmod(F.xxhash64("row", F.lit(4)), F.lit(1 << 30)) < train_share * (1 << 30)).select("text")
-    trained = _train_everywhere(chosen, start, tokenizer_path, tasks=keyed.rdd.getNumPartitions())
-    model = spark.sparkContext.broadcast(trained)
+    chosen = learn.where(F.pmod(F.xxhash64("row", F.lit(4)), F.lit(1 << 30)) < train_share * (1 << 30))
+    # dealt out by row numbers, so that no task has neighbours alone; texts themselves aren't read again
+    tasks = keyed.rdd.getNumPartitions()
+    chosen = stored.select("row", "ids").repartition(tasks, "row").join(chosen.repartition(tasks, "row").hint("shuffle_hash"), "row").coalesce(tasks)
+    model = spark.sparkContext.broadcast(_train_everywhere(chosen, start, words.kind))
 
     each = Window.partitionBy("h").orderBy("block")
     totals = counted.where("kind = 0").select("block", "h", F.sum("n").over(each.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n"), (F.row_number().over(each) == 1).alias("first"))
@@ -574,68 +691,82 @@ def fit_and_score(docs: DataFrame, training: Column, tokenizer_path: str, train_
     size = totals.agg(F.sum(F.when(F.col("first"), F.col("n"))).alias("tokens"), F.count_if(F.col("first") & (F.col("n") > 0)).alias("kinds")).first()
     train_tokens, distinct = int(size["tokens"] or 0), int(size["kinds"] or 0)
 
-    counts = totals.select("block", F.lit(0).alias("kind"), F.lit(None).cast(id_type).alias("id"), F.lit(None).cast("string").alias("text"), "h", "n")
-    texts = keyed.select("block", F.lit(1).alias("kind"), "id", "text", F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("n"))
+    none = {"id": F.lit(None).cast(id_type), "text": F.lit(None).cast("string"), "n": F.lit(0).cast("long"), "score": F.lit(0.0)}
+    counts = totals.select("block", F.lit(0).alias("kind"), "h", "n").withColumns({k: none[k] for k in ("id", "text", "score")})
+    scores = _scores(stored, model, words.kind).select("block", F.lit(1).alias("kind"), F.col("row").alias("h"), "score").withColumns({k: none[k] for k in ("id", "text", "n")})
+    texts = keyed.select("block", F.lit(2).alias("kind"), F.col("row").alias("h"), "id", "text").withColumns({k: none[k] for k in ("n", "score")})
     # about as many partitions as blocks, so that no task gets more than a few
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), keyed.rdd.getNumPartitions() + 2 * docs.count() // block_docs)
-    together = counts.unionByName(texts).repartition(parts, "block").sortWithinPartitions("block", "kind")
+    together = counts.unionByName(scores).unionByName(texts).select("block", "kind", "id", "text", "h", "n", "score").repartition(parts, "block").sortWithinPartitions("block", "kind")
 
     def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = FastScorer(model.value)
-        scored: _BlockScorer | None = None
+        words, scored = Words(tokenizer_path), None
         for batch in batch_iter:
             block, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for a, b in _runs(block * 2 + kind):
+            for a, b in _runs(block * 3 + kind):
                 if scored is None or scored.block != block[a]:
-                    scored = _BlockScorer(int(block[a]), scorer, Words(tokenizer_path), train_tokens, distinct)
+                    scored = _BlockScorer(int(block[a]), words, train_tokens, distinct)
                 if kind[a] == 0:
-                    scored.add(*(batch.column(k).slice(a, b - a) for k in (4, 5)))
+                    scored.add(*(batch.column(k).slice(a, b - a).to_numpy() for k in (4, 5)))
+                    continue
+                if kind[a] == 1:
+                    scored.scores.append(tuple(batch.column(k).slice(a, b - a).to_numpy() for k in (4, 6)))
                     continue
                 rows = batch.column(3).slice(a, b - a)
                 for i, j in common.text_slices(rows):
-                    n, known, base, score = scored.score(rows.slice(i, j - i))
+                    n, known, base, score = scored.score(rows.slice(i, j - i), batch.column(4).slice(a + i, j - i).to_numpy())
                     yield pa.RecordBatch.from_arrays([batch.column(2).slice(a + i, j - i), pa.array(n), pa.array(known), pa.array(np.full(j - i, train_tokens, np.int64)), pa.array(base), pa.array(score)], names=["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return together.mapInArrow(run, f"id {id_type}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
+def _scores(stored: DataFrame, model: Broadcast, kind: type) -> DataFrame:
+    """(block, row, score) of stored_rows() of that kind."""
+
+    def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = FastScorer(model.value)
+        lay, size = model.value.layout, len(model.value.layout.log_last)
+        ends = np.append(lay.log_more, lay.log_last)
+        ends[size + END] = 0
+        for batch in batch_iter:
+            for a, b in common.text_slices(batch.column(2), 1_200_000):
+                part = batch.slice(a, b - a)
+                rows, counts = rows_of(part.column(2), kind)
+                logs = scorer(rows, counts)
+                logs += ends[rows + size * lasts_of(part.column(3), counts)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(common.segment_sums(logs, counts) / np.log(10))], names=["block", "row", "score"])
+
+    return stored.mapInArrow(run, "block long, row long, score double")
+
+
 @dataclass
 class _BlockScorer:
-    """Scores the documents of one block, whose words with their counts come first."""
+    """Scores the documents of one block, whose words with their counts and whose texts' scores by the layer come first."""
 
     block: int
-    scorer: FastScorer
     words: Words
     train_tokens: int
     distinct: int
     parts: list = field(default_factory=list)
+    scores: list = field(default_factory=list)
 
-    def add(self, hashes: pa.Array, counts: pa.Array) -> None:
-        self.parts.append((hashes.to_numpy(), counts.to_numpy()))
+    def add(self, hashes: np.ndarray, counts: np.ndarray) -> None:
+        self.parts.append((hashes, counts))
 
-    def _count_of(self, hashes: np.ndarray) -> np.ndarray:
-        if len(self.parts) != 1 or len(self.parts[0]) != 3:
-            known, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+    @staticmethod
+    def _found(parts: list, keys: np.ndarray) -> np.ndarray:
+        """The values of keys; parts are merged and sorted once."""
+        if len(parts) != 1 or len(parts[0]) != 3:
+            known, values = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.argsort(known, kind="stable")
-            self.parts = [(known[order], n[order], None)]
-        known, n, _ = self.parts[0]
-        return n[np.searchsorted(known, hashes)]
+            parts[:] = [(known[order], values[order], None)]
+        known, values, _ = parts[0]
+        return values[np.searchsorted(known, keys)]
 
-    def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        lay = self.scorer.m.layout
+    def score(self, texts: pa.Array, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         kinds, codes, counts = self.words.split(texts)
-        n = self._count_of(np.append(hashes_of(kinds), _END_HASH))
-        rows, sizes = self.words.subwords(kinds)
-        rows, sizes = np.append(rows, END), np.append(sizes, 1)
-        starts = np.cumsum(sizes) - sizes
+        n = self._found(self.parts, np.append(hashes_of(kinds), _END_HASH))
         base = np.log10((n + 0.5) / (self.train_tokens + 0.5 * (self.distinct + 1)))
-        final = starts + sizes - 1
-        ends = common.segment_sums(lay.log_more[rows], sizes) - lay.log_more[rows[final]] + lay.log_last[rows[final]]
-        ends[-1] = 0
-        codes, stops = common.with_ends(codes, counts, len(kinds))
+        codes, _ = common.with_ends(codes, counts, len(kinds))
         counts = counts + 1
-        own = sizes[codes]
-        per_text = common.segment_sums(own, counts)
-        logs = self.scorer(rows[common.concat_ranges(starts[codes], own)], per_text)
-        score = (common.segment_sums(logs, per_text) + common.segment_sums(ends[codes], counts)) / np.log(10)
-        return counts, common.segment_sums((n > 0)[codes].astype(np.int64), counts), common.segment_sums(base[codes], counts), score
+        return counts, common.segment_sums((n > 0)[codes].astype(np.int64), counts), common.segment_sums(base[codes], counts), self._found(self.scores, rows)

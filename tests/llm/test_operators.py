@@ -290,6 +290,81 @@ def test_lm_gradients_are_those_of_differences():
             assert g[name][at] == pytest.approx((up - down) / 2e-5, abs=1e-6)
 
 
+@pytest.mark.parametrize("scale", [0.5, 6])
+def test_lm_middle_ids_are_told_apart_in_classes(scale):
+    rng = np.random.default_rng(2)
+    tokens = np.concatenate([[20, 3], rng.permutation(np.arange(40))]).astype(float)
+    layout = lm.Layout.of(tokens, np.floor(tokens / 3), singles=5, middle=17, tails=2, embeds=30, classes=3)
+    assert np.diff(layout.edges).tolist() == [5, 6, 6] and layout.middles == 17 and layout.heads == 1 + 5 + 3 + 2
+    m = lm.AttentionModel.new(layout, block=4, dims=5, keys=3, hidden=6)
+    for p in m.PARTS:
+        setattr(m, p, rng.normal(0, scale, getattr(m, p).shape))
+    counts = np.array([9, 1, 30, 0, 200])
+    rows = rng.integers(0, len(tokens), counts.sum())
+    hidden = rng.normal(0, 2, (7, 6))
+    total = np.exp(lm.log_probabilities(m, np.repeat(hidden[:, None], len(tokens), 1), np.tile(np.arange(len(tokens)), (7, 1)))).sum(axis=1)
+    assert np.allclose(total, 1)
+    case = lm.windows_of(m, rows, counts)
+    inputs, places = lm.stream(rows, counts, m.block)
+    target, scored = np.zeros(len(inputs), np.int64), np.zeros(len(inputs), bool)
+    target[places], scored[places] = rows, True
+    g, found = lm.gradients(m, *case), lm.stream_gradients(m, inputs, target, scored)
+    assert all(np.allclose(g[name], found[name], atol=1e-6 * max(1, np.abs(g[name]).max())) for name in m.PARTS)
+    slow = lm.log_probabilities(m, lm.hidden_states(m, *case[:2])[0], case[2])[case[3]]
+    assert np.allclose(lm.FastScorer(m)(rows, counts, batch=3), slow, atol=2e-3, rtol=1e-3)
+    if scale < 1:
+
+        def loss():
+            return -lm.log_probabilities(m, lm.hidden_states(m, *case[:2])[0], case[2])[case[3]].mean()
+
+        for at in ((0, 0), (3, 8), (5, 16)):
+            m.middle[at] += 1e-5
+            up = loss()
+            m.middle[at] -= 2e-5
+            down = loss()
+            m.middle[at] += 1e-5
+            assert g["middle"][at] == pytest.approx((up - down) / 2e-5, abs=1e-6)
+
+
+def test_lm_steps_are_adams():
+    m, rows, counts = small_lm()
+    adam, case = lm.Adam(m), lm.windows_of(m, rows, counts)
+    expected, mean, square = m.vector(), 0.0, 0.0
+    for k in range(1, 6):
+        g = lm.gradients(m, *case)
+        flat = np.concatenate([g[p].reshape(-1) for p in m.PARTS])
+        adam.step(g, 0.01)
+        mean, square = 0.9 * mean + 0.1 * flat, 0.99 * square + 0.01 * flat**2
+        expected = expected - 0.01 * (mean / (1 - 0.9**k)) / (np.sqrt(square / (1 - 0.99**k)) + 1e-8)
+        assert np.allclose(m.vector(), expected, atol=1e-9) and m.vector().tolist() == adam.flat.tolist()
+
+
+def test_lm_trains_on_stored_rows_of_texts(spark, odd, tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    odd.write.parquet(str(tmp_path / "d"))
+    docs, seen, train, words = spark.read.parquet(str(tmp_path / "d")), [], lm._train_everywhere, lm.Words(WORD)
+
+    def watched(texts, start, kind, **options):
+        seen.extend((r.text, bytes(r.ids)) for r in texts.collect())
+        assert "text#" not in texts.select("ids")._jdf.queryExecution().optimizedPlan().toString().split("Relation")[0]
+        return train(texts, start, kind, **options)
+
+    monkeypatch.setattr(lm, "_train_everywhere", watched)
+    assert lm.fit_and_score(docs, F.lit(True), WORD, start_steps=2, block_docs=3).count() == len(seen) == docs.count()
+    for text, ids in seen:
+        rows, counts = words.texts(pa.array([text], pa.large_string()))
+        assert lm.rows_of(pa.array([ids]), words.kind)[0].tolist() == rows.tolist() and len(rows) == counts[0]
+    # rows and ends of words come back from what is stored, also from a slice of it
+    table = pa.array([t for t, _ in seen], pa.large_string())
+    split, codes, n = words.split(table)
+    flat, last, counts = words.joined(*words.subwords(split), codes, n)
+    ids, bits = lm.stored_rows(flat, last, counts, words.kind)
+    assert lm.lasts_of(bits, counts).tolist() == last.tolist() and last.sum() == len(codes) + len(seen)
+    cut = counts[:2].sum()
+    assert lm.rows_of(ids.slice(2), words.kind)[0].tolist() == flat[cut:].tolist() and lm.lasts_of(bits.slice(2), counts[2:]).tolist() == last[cut:].tolist()
+
+
 def test_lm_of_odd_texts(spark, odd, empty):
     assert lm.fit_and_score(empty, F.lit(True), WORD, start_steps=2).count() == 0
     rows = lm.fit_and_score(odd, F.col("doc_id") > 4, WORD, start_steps=2, train_share=1.0, block_docs=3).collect()
