@@ -544,8 +544,8 @@ def start_model(layout: Layout, rows: np.ndarray, counts: np.ndarray, steps: int
     return m
 
 
-def _train_everywhere(texts: DataFrame, start: AttentionModel, kind: type, batch: int = 256, rate: float = 0.002) -> AttentionModel:
-    """The start trained on by each task over all of its texts, whose `ids` are stored_rows() of that kind; the average of the tasks' mean parameters, by the steps of each."""
+def _train_everywhere(texts: DataFrame, start: AttentionModel, kind: type, tasks: int, batch: int = 256, rate: float = 0.002) -> AttentionModel:
+    """The start trained on by each task over all of its texts, in at most `tasks` tasks, whose `ids` are stored_rows() of that kind; the average of the tasks' mean parameters, by the steps of each."""
     spark = texts.sparkSession
     shared = spark.sparkContext.broadcast(start)
 
@@ -576,8 +576,8 @@ def _train_everywhere(texts: DataFrame, start: AttentionModel, kind: type, batch
             yield _sum_row(steps, total)
 
     schema = "steps long, total binary"
-    learnt = texts.select("ids")
-    sums, left = common.materialise(learnt.mapInArrow(run, schema), "lm-models"), learnt.rdd.getNumPartitions()
+    # not texts.rdd for the number of tasks: that would shuffle the ids once more
+    sums, left = common.materialise(texts.select("ids").mapInArrow(run, schema), "lm-models"), tasks
     while left > 16:
         left = -(-left // 16)
         sums = sums.repartition(left).mapInArrow(add, schema)
@@ -664,7 +664,7 @@ def fit_and_score(docs: DataFrame, training: Column, tokenizer_path: str, train_
     row = F.monotonically_increasing_id()
     block = F.shiftleft(F.spark_partition_id().cast("long"), 33) + F.floor(row.bitwiseAND(F.lit((1 << 33) - 1)) / block_docs)
     keyed = docs.select(block.alias("block"), row.alias("row"), F.col(id_col).alias("id"), F.coalesce(training, F.lit(False)).alias("training"), F.col(text_col).alias("text"))
-    encoded = common.materialise(_encode(keyed, tokenizer_path), "lm-encoded")
+    encoded = common.materialise(_encode(keyed, tokenizer_path), "lm-encoded", compression="zstd")
     counted, stored = encoded.select("block", "kind", "h", "n"), encoded.where("kind = 3").select("block", F.col("h").alias("row"), "ids", "lasts")
 
     # one row for each subword of the tokenizer
@@ -683,7 +683,7 @@ def fit_and_score(docs: DataFrame, training: Column, tokenizer_path: str, train_
     # dealt out by row numbers, so that no task has neighbours alone; texts themselves aren't read again
     tasks = keyed.rdd.getNumPartitions()
     chosen = stored.select("row", "ids").repartition(tasks, "row").join(chosen.repartition(tasks, "row").hint("shuffle_hash"), "row").coalesce(tasks)
-    model = spark.sparkContext.broadcast(_train_everywhere(chosen, start, words.kind))
+    model = spark.sparkContext.broadcast(_train_everywhere(chosen, start, words.kind, tasks))
 
     each = Window.partitionBy("h").orderBy("block")
     totals = counted.where("kind = 0").select("block", "h", F.sum("n").over(each.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n"), (F.row_number().over(each) == 1).alias("first"))

@@ -345,10 +345,10 @@ def test_lm_trains_on_stored_rows_of_texts(spark, odd, tmp_path, monkeypatch):
     odd.write.parquet(str(tmp_path / "d"))
     docs, seen, train, words = spark.read.parquet(str(tmp_path / "d")), [], lm._train_everywhere, lm.Words(WORD)
 
-    def watched(texts, start, kind, **options):
+    def watched(texts, start, kind, tasks):
         seen.extend((r.text, bytes(r.ids)) for r in texts.collect())
         assert "text#" not in texts.select("ids")._jdf.queryExecution().optimizedPlan().toString().split("Relation")[0]
-        return train(texts, start, kind, **options)
+        return train(texts, start, kind, tasks)
 
     monkeypatch.setattr(lm, "_train_everywhere", watched)
     assert lm.fit_and_score(docs, F.lit(True), WORD, start_steps=2, block_docs=3).count() == len(seen) == docs.count()
